@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,9 @@ from ..functions.columns import squared_distance
 from ..session import stage
 from .scores import calinski_harabasz, davies_bouldin, silhouette
 
+# Fits whose jobs are submitted side by side.
+PARALLEL_FITS = 8
+
 
 def by_size(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Cluster labels renumbered from 0 by descending size, then by smallest member."""
@@ -22,16 +27,31 @@ def by_size(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     return points.withColumn(cluster, (F.array_position(places, F.col(cluster)) - 1).cast("int"))
 
 
+def _vectors(points: DataFrame, cols: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=cols, outputCol="_vector").transform(points).persist()
+
+
+def _fit_all(vectors: DataFrame, runs: list[tuple[int, int]], max_iter: int, tol: float) -> list:
+    """Models of all (k, seed) runs. The starts are independent, so their jobs share the cluster."""
+
+    def fit(run: tuple[int, int]):
+        k, seed = run
+        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_vector", predictionCol="cluster").fit(vectors)
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(fit, runs, chunksize=1)
+
+
+def _labels(models: list, vectors: DataFrame) -> DataFrame:
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return stage(by_size(stage(best.transform(vectors).drop("_vector"), "kmeans")), "labels")
+
+
 def kmeans(points: DataFrame, cols: list[str], k: int = 2, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """``points`` with ``cluster``: the start of lowest cost among ``n_init`` seeded ones."""
-    vectors = VectorAssembler(inputCols=cols, outputCol="_vector").transform(points).persist()
+    vectors = _vectors(points, cols)
     try:
-        fits = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_vector", predictionCol="cluster").fit(vectors)
-            for i in range(n_init)
-        ]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return by_size(stage(best.transform(vectors).drop("_vector"), "kmeans"))
+        return _labels(_fit_all(vectors, [(k, seed + i) for i in range(n_init)], max_iter, tol), vectors)
     finally:
         vectors.unpersist()
 
@@ -59,15 +79,18 @@ def kmeans_lloyd(points: DataFrame, cols: list[str], centers: list[list[float]],
 
 def kmeans_grid(points: DataFrame, cols: list[str], ks: range = range(2, 7), n_init: int = 10, seed: int = 42) -> DataFrame:
     """(k, silhouette, davies_bouldin, calinski_harabasz) for each k."""
-    rows = []
-    for k in ks:
-        labelled = stage(kmeans(points, cols, k, n_init, seed), "grid")
-        rows.append(
-            (
-                k,
-                silhouette(labelled, cols).first()[0],
-                davies_bouldin(labelled, cols).first()[0],
-                calinski_harabasz(labelled, cols).first()[0],
-            )
-        )
+    vectors = _vectors(points, cols)
+    try:
+        runs = [(k, seed + i) for k in ks for i in range(n_init)]
+        models = _fit_all(vectors, runs, 300, 1e-4)
+        labelled = {k: _labels([m for m, run in zip(models, runs) if run[0] == k], vectors) for k in ks}
+    finally:
+        vectors.unpersist()
+
+    def scores(k: int) -> tuple:
+        tables = (silhouette(labelled[k], cols), davies_bouldin(labelled[k], cols), calinski_harabasz(labelled[k], cols))
+        return (k, *[t.first()[0] for t in tables])
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        rows = pool.map(scores, list(ks), chunksize=1)
     return points.sparkSession.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, calinski_harabasz double")
