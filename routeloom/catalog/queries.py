@@ -288,9 +288,9 @@ def _(i: Inputs) -> DataFrame:
           WITH texts AS MATERIALIZED (SELECT id, string_agg(member, ',' ORDER BY member) AS t FROM sets GROUP BY id),
             profiles AS MATERIALIZED (SELECT min(id) AS id, count(*) AS held FROM texts GROUP BY t),
             kept AS MATERIALIZED (SELECT s.id, s.member FROM sets s WHERE s.id IN (SELECT id FROM profiles)),
-            overlaps AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS c FROM kept x JOIN kept y ON x.member = y.member AND x.id < y.id GROUP BY 1, 2)
+            shared AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS c FROM kept x JOIN kept y ON x.member = y.member AND x.id < y.id GROUP BY 1, 2)
           SELECT o.a, o.b, p.held AS members_a, q.held AS members_b, CAST(c AS DOUBLE) / (m.n + n.n - c) AS jaccard
-          FROM overlaps o JOIN set_sizes m ON m.id = o.a JOIN set_sizes n ON n.id = o.b JOIN profiles p ON p.id = o.a JOIN profiles q ON q.id = o.b
+          FROM shared o JOIN set_sizes m ON m.id = o.a JOIN set_sizes n ON n.id = o.b JOIN profiles p ON p.id = o.a JOIN profiles q ON q.id = o.b
           WHERE CAST(c AS DOUBLE) / (m.n + n.n - c) >= 0.125
           UNION ALL SELECT id, id, held, held, 1.0 FROM profiles WHERE held > 1)""",
 )
@@ -776,9 +776,9 @@ def _gap(a: str, b: str) -> str:
 
 @query(
     "score_davies_bouldin",
-    f"""WITH c AS MATERIALIZED ({_CENTROIDS}), s AS MATERIALIZED (SELECT c.cluster, avg(sqrt({_gap('p', 'c')})) AS s FROM labelled p JOIN c ON c.cluster = p.cluster GROUP BY 1)
+    f"""SELECT * FROM (WITH c AS MATERIALIZED ({_CENTROIDS}), s AS MATERIALIZED (SELECT c.cluster, avg(sqrt({_gap('p', 'c')})) AS s FROM labelled p JOIN c ON c.cluster = p.cluster GROUP BY 1)
         SELECT {rnd('avg(w)', 6)} AS davies_bouldin FROM (SELECT a.cluster, max((x.s + y.s) / sqrt({_gap('a', 'b')})) AS w
-          FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s x ON x.cluster = a.cluster JOIN s y ON y.cluster = b.cluster GROUP BY 1)""",
+          FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s x ON x.cluster = a.cluster JOIN s y ON y.cluster = b.cluster GROUP BY 1))""",
 )
 def _(i: Inputs) -> DataFrame:
     return rounded(scores.davies_bouldin(i.labelled_points, POINT_COLS))
@@ -786,9 +786,9 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "score_calinski_harabasz",
-    f"""WITH c AS MATERIALIZED ({_CENTROIDS}), m AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS {c}' for c in POINT_COLS)} FROM labelled)
+    f"""SELECT * FROM (WITH c AS MATERIALIZED ({_CENTROIDS}), m AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS {c}' for c in POINT_COLS)} FROM labelled)
         SELECT {rnd('(b / (k - 1)) / (w / (n - k))', 4)} AS calinski_harabasz FROM
-          (SELECT sum(c.n * {_gap('c', 'm')}) AS b, count(*) AS k FROM c, m), (SELECT sum({_gap('p', 'c')}) AS w, count(*) AS n FROM labelled p JOIN c ON c.cluster = p.cluster)""",
+          (SELECT sum(c.n * {_gap('c', 'm')}) AS b, count(*) AS k FROM c, m), (SELECT sum({_gap('p', 'c')}) AS w, count(*) AS n FROM labelled p JOIN c ON c.cluster = p.cluster))""",
 )
 def _(i: Inputs) -> DataFrame:
     return rounded(scores.calinski_harabasz(i.labelled_points, POINT_COLS), 4)
@@ -853,8 +853,9 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "jaccard_estimate",
-    f"""SELECT c.id, c.other, {rnd('list_sum(list_transform(range(1, 129), k -> CASE WHEN a.sig[k] = b.sig[k] THEN 1 ELSE 0 END)) / CAST(128 AS DOUBLE)', 8)} AS estimate
-        FROM candidates c JOIN signatures a ON a.id = c.id JOIN signatures b ON b.id = c.other""",
+    f"""SELECT id, other, {rnd('sum(CASE WHEN x = y THEN 1 ELSE 0 END) / CAST(128 AS DOUBLE)', 8)} AS estimate FROM (
+        SELECT c.id, c.other, unnest(a.sig) AS x, unnest(b.sig) AS y
+        FROM candidates c JOIN signatures a ON a.id = c.id JOIN signatures b ON b.id = c.other) GROUP BY id, other""",
 )
 def _(i: Inputs) -> DataFrame:
     signatures = i._once("signatures", lambda: similarity.minhash(i.sets))
