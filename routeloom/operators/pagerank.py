@@ -18,15 +18,14 @@ def pagerank(network: Network, alpha: float = 0.85, tol: float = 1e-6, max_iter:
     n = g.n
     if n == 0:
         return network.vertices.select("id", F.lit(0.0).alias("pagerank"))
-    state = g.workspace.save(
-        g.vertices.select("id", "out_degree", "out_slots", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("previous")), "start"
+    change = F.sum(F.abs(F.col("rank") - F.col("previous")))
+    dangling = F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))
+    state, seen = g.workspace.save_counted(
+        g.vertices.select("id", "out_degree", "out_slots", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("previous")),
+        "start", change=change, dangling=dangling,
     )
     for turn in range(max_iter):
-        dangling_mass = F.sum(F.when(F.col("out_degree") == 0, F.col("rank")))
-        change, dangling = state.agg(
-            F.sum(F.abs(F.col("rank") - F.col("previous"))), F.coalesce(dangling_mass, F.lit(0.0))
-        ).first()
-        if turn and change < n * tol:
+        if turn and seen["change"] < n * tol:
             break
         sent = per_slot(
             state.filter("out_degree > 0").select(
@@ -35,9 +34,9 @@ def pagerank(network: Network, alpha: float = 0.85, tol: float = 1e-6, max_iter:
             "out_slots",
             "out_slot",
         )
-        inflow = g.edges.join(sent, ["src", "out_slot"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("inflow"))
-        base = alpha * dangling / n + (1.0 - alpha) / n
-        state = g.workspace.save(
+        inflow = g.forward(sent).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("inflow"))
+        base = alpha * seen["dangling"] / n + (1.0 - alpha) / n
+        state, seen = g.workspace.save_counted(
             state.join(inflow, "id", "left").select(
                 "id",
                 "out_degree",
@@ -45,7 +44,7 @@ def pagerank(network: Network, alpha: float = 0.85, tol: float = 1e-6, max_iter:
                 (F.coalesce("inflow", F.lit(0.0)) * alpha + base).alias("rank"),
                 F.col("rank").alias("previous"),
             ),
-            f"rank-{turn % 2}",
+            f"rank-{turn % 2}", change=change, dangling=dangling,
         )
     g.release()
-    return state.select("id", F.col("rank").alias("pagerank"))
+    return g.named(state.select("id", F.col("rank").alias("pagerank")))

@@ -4,36 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
-from ..session import Workspace
 from .components import giant
 from .network import Network, per_slot, prepare
+from .ranks import row_numbers
 
 # Sources that share one row of the search state: one bit each.
 WORDS = 8
 SOURCES_PER_ROW = 64 * WORDS
+# Pivots that share one row of the path counts.
+PIVOTS_PER_ROW = 16
 # Search rows (groups of sources times nodes) advanced together; bounds the stored state.
 STATE_ROWS = 2_000_000_000
 
 
-def _source_bits(vertices: DataFrame, n: int) -> DataFrame:
-    """(id, grp, bit): every node gets a bit of its own in a group of at most 512 sources.
-
-    Hash buckets of about half a group's size are numbered inside, which needs no global sort.
-    """
-    buckets = max(1, -(-n // (SOURCES_PER_ROW // 2)))
-    spread = vertices.select("id", F.expr(f"pmod(xxhash64(id), {buckets})").alias("bucket"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
-    return spread.withColumn("place", place).select(
-        "id",
-        (F.col("bucket") + buckets * F.expr(f"place div {SOURCES_PER_ROW}")).alias("grp"),
-        (F.col("place") % SOURCES_PER_ROW).cast("int").alias("bit"),
-    )
-
-
 def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
     """(id, closeness) from incoming distances inside the largest component, 0 outside of it.
 
@@ -47,9 +34,11 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
     core = giant(network)
     g = prepare(core, "closeness")
     n = g.n
-    bits = g.workspace.save(_source_bits(g.vertices, n), "bits")
-    groups = bits.agg(F.max("grp")).first()[0]
-    groups = 0 if groups is None else groups + 1
+    # Node numbers are dense, so every group of sources but the last is full.
+    bits = g.vertices.select(
+        "id", "out_slots", F.expr(f"id div {SOURCES_PER_ROW}").alias("grp"), (F.col("id") % SOURCES_PER_ROW).cast("int").alias("bit")
+    )
+    groups = -(-n // SOURCES_PER_ROW)
     words = range(WORDS)
     batch = max(1, (state_rows or STATE_ROWS) // max(n, 1))
     results = []
@@ -62,7 +51,7 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
             for w in words
         ]
         state = g.workspace.save(
-            chosen.join(slots, "id").select(
+            chosen.select(
                 "grp", "id", "out_slots",
                 *[e.alias(f"seen{w}") for w, e in zip(words, own)],
                 *[e.alias(f"new{w}") for w, e in zip(words, own)],
@@ -70,8 +59,8 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
             ),
             f"{tag}-start",
         )
-        depth = 0
-        while state.filter("fresh").limit(1).count():
+        depth, fresh = 0, 1
+        while fresh:
             depth += 1
             sent = per_slot(
                 state.filter("fresh").select("grp", F.col("id").alias("src"), "out_slots", *[f"new{w}" for w in words]),
@@ -79,7 +68,7 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
                 "out_slot",
             )
             got = (
-                g.edges.join(sent, ["src", "out_slot"])
+                g.forward(sent)
                 .groupBy("grp", F.col("dst").alias("id"))
                 .agg(*[F.bit_or(f"new{w}").alias(f"got{w}") for w in words])
             )
@@ -110,7 +99,7 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
             known = counted.filter("out_slots is not null").unionByName(
                 counted.filter("out_slots is null").drop("out_slots").join(slots, "id")
             )
-            state = g.workspace.save(
+            state, seen = g.workspace.save_counted(
                 known.select(
                     "grp", "id", "out_slots", *[f"seen{w}" for w in words], *[f"new{w}" for w in words],
                     (F.col("reach") + F.col("arrived")).alias("reach"),
@@ -118,14 +107,16 @@ def closeness(network: Network, state_rows: int | None = None) -> DataFrame:
                     (F.col("arrived") > 0).alias("fresh"),
                 ),
                 f"{tag}-{depth % 2}",
+                fresh=F.count_if("fresh"),
             )
+            fresh = seen["fresh"]
         results.append(g.workspace.save(state.groupBy("id").agg(F.sum("reach").alias("reach"), F.sum("total").alias("total")), f"{tag}-sum"))
     g.release()
     if not results:
         return network.vertices.select("id", F.lit(0.0).alias("closeness"))
     sums = reduce(DataFrame.unionByName, results).groupBy("id").agg(F.sum("reach").alias("r"), F.sum("total").alias("s"))
     value = F.try_divide(F.col("r"), F.col("s")) * F.try_divide(F.col("r"), F.lit(n - 1))
-    scored = sums.select("id", value.alias("closeness"))
+    scored = g.named(sums.select("id", value.alias("closeness")))
     return network.vertices.select("id").join(scored, "id", "left").fillna(0.0, ["closeness"])
 
 
@@ -138,57 +129,70 @@ def betweenness(network: Network, pivots: int = 500, seed: int = 42) -> DataFram
     """(id, betweenness): Brandes' dependencies from sampled pivots, normalised.
 
     Exact when there are at least as many pivots as nodes. All pivots advance together, level by
-    level; each level is a stored table (pivot, id, sigma), so the way back reads what the way out
-    wrote. The work is pivots times edges, spread by (pivot, node).
+    level. A row holds one node for a group of pivots: their path counts at this level, 0 where the
+    node lies at another distance, and as bits which pivots it belongs to. Each level is a stored
+    table, so the way back reads what the way out wrote. The work is pivots times edges, spread by
+    (group, node).
     """
     g = prepare(network, "betweenness")
     n = g.n
     k = min(pivots, n)
-    zero = g.vertices.select("id", F.lit(0.0).alias("betweenness"))
     if n < 3:
-        g.release()
-        return zero
+        return network.vertices.select("id", F.lit(0.0).alias("betweenness"))
+    columns = range(PIVOTS_PER_ROW)
+    sigma = [f"s{c}" for c in columns]
     slots = g.vertices.select("id", "in_slots", "out_slots")
-    start = pivot_nodes(g.vertices, k, seed).join(slots, "id").select(
-        F.col("id").alias("pivot"), "id", "in_slots", "out_slots", F.lit(1.0).alias("sigma")
+    chosen = row_numbers(pivot_nodes(g.names, k, seed).join(g.names, "id").select(F.col("idx").alias("id")), ["id"], "rn")
+    column = (F.col("rn") - 1) % PIVOTS_PER_ROW
+    level = g.workspace.save(
+        chosen.join(slots, "id").select(
+            F.expr(f"(rn - 1) div {PIVOTS_PER_ROW}").alias("grp"), "id", "in_slots", "out_slots",
+            F.expr(f"shiftleft(1, cast((rn - 1) % {PIVOTS_PER_ROW} as int))").alias("mask"),
+            *[F.when(column == c, F.lit(1.0)).otherwise(F.lit(0.0)).alias(s) for c, s in zip(columns, sigma)],
+        ),
+        "level-0",
     )
-    level = g.workspace.save(start, "level-0")
     like, names = level, ["level-0"]
     while True:
-        sent = per_slot(level.select("pivot", F.col("id").alias("src"), "out_slots", "sigma"), "out_slots", "out_slot")
-        reached = g.edges.join(sent, ["src", "out_slot"]).groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        seen = g.workspace.load(names, like).select("pivot", "id")
-        fresh = reached.join(seen, ["pivot", "id"], "left_anti").join(slots, "id")
-        level = g.workspace.save(fresh.select(like.columns), f"level-{len(names)}")
-        if not level.limit(1).count():
+        sent = per_slot(level.select("grp", F.col("id").alias("src"), "out_slots", *sigma), "out_slots", "out_slot")
+        reached = g.forward(sent).select("grp", F.col("dst").alias("id"), *sigma, F.lit(0).alias("mask"))
+        known = g.workspace.load(names, like).select("grp", "id", *[F.lit(0.0).alias(s) for s in sigma], "mask")
+        merged = reached.union(known).groupBy("grp", "id").agg(*[F.sum(s).alias(s) for s in sigma], F.bit_or("mask").alias("mask"))
+        fresh = merged.select(
+            "grp", "id", *[F.when(F.expr(f"mask & {1 << c}") == 0, F.col(s)).otherwise(F.lit(0.0)).alias(s) for c, s in zip(columns, sigma)]
+        )
+        mask = reduce(lambda a, b: a + b, [F.when(F.col(s) > 0, F.lit(1 << c)).otherwise(F.lit(0)) for c, s in zip(columns, sigma)])
+        level, seen = g.workspace.save_counted(
+            fresh.withColumn("mask", mask).filter("mask <> 0").join(slots, "id").select(like.columns),
+            f"level-{len(names)}", rows=F.count(F.lit(1)),
+        )
+        if not seen["rows"]:
             break
         names.append(f"level-{len(names)}")
-    # Walk back: a node passes (1 + delta) / sigma to all its predecessors one level up.
-    deltas = []
-    passed = None
-    for depth in range(len(names) - 1, -1, -1):
+    # Walk back: a node passes (1 + delta) / sigma to all its predecessors one level up. Level 0
+    # holds only the pivots themselves, whose dependencies do not count.
+    totals, credit = [], None
+    for depth in range(len(names) - 1, 0, -1):
         level = g.workspace.load(f"level-{depth}", like)
-        if passed is None:
-            scored = level.withColumn("delta", F.lit(0.0))
+        if credit is None:
+            deltas = {c: F.lit(0.0) for c in columns}
         else:
-            scored = level.join(passed, ["pivot", "id"], "left").withColumn("delta", F.coalesce(F.col("sigma") * F.col("credit"), F.lit(0.0))).drop("credit")
-        scored = g.workspace.save(scored.select("pivot", "id", "in_slots", "sigma", "delta"), f"delta-{depth}")
-        deltas.append(f"delta-{depth}")
-        sent = per_slot(
-            scored.select("pivot", F.col("id").alias("dst"), "in_slots", ((F.col("delta") + 1) / F.col("sigma")).alias("share")),
-            "in_slots",
-            "in_slot",
+            level = level.join(credit, ["grp", "id"], "left")
+            deltas = {c: F.coalesce(F.col(f"s{c}") * F.col(f"c{c}"), F.lit(0.0)) for c in columns}
+        scored = g.workspace.save(
+            level.select(
+                "grp", "id", "in_slots", reduce(lambda a, b: a + b, deltas.values()).alias("delta"),
+                *[F.when(F.col(f"s{c}") > 0, (deltas[c] + 1) / F.col(f"s{c}")).otherwise(F.lit(0.0)).alias(f"c{c}") for c in columns],
+            ),
+            f"scored-{depth}",
         )
-        passed = g.edges.join(sent, ["dst", "in_slot"]).groupBy("pivot", F.col("src").alias("id")).agg(F.sum("share").alias("credit"))
-    scale = (1.0 / ((n - 1) * (n - 2))) * (n / k)
-    sums = (
-        g.workspace.load(deltas, scored)
-        .filter(F.col("pivot") != F.col("id"))
-        .groupBy("id")
-        .agg((F.sum("delta") * scale).alias("betweenness"))
-    )
-    result = g.workspace.save(
-        g.vertices.select("id").join(sums, "id", "left").fillna(0.0, ["betweenness"]), "result"
-    )
+        totals.append(f"scored-{depth}")
+        shares = [f"c{c}" for c in columns]
+        sent = per_slot(scored.select("grp", F.col("id").alias("dst"), "in_slots", *shares), "in_slots", "in_slot")
+        credit = g.backward(sent).groupBy("grp", F.col("src").alias("id")).agg(*[F.sum(c).alias(c) for c in shares])
     g.release()
-    return result
+    if not totals:
+        return network.vertices.select("id", F.lit(0.0).alias("betweenness"))
+    scale = (1.0 / ((n - 1) * (n - 2))) * (n / k)
+    sums = g.workspace.load(totals, scored).groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
+    return g.named(g.vertices.select("id").join(sums, "id", "left").fillna(0.0, ["betweenness"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from ..skew import hot_keys, lookup
+from ..skew import hot_keys, lookup, settled
 
 _LOCAL_BITS = 33
 _EXPAND = 10_000
@@ -58,11 +58,12 @@ def running_total(df: DataFrame, order: list, amount: str, name: str) -> DataFra
 
 def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """Ascending rank of ``col``; tied rows share the mean of their places."""
+    df, total = settled(df)
     values = df.groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_total(values, [col], "_ties", "_before").select(
         col, (F.col("_before") + (F.col("_ties") + 1) / 2).alias(name)
     )
-    return lookup(df, placed, [col], "inner", hot_keys(df, [col]))
+    return lookup(df, placed, [col], "inner", hot_keys(df, [col], total=total))
 
 
 def degree_histogram(vertices: DataFrame, col: str = "degree") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
 from ..session import stage
-from ..skew import hot_keys, lookup, salted_join
+from ..skew import hot_keys, lookup, salted_join, settled
 
 PRIME = 2_147_483_647
 STEP = 48_271
@@ -59,7 +59,7 @@ def bands(signatures: DataFrame, b: int = BANDS, r: int = ROWS) -> DataFrame:
 def lsh_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(id, other): nodes of the index that share a band bucket with a query node, without itself.
 
-    ``queries`` holds the ids to look up. Hot buckets of the index are cut into slots.
+    ``queries`` holds the ids to look up; ``index`` should be a stored table. Hot buckets of the index are cut into slots.
     """
     asked = index.join(queries.select("id"), "id", "left_semi")
     there = index.select(F.col("id").alias("other"), "band", "bucket")
@@ -104,7 +104,7 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_against(queries: DataFrame, sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """(id, other, common, jaccard >= t) of the query nodes against all sets, by shared members.
 
-    Members of the queries meet the inverted index; hot members of the index are cut into slots
+    ``sets`` should be a stored table. Members of the queries meet the inverted index; hot members of the index are cut into slots
     and the overlap of a pair is summed before the shuffle. Pairs without a shared member have
     similarity 0 and never appear.
     """
@@ -132,14 +132,14 @@ def set_profiles(sets: DataFrame) -> DataFrame:
     Sets are told apart by size and two independent 64-bit hash sums over their members, so a set
     of any size folds into one row before the shuffle.
     """
-    prints = sets.groupBy("id").agg(
+    prints, total = settled(sets.groupBy("id").agg(
         F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("member")).alias("p1"),
         F.bit_xor(F.xxhash64(F.concat(F.lit("~"), F.col("member").cast("string"), F.lit("~")))).alias("p2"),
-    )
+    ))
     on = ["size", "p1", "p2"]
     names = prints.groupBy(*on).agg(F.min("id").alias("profile"))
-    return lookup(prints, names, on, "inner", hot_keys(prints, on)).select("id", "profile")
+    return lookup(prints, names, on, "inner", hot_keys(prints, on, total=total)).select("id", "profile")
 
 
 def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -153,12 +153,12 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
-    rows = sets.select("id", "member").distinct()
+    rows = stage(sets.select("id", "member").distinct(), "sets")
     profiles = stage(set_profiles(rows), "profiles")
     holders = profiles.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))
-    kept = rows.join(holders.select(F.col("profile").alias("id")), "id", "left_semi")
+    kept, total = settled(rows.join(holders.select(F.col("profile").alias("id")), "id", "left_semi"))
     frequency = kept.groupBy("member").agg(F.count(F.lit(1)).alias("freq"))
-    weighted = stage(lookup(kept, frequency, ["member"], "inner", hot_keys(kept, ["member"])), "weighted")
+    weighted = stage(lookup(kept, frequency, ["member"], "inner", hot_keys(kept, ["member"], total=total)), "weighted")
     sizes = weighted.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     # Rarest members first; the place comes from one global sort, so no set is gathered in a task.
     from .ranks import row_numbers

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import verdict
 from ..functions.student_t import two_sided_p
-from ..skew import hot_keys, lookup
+from ..skew import hot_keys, lookup, settled
 from .ranks import average_rank, ccdf, degree_histogram, exact_quantiles, rank_degree
 
 
@@ -75,7 +75,7 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
 
 def cluster_boxes(points: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     """Box-plot figures per metric and cluster: quartiles, 1.5 IQR whiskers, rows outside them."""
-    long = _long(points, [cluster], cols)
+    long, total = settled(_long(points, [cluster], cols))
     quartiles = exact_quantiles(long, ["metric", cluster], "value", [0.25, 0.5, 0.75]).groupBy("metric", cluster).agg(
         *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
@@ -83,7 +83,7 @@ def cluster_boxes(points: DataFrame, cluster: str, cols: list[str]) -> DataFrame
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     return (
-        lookup(long, quartiles, on, "inner", hot_keys(long, on))
+        lookup(long, quartiles, on, "inner", hot_keys(long, on, total=total))
         .groupBy(*on, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

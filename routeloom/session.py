@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_fallback: dict[str, str] = {}
 
@@ -62,6 +62,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.load(name, df)
 
+    def save_counted(self, df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+        """:meth:`save`, with aggregates over the written rows taken by the same job."""
+        seen = Observation()
+        table = self.save(df.observe(seen, *[e.alias(n) for n, e in metrics.items()]), name)
+        return table, seen.get
+
     def load(self, names: str | list[str], like: DataFrame) -> DataFrame:
         names = [names] if isinstance(names, str) else names
         return self.spark.read.schema(like.schema).parquet(*[self.path(n) for n in names])

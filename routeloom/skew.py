@@ -7,28 +7,39 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import Workspace, stage
+
 # A key below this many rows is never a problem for one task.
 HOT_ROWS = 1_000_000
 # A key can only unbalance a join if it holds more than this share; at most 1/share keys can.
 HOT_SHARE = 0.001
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None, total: int | None = None) -> DataFrame | None:
     """Keys holding more than ``max(hot_rows, HOT_SHARE * rows)`` rows, with their ``_slots``.
 
     By counting, at most ``1 / HOT_SHARE`` keys qualify, which bounds the returned table and makes
-    it safe to broadcast. ``None`` when the table is too small to hold such a key.
+    it safe to broadcast. ``None`` when the table is too small to hold such a key. ``total`` saves
+    counting a table of known size.
     """
-    total = df.count()
+    hot_rows = hot_rows or HOT_ROWS
+    total = df.count() if total is None else total
     if total <= hot_rows:
         return None
     limit = max(hot_rows, ceil(total * HOT_SHARE))
-    return (
+    found = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > limit)
         .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_slots"))
     )
+    return stage(found, "hot-keys")
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a stored table with its row count, for a plan that is about to be read repeatedly."""
+    table, seen = Workspace(df.sparkSession, "settled").save_counted(df, "rows", n=F.count(F.lit(1)))
+    return table, seen["n"]
 
 
 def lookup(
@@ -36,7 +47,7 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per key.
 
-    ``hot`` is the result of :func:`hot_keys` for ``left``. Rows of hot keys meet their few matches
+    ``hot`` is the result of :func:`hot_keys` for ``left``, which should be a stored table. Rows of hot keys meet their few matches
     by broadcast and are not shuffled; all others take the ordinary join.
     """
     if hot is None:
