@@ -101,11 +101,11 @@ class Prepared:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.table.select("src", "dst", "out_slot").repartition(self.parts, "src", "out_slot").persist()
+        return _kept(self.table.select("src", "dst", "out_slot").repartition(self.parts, "src", "out_slot"))
 
     @cached_property
     def reversed_edges(self) -> DataFrame:
-        return self.table.select("src", "dst", "in_slot").repartition(self.parts, "dst", "in_slot").persist()
+        return _kept(self.table.select("src", "dst", "in_slot").repartition(self.parts, "dst", "in_slot"))
 
     def forward(self, sent: DataFrame) -> DataFrame:
         """What the sources in ``sent`` (src, out_slot, ...) send along their edges."""
@@ -125,6 +125,13 @@ class Prepared:
                 self.__dict__[side].unpersist()
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Persisted and filled: only a filled cache shows its layout to the planner."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def _slots(degree: str, slot_edges: int) -> Column:
     return F.greatest(F.ceil(F.col(degree) / slot_edges), F.lit(1)).cast("int")
 
@@ -135,7 +142,9 @@ def prepare(network: Network, label: str, slot_edges: int | None = None) -> Prep
     workspace = Workspace(spark, label)
     names = workspace.save(number_nodes(network.vertices), "names")
     edges = workspace.save(network.edges.select("src", "dst"), "listed")
-    edges = workspace.save(encode_edges(edges, names), "edges")
+    # Stored slot columns, not constants: the planner must see the layout the joins ask for.
+    slots = {"out_slot": F.lit(0), "in_slot": F.lit(0)}
+    edges = workspace.save(encode_edges(edges, names).withColumns(slots), "edges")
     vertices, facts = workspace.save_counted(
         degrees(names.select(F.col("idx").alias("id")), edges)
         .withColumn("in_slots", _slots("in_degree", slot_edges))
@@ -146,12 +155,12 @@ def prepare(network: Network, label: str, slot_edges: int | None = None) -> Prep
     for end, other, most in (("src", "dst", facts["o"]), ("dst", "src", facts["i"])):
         slot = "out_slot" if end == "src" else "in_slot"
         if (most or 1) == 1:
-            edges = edges.withColumn(slot, F.lit(0))
             continue
         many = vertices.filter(F.col(f"{slot}s") > 1).select(F.col("id").alias(end), F.col(f"{slot}s").alias("_s"))
-        edges = lookup(edges, many, [end], "left", hot_keys(edges, [end], total=facts["m"])).withColumn(
+        cut = lookup(edges, many, [end], "left", hot_keys(edges, [end], total=facts["m"])).withColumn(
             slot, F.expr(f"cast(pmod(xxhash64({other}), coalesce(_s, 1)) as int)")
-        ).drop("_s")
+        )
+        edges = workspace.save(cut.select("src", "dst", "out_slot", "in_slot"), f"edges-{slot}")
     parts = max(spark.sparkContext.defaultParallelism, ceil((facts["m"] or 0) / EDGES_PER_PARTITION))
     return Prepared(workspace, names, vertices, edges, facts["n"], parts)
 

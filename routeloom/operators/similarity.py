@@ -5,16 +5,21 @@ Sets are tables (id, member, ...) in long form, as given by ``network.successors
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
 from ..session import stage
 from ..skew import hot_keys, lookup, salted_join, settled
+from .ranks import row_numbers
 
 PRIME = 2_147_483_647
 STEP = 48_271
 BANDS, ROWS = 64, 2
+# Sizes of one class differ by less than this factor.
+SIZE_CLASS = 1.5
 THRESHOLD = (1 / BANDS) ** (1 / ROWS)
 
 
@@ -142,14 +147,20 @@ def set_profiles(sets: DataFrame) -> DataFrame:
     return lookup(prints, names, on, "inner", hot_keys(prints, on, total=total)).select("id", "profile")
 
 
+def _overlap(m: Column, n: Column, t: float) -> Column:
+    """Smallest overlap that lifts two sets of sizes ``m`` and ``n`` to Jaccard ``t``."""
+    return F.ceil((m + n) * t / (1 + t) - 1e-9)
+
+
 def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct sets with Jaccard >= ``t``: (a, b, members_a, members_b, jaccard).
 
     Nodes with equal sets are one profile, so any number of copies costs one row; a profile held
     by several nodes is paired with itself. Candidates come from length-aware prefixes: with sizes
     m and n a pair needs an overlap of o = ceil(t (m + n) / (1 + t)), so it must share one of the
-    m - o + 1 rarest members of one and the n - o + 1 rarest of the other. The join key holds both
-    sizes, which keeps frequent members out of the index unless sharing one already decides.
+    m - o + 1 rarest members of one and the n - o + 1 rarest of the other. The join key holds the
+    classes of both sizes, which keeps frequent members out of the index unless sharing one nearly
+    decides already.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
@@ -157,36 +168,47 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     profiles = stage(set_profiles(rows), "profiles")
     holders = profiles.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))
     kept, total = settled(rows.join(holders.select(F.col("profile").alias("id")), "id", "left_semi"))
+    # Members are numbered from rare to frequent and profiles by name, so that the long tables
+    # below hold whole numbers only.
     frequency = kept.groupBy("member").agg(F.count(F.lit(1)).alias("freq"))
-    weighted = stage(lookup(kept, frequency, ["member"], "inner", hot_keys(kept, ["member"], total=total)), "weighted")
-    sizes = weighted.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    # Rarest members first; the place comes from one global sort, so no set is gathered in a task.
-    from .ranks import row_numbers
-
-    sorted_rows = row_numbers(weighted, ["id", "freq", "member"], "_rn")
+    codes = row_numbers(frequency, ["freq", "member"], "code").select("member", "code")
+    numbers = stage(row_numbers(holders.select(F.col("profile").alias("name")), ["name"], "id"), "numbers")
+    coded = lookup(kept, codes, ["member"], "inner", hot_keys(kept, ["member"], total=total)).select(F.col("id").alias("name"), F.col("code").alias("member"))
+    coded = stage(coded, "coded")
+    coded = lookup(coded, numbers, ["name"], "inner", hot_keys(coded, ["name"], total=total)).select("id", "member")
+    # The place of a member in its set comes from one global sort, so no set is gathered in a task.
+    sorted_rows = row_numbers(coded, ["id", "member"], "_rn")
     starts = sorted_rows.groupBy("id").agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("n"))
     placed = stage(
-        lookup(sorted_rows, starts, ["id"], "inner", hot_keys(sorted_rows, ["id"])).select(
+        lookup(sorted_rows, starts, ["id"], "inner", hot_keys(sorted_rows, ["id"], total=total)).select(
             "id", "member", "n", (F.col("_rn") - F.col("_start") + 1).alias("place")
         ),
         "placed",
     )
-    # Distinct sizes add up to at most the member rows, so there are at most about their square root.
-    all_sizes = sizes.agg(F.collect_set("n").alias("k")).scalar()
-    need = F.ceil((F.col("n") + F.col("m")) * t / (1 + t) - 1e-9)
-    fits = (F.col("m") >= F.col("n") * t - 1e-9) & (F.col("m") <= F.col("n") / t + 1e-9) & (F.col("place") <= F.col("n") - need + 1)
-    tokens = placed.select("id", "member", "n", "place", F.explode(all_sizes).alias("m")).filter(fits)
-    left = tokens.select(F.col("id").alias("a"), "member", "n", "m")
-    right = tokens.select(F.col("id").alias("b"), "member", F.col("m").alias("n"), F.col("n").alias("m"))
-    on = ["member", "n", "m"]
-    found = salted_join(left, right, on, "b", hot_keys(stage(right, "tokens"), on)).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    exact = jaccard(found.select(F.col("a").alias("id"), F.col("b").alias("other")), rows).filter(F.col("jaccard") >= t)
-    counts = holders.select(F.col("profile").alias("a"), F.col("held").alias("members_a"))
-    pairs = (
-        exact.select(F.col("id").alias("a"), F.col("other").alias("b"), "jaccard")
-        .join(counts, "a")
-        .join(counts.select(F.col("a").alias("b"), F.col("members_a").alias("members_b")), "b")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / log(SIZE_CLASS)).cast("int")
+    classed = placed.withColumn("cls", size_class)
+    # A few dozen classes at most, since they grow geometrically.
+    spans = classed.filter("place = 1").groupBy("cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    all_classes = spans.agg(F.collect_list(F.struct("cls", "lo", "hi")).alias("k")).scalar()
+    least = F.greatest(F.col("p.lo"), F.ceil(F.col("n") * t - 1e-9))
+    reachable = (F.col("p.hi") >= F.col("n") * t - 1e-9) & (F.col("p.lo") <= F.col("n") / t + 1e-9)
+    tokens = stage(
+        classed.select("*", F.explode(all_classes).alias("p"))
+        .filter(reachable & (F.col("place") <= F.col("n") - _overlap(F.col("n"), least, t) + 1))
+        .select("id", "member", "n", "place", "cls", F.col("p.cls").alias("partner")),
+        "tokens",
     )
+    left = tokens.select(F.col("id").alias("a"), "member", F.col("n").alias("na"), F.col("place").alias("pa"), F.col("cls").alias("ca"), F.col("partner").alias("cb"))
+    right = tokens.select(F.col("id").alias("b"), "member", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("partner").alias("ca"), F.col("cls").alias("cb"))
+    on = ["member", "ca", "cb"]
+    need = _overlap(F.col("na"), F.col("nb"), t)
+    decisive = (F.col("a") < F.col("b")) & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
+    found = salted_join(left, right, on, "b", hot_keys(right, on)).filter(decisive).select("a", "b").distinct()
+    exact = jaccard(found.select(F.col("a").alias("id"), F.col("b").alias("other")), placed.select("id", "member")).filter(F.col("jaccard") >= t)
+    counts = numbers.join(holders.withColumnRenamed("profile", "name"), "name")
+    first = counts.select("id", F.col("name").alias("a"), F.col("held").alias("members_a"))
+    second = counts.select(F.col("id").alias("other"), F.col("name").alias("b"), F.col("held").alias("members_b"))
+    pairs = exact.join(first, "id").join(second, "other")
     same = holders.filter("held > 1").select(
         F.col("profile").alias("a"), F.col("profile").alias("b"), F.col("held").alias("members_a"), F.col("held").alias("members_b"),
         F.lit(1.0).alias("jaccard"),
