@@ -29,7 +29,7 @@ from ..operators import (
     similarity,
     stats,
 )
-from ..session import Workspace
+from ..session import Workspace, stage
 from ..sources import files
 from .inputs import CODE, NODE_COLS, POINT_COLS, Inputs
 from .oracle import compose, ratio, rnd
@@ -864,7 +864,8 @@ def _(i: Inputs) -> DataFrame:
 
 @query("jaccard_exact", f"SELECT id, other, common, {rnd('jaccard', 8)} AS jaccard FROM candidate_jaccard")
 def _(i: Inputs) -> DataFrame:
-    return rounded(similarity.jaccard(similarity.lsh_candidates(_queries(i), _bands(i)), i.sets), 8)
+    candidates = stage(similarity.lsh_candidates(_queries(i), _bands(i)), "candidates")
+    return rounded(similarity.jaccard(candidates, i.sets), 8)
 
 
 @query(

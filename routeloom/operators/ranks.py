@@ -122,33 +122,29 @@ def sorted_curve(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     return row_numbers(df.select(id_col, col), [col, id_col], "position").select("position", col)
 
 
-def exact_quantiles(long: DataFrame, groups: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, one row per (group, q).
+def exact_quantiles(long: DataFrame, groups: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles, one row per group and one column per name in ``qs``.
 
-    Sorts once over all groups and picks the wanted places by row number, so that a group of any
-    size spreads over many tasks.
+    Equal values are counted first, so a frequent value is one row; one sort over all groups then
+    places the values, and the value at place p is the largest one with fewer than p rows before
+    it. No group is gathered in a task, however large it is.
     """
-    rows = row_numbers(long.filter(F.col(value).isNotNull()).select(*groups, value), [*groups, value], "_rn")
-    spans = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_rn").alias("_start"))
-    wanted = spans.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn(
-        "_at", F.col("q") * (F.col("_n") - 1)
-    )
-    low = F.floor("_at").cast("bigint")
-    picks = wanted.select(
-        *groups,
-        "q",
-        F.explode(
-            F.array(
-                F.struct((F.col("_start") + low).alias("rn"), (1 - (F.col("_at") - low)).alias("w")),
-                F.struct(
-                    (F.col("_start") + F.least(low + 1, F.col("_n") - 1)).alias("rn"),
-                    (F.col("_at") - low).alias("w"),
-                ),
-            )
-        ).alias("_pick"),
-    ).select(*groups, "q", F.col("_pick.rn").alias("_rn"), F.col("_pick.w").alias("_w"))
-    return (
-        picks.join(rows.select("_rn", value), "_rn")
-        .groupBy(*groups, "q")
-        .agg(F.sum(F.col(value) * F.col("_w")).alias("quantile"))
+    counted, total = settled(
+        long.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_ties"))
     )
+    placed = running_total(counted, [*groups, value], "_ties", "_before")
+    spans = placed.groupBy(*groups).agg(F.sum("_ties").alias("_n"), F.min("_before").alias("_start"))
+    located = lookup(placed, spans, groups, "inner", hot_keys(placed, groups, total=total))
+    before = F.col("_before") - F.col("_start")
+    ends, exprs = [], []
+    for name, q in qs.items():
+        at = (F.col("_n") - 1) * q
+        low = F.floor(at)
+        ends += [
+            F.max(F.when(before <= low, F.col(value))).alias(f"{name}_low"),
+            F.max(F.when(before <= F.least(low + 1, F.col("_n") - 1), F.col(value))).alias(f"{name}_high"),
+            F.max(at - low).alias(f"{name}_part"),
+        ]
+        part = F.col(f"{name}_part")
+        exprs.append((F.col(f"{name}_low") * (1 - part) + F.col(f"{name}_high") * part).alias(name))
+    return located.groupBy(*groups).agg(*ends).select(*groups, *exprs)

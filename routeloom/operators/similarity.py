@@ -86,7 +86,7 @@ def jaccard_estimate(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, other, common, jaccard) of given pairs, exactly."""
+    """(id, other, common, jaccard) of given pairs, exactly. ``pairs`` should be a stored table."""
     sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     members = sets.select("id", "member")
     shared = (
@@ -204,7 +204,8 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     need = _overlap(F.col("na"), F.col("nb"), t)
     decisive = (F.col("a") < F.col("b")) & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
     found = salted_join(left, right, on, "b", hot_keys(right, on)).filter(decisive).select("a", "b").distinct()
-    exact = jaccard(found.select(F.col("a").alias("id"), F.col("b").alias("other")), placed.select("id", "member")).filter(F.col("jaccard") >= t)
+    found = stage(found.select(F.col("a").alias("id"), F.col("b").alias("other")), "found")
+    exact = jaccard(found, placed.select("id", "member")).filter(F.col("jaccard") >= t)
     counts = numbers.join(holders.withColumnRenamed("profile", "name"), "name")
     first = counts.select("id", F.col("name").alias("a"), F.col("held").alias("members_a"))
     second = counts.select(F.col("id").alias("other"), F.col("name").alias("b"), F.col("held").alias("members_b"))

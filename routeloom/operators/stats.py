@@ -10,6 +10,8 @@ from ..functions.student_t import two_sided_p
 from ..skew import hot_keys, lookup, settled
 from .ranks import average_rank, ccdf, degree_histogram, exact_quantiles, rank_degree
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
 
 def _long(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
     wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -18,14 +20,12 @@ def _long(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
 
 def describe_metrics(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    long = _long(df, [], cols)
+    long, _ = settled(_long(df, [], cols))
     base = long.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, ["metric"], "value", [0.25, 0.5, 0.75]).groupBy("metric").agg(
-        *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    )
+    quartiles = exact_quantiles(long, ["metric"], "value", QUARTILES)
     return base.join(quartiles, "metric").select("metric", "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
@@ -76,9 +76,7 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
 def cluster_boxes(points: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     """Box-plot figures per metric and cluster: quartiles, 1.5 IQR whiskers, rows outside them."""
     long, total = settled(_long(points, [cluster], cols))
-    quartiles = exact_quantiles(long, ["metric", cluster], "value", [0.25, 0.5, 0.75]).groupBy("metric", cluster).agg(
-        *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    )
+    quartiles = exact_quantiles(long, ["metric", cluster], "value", QUARTILES)
     on = ["metric", cluster]
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
