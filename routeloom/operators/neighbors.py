@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from ..skew import hot_keys, lookup, salted_join
-from .blocks import block_pairs, distinct_points, far_squared, link_copies, near_squared, pack, whole_numbered
+from .blocks import distinct_points, far_squared, link_copies, near_pairs, pack, whole_numbered
 from .components import components
 from .ranks import row_numbers
 
@@ -46,7 +48,7 @@ def _within_blocks(blocks: DataFrame, dims: int, eps: float) -> DataFrame:
     """(pid, n_within) of merged points, themselves and their copies included."""
     eps2 = eps * eps
     heads = blocks.select(*HEAD, F.aggregate("weight", F.lit(0).cast("bigint"), lambda s, w: s + w).alias("mass"))
-    pairs = block_pairs(heads.drop("mass"), heads, blocks.count()).filter(near_squared(*_boxes()) <= eps2)
+    pairs = near_pairs(heads.drop("mass"), heads, blocks.count(), dims, eps2)
     # Blocks that lie wholly within reach need no distances.
     inside = far_squared(*_boxes()) <= eps2 * (1 - 1e-12)
     sure = pairs.filter(inside).groupBy(F.col("l_block").alias("block")).agg(F.sum("r_mass").cast("double").alias("mass"))
@@ -123,14 +125,20 @@ def knn(points: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
         lambda acc, near: F.greatest(acc, F.when(F.size(near) >= k, F.try_element_at(near, F.lit(k))["d"]).otherwise(unknown)),
     )
     local = stage(blocks.select(*HEAD, search("xs", "xs", "ids").alias("near")).select(*HEAD, bound.alias("reach")), "bounds")
-    pairs = block_pairs(local, local.drop("reach"), blocks.count()).filter(near_squared(*_boxes()) <= F.col("l_reach") * (1 + 1e-9))
+    count = blocks.count()
+    pairs = near_pairs(local, local.drop("reach"), count, dims, "reach")
     work = _with_payload(pairs.select("l_block", "r_block"), blocks, ["ids", "xs"], ["ids", "xs"])
     found = work.select(
-        F.explode(F.arrays_zip(F.col("l_ids").alias("pid"), search("l_xs", "r_xs", "r_ids").alias("near"))).alias("z")
-    ).select("z.pid", F.explode("z.near").alias("n"))
+        "r_block", F.explode(F.arrays_zip(F.col("l_ids").alias("pid"), search("l_xs", "r_xs", "r_ids").alias("near"))).alias("z")
+    ).select("z.pid", "r_block", F.explode("z.near").alias("n"))
     candidate = F.struct(F.col("n.d").alias("d"), (F.col("n.pid") != F.col("pid")).alias("other"), F.col("n.pid").alias("nbr"))
-    # Candidates per point: k for each block its own block was compared with.
-    best = found.groupBy("pid").agg(F.slice(F.sort_array(F.collect_list(candidate)), 1, k).alias("b"))
+    # Every compared block adds k candidates to a point; merging them in two steps keeps each list
+    # within k times the square root of the number of blocks.
+    stride = max(1, isqrt(count))
+    some = found.groupBy("pid", F.expr(f"r_block div {stride}").alias("part")).agg(
+        F.slice(F.sort_array(F.collect_list(candidate)), 1, k).alias("b")
+    )
+    best = some.groupBy("pid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
     near = best.select("pid", F.posexplode("b").alias("p", "n")).select(
         "pid", F.col("n.nbr").alias("nbr"), F.sqrt("n.d").alias("dist"), (F.col("p") + 1).alias("rank")
     )
@@ -227,7 +235,7 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 1.0, min_pts: int =
     grouped = stage(blocks.withColumn("grp", _local_groups(dims, eps2)("xs", "core")), "grouped")
     count = grouped.count()
     pairs = stage(
-        block_pairs(grouped.select(HEAD), grouped.select(HEAD), count).filter(near_squared(*_boxes()) <= eps2).select("l_block", "r_block"),
+        near_pairs(grouped.select(HEAD), grouped.select(HEAD), count, dims, eps2).select("l_block", "r_block"),
         "pairs",
     )
     member = grouped.select("block", F.explode(F.arrays_zip(F.col("ids").alias("pid"), F.col("grp").alias("g"), F.col("core").alias("core"))).alias("z")).select(

@@ -101,11 +101,11 @@ class Prepared:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return _kept(self.table.select("src", "dst", "out_slot").repartition(self.parts, "src", "out_slot"))
+        return kept(self.table.select("src", "dst", "out_slot").repartition(self.parts, "src", "out_slot"))
 
     @cached_property
     def reversed_edges(self) -> DataFrame:
-        return _kept(self.table.select("src", "dst", "in_slot").repartition(self.parts, "dst", "in_slot"))
+        return kept(self.table.select("src", "dst", "in_slot").repartition(self.parts, "dst", "in_slot"))
 
     def forward(self, sent: DataFrame) -> DataFrame:
         """What the sources in ``sent`` (src, out_slot, ...) send along their edges."""
@@ -125,7 +125,7 @@ class Prepared:
                 self.__dict__[side].unpersist()
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Persisted and filled: only a filled cache shows its layout to the planner."""
     df = df.persist()
     df.count()

@@ -34,6 +34,8 @@ def limits(request, monkeypatch):
 
         monkeypatch.setattr(skew, "HOT_ROWS", 8)
         monkeypatch.setattr(blocks.pack, "__defaults__", ([], 7))
+        monkeypatch.setattr(blocks, "RUN_BLOCKS", 3)
+        monkeypatch.setattr(blocks, "_NUMBERS", 4)
 
 
 def distances(cloud):
