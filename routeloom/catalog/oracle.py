@@ -218,6 +218,26 @@ part("density_clusters", """
     SELECT q.a AS id, min(k.cluster) AS cluster FROM point_pairs q JOIN core_labels k ON k.id = q.b WHERE q.d2 <= 1.0 GROUP BY 1) b ON b.id = p.id""")
 part("near_points", "SELECT a AS id, b AS nbr, sqrt(d2) AS dist, row_number() OVER (PARTITION BY a ORDER BY d2, a <> b, b) AS rank FROM point_pairs")
 
+# Principal components: a covariance matrix squared often enough leaves its leading direction in
+# every column; the second comes from what the first leaves over.
+_DIMS = range(len(POINT_COLS))
+part("cov_a0", " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, covar_samp({POINT_COLS[i]}, {POINT_COLS[j]}) AS v FROM points" for i in _DIMS for j in _DIMS))
+for _side, _next in (("a", "b"), ("b", None)):
+    for _t in range(20):
+        part(f"cov_{_side}{_t + 1}", f"""
+          SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM (
+            SELECT x.i, y.j, sum(x.v * y.v) AS v FROM cov_{_side}{_t} x JOIN cov_{_side}{_t} y ON x.j = y.i GROUP BY 1, 2)""")
+    part(f"axis_{_side}", f"""
+      SELECT i, v / sqrt(sum(v * v) OVER ()) * (CASE WHEN arg_max(v, abs(v)) OVER () < 0 THEN -1 ELSE 1 END) AS v
+      FROM cov_{_side}20 WHERE j = (SELECT j FROM cov_{_side}20 WHERE i = j ORDER BY v DESC LIMIT 1)""")
+    part(f"spread_{_side}", f"""
+      SELECT sum(x.v * c.v * y.v) AS v FROM cov_{_side}0 c JOIN axis_{_side} x ON x.i = c.i JOIN axis_{_side} y ON y.i = c.j""")
+    if _next:
+        part(f"cov_{_next}0", f"""
+          SELECT c.i, c.j, c.v - (SELECT v FROM spread_{_side}) * x.v * y.v AS v
+          FROM cov_{_side}0 c JOIN axis_{_side} x ON x.i = c.i JOIN axis_{_side} y ON y.i = c.j""")
+
 part("sets", "SELECT src AS id, dst AS member FROM edges WHERE src IN (SELECT id FROM known_nodes)")
 part("set_sizes", "SELECT id, count(*) AS n FROM sets GROUP BY id")
 _MINIMA = ", ".join(f"min((h * {a} + {b}) % 2147483647)" for a, b in permutations(128))

@@ -794,9 +794,20 @@ def _(i: Inputs) -> DataFrame:
     return rounded(scores.calinski_harabasz(i.labelled_points, POINT_COLS), 4)
 
 
-@query("pca_project")
+def _pca_sql(axis: str) -> str:
+    return " + ".join(f"({c} - avg({c}) OVER ()) * (SELECT v FROM axis_{axis} WHERE i = {n})" for n, c in enumerate(POINT_COLS))
+
+
+@query(
+    "pca_project",
+    f"""SELECT id, {rnd(_pca_sql('a'), 6)} AS pca_1, {rnd(_pca_sql('b'), 6)} AS pca_2,
+        {rnd('(SELECT v FROM spread_a) / (SELECT sum(v) FROM cov_a0 WHERE i = j)', 6)} AS share_1,
+        {rnd('(SELECT v FROM spread_b) / (SELECT sum(v) FROM cov_a0 WHERE i = j)', 6)} AS share_2 FROM points""",
+)
 def _(i: Inputs) -> DataFrame:
-    return rounded(projection.pca(i.points, POINT_COLS)[0].select("id", "pca_1", "pca_2"))
+    projected, shares = projection.pca(i.points, POINT_COLS)
+    with_shares = projected.select("id", "pca_1", "pca_2", *[F.lit(s).alias(f"share_{n + 1}") for n, s in enumerate(shares)])
+    return rounded(with_shares)
 
 
 @query("kdist", f"SELECT id, {rnd('dist', 8)} AS dist FROM near_points WHERE rank = 5")
