@@ -12,6 +12,7 @@ from ..operators import (
     clean,
     components,
     facts,
+    hierarchy,
     kmeans,
     mixing,
     neighbors,
@@ -827,7 +828,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("hierarchy_ward")
 def _(i: Inputs) -> DataFrame:
-    return rounded(projection.ward_tree(i.points, POINT_COLS, 30), 6)
+    return rounded(hierarchy.ward_tree(i.points, POINT_COLS, 30), 6)
 
 
 @query("cluster_profile", f"SELECT id, name, region, {rnd('avg_delay', 4)} AS avg_delay, {rnd('delay_std', 4)} AS delay_std, {rnd('num_flights', 4)} AS num_flights, cluster, degree FROM clustered")

@@ -1,8 +1,7 @@
-"""Principal components and the Ward tree."""
+"""Principal components."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -30,35 +29,3 @@ def pca(points: DataFrame, cols: list[str], k: int = 2) -> tuple[DataFrame, list
 def explained_variance(points: DataFrame, cols: list[str], k: int = 2) -> DataFrame:
     shares = pca(points, cols, k)[1]
     return points.sparkSession.createDataFrame([(i + 1, s) for i, s in enumerate(shares)], "component int, share double")
-
-
-def ward_tree(points: DataFrame, cols: list[str], groups: int = 30, seed: int = 42) -> DataFrame:
-    """(step, left, right, height, size): Ward merges over at most ``groups`` micro-groups.
-
-    The pass over the data is a k-means into micro-groups; the tree over their few centers is
-    built next to it. Groups are numbered 0..g-1 by center, merges continue the numbering.
-    """
-    vectors = VectorAssembler(inputCols=cols, outputCol="_vector").transform(points)
-    model = KMeans(k=groups, seed=seed, featuresCol="_vector", predictionCol="_group", maxIter=50).fit(vectors)
-    heads = (
-        model.transform(vectors)
-        .groupBy("_group")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
-        .orderBy(*cols)
-        .collect()
-    )
-    alive = {i: (h["n"], [h[c] for c in cols]) for i, h in enumerate(heads)}
-    rows = []
-
-    def cost(a: int, b: int) -> float:
-        (na, ca), (nb, cb) = alive[a], alive[b]
-        return na * nb / (na + nb) * sum((x - y) ** 2 for x, y in zip(ca, cb))
-
-    while len(alive) > 1:
-        names = sorted(alive)
-        gap, a, b = min((cost(a, b), a, b) for i, a in enumerate(names) for b in names[i + 1 :])
-        (na, ca), (nb, cb) = alive.pop(a), alive.pop(b)
-        size = na + nb
-        alive[len(heads) + len(rows)] = (size, [(na * x + nb * y) / size for x, y in zip(ca, cb)])
-        rows.append((len(rows) + 1, a, b, (2.0 * gap) ** 0.5, size))
-    return points.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size bigint")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import blocks, kmeans, neighbors, projection, scaling, scores
+from routeloom.operators import blocks, hierarchy, kmeans, neighbors, projection, scaling, scores
 
 COLS = ["x", "y"]
 
@@ -141,9 +141,29 @@ def test_pca_matches_eigenvectors(points, cloud):
     assert np.allclose(got, centered @ vectors)
 
 
-def test_ward_tree_of_single_points(spark):
-    df = spark.createDataFrame([(i, v, 0.0) for i, v in enumerate((0.0, 1.0, 10.0, 12.0))], "id int, x double, y double")
-    rows = projection.ward_tree(df, COLS, groups=4).orderBy("step").collect()
-    assert [r["size"] for r in rows] == [2, 2, 4]
-    # Centers .5 and 11, two points each: sqrt(2 * 2 * 2 / 4 * 10.5 ** 2)
-    assert np.allclose([r["height"] for r in rows], [1.0, 2.0, math.sqrt(2 * 10.5**2)])
+def plain_ward(cloud):
+    clusters = {i: (1, p) for i, p in enumerate(cloud)}
+    merges = []
+    while len(clusters) > 1:
+        names = sorted(clusters)
+        cost, a, b = min(
+            (2 * clusters[a][0] * clusters[b][0] / (clusters[a][0] + clusters[b][0]) * ((clusters[a][1] - clusters[b][1]) ** 2).sum(), a, b)
+            for i, a in enumerate(names) for b in names[i + 1 :]
+        )
+        (n, x), (m, y) = clusters.pop(a), clusters.pop(b)
+        clusters[min(a, b)] = (n + m, (n * x + m * y) / (n + m))
+        merges.append((math.sqrt(cost), n, m))
+    return merges
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_ward_tree(spark, cloud, few, monkeypatch):
+    monkeypatch.setattr(hierarchy, "FEW_CLUSTERS", few)
+    monkeypatch.setattr(blocks.pack, "__defaults__", ([], 16))
+    some = cloud[::2]
+    df = spark.createDataFrame([(f"q{i:02d}", float(a), float(b)) for i, (a, b) in enumerate(some)], "id string, x double, y double")
+    want = plain_ward(some)[-9:]
+    rows = hierarchy.ward_tree(df, COLS, groups=10).orderBy("step").collect()
+    assert np.allclose([r["height"] for r in rows], [m[0] for m in want])
+    assert [{r["left_size"], r["right_size"]} for r in rows] == [{m[1], m[2]} for m in want]
+    assert sorted(x for r in rows for x in (r["left"], r["right"])) == list(range(18)) and rows[-1]["size"] == len(some)
