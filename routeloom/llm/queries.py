@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing
+from . import decontaminate, line_dedup, ngram_join, packing
 from .shared import documents
 
 # Upper and lower letters A to Z for SQL's translate().
@@ -69,9 +69,37 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM doc WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM met JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edge AS (SELECT a AS src, b AS dst FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT DISTINCT src AS doc_id, src AS other FROM edge
+  UNION
+  SELECT reach.doc_id, edge.dst FROM reach JOIN edge ON reach.other = edge.src)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, smallest), doc_id) AS component_id
+FROM doc LEFT JOIN sized USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS smallest FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op8_packing": op8_packing,
+    "op9_ngram_join": op9_ngram_join,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_decontaminate": OP5_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL}

@@ -142,3 +142,24 @@ def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = FOLD, kinds:
         rows = np.searchsorted(own, start, side="right") - 1 + row
         yield Words(part, own, row, rows, start, end, _codes(part, start, end))
         row = upto
+
+
+class Codes:
+    """A sorted array of distinct codes with a bit map in front of it: most codes that are not in it cost one look."""
+
+    SLOT_BITS = 24
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes.astype(np.uint64))
+        slot = self.codes >> np.uint64(64 - self.SLOT_BITS)
+        self.slots = np.zeros((1 << self.SLOT_BITS) // 8, dtype=np.uint8)
+        np.bitwise_or.at(self.slots, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``codes`` that are known, their ranks in the sorted array)."""
+        slot = codes >> np.uint64(64 - self.SLOT_BITS)
+        near = np.flatnonzero((self.slots[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+        rank = np.searchsorted(self.codes, codes[near])
+        rank[rank == len(self.codes)] = 0
+        sure = self.codes[rank] == codes[near] if len(self.codes) else np.zeros(0, bool)
+        return near[sure], rank[sure]
