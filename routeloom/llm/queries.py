@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing
-from .shared import documents
+from . import decontaminate, line_dedup, ngram_join, packing, toxicity
+from .shared import documents, fold_of
 
 # Upper and lower letters A to Z for SQL's translate().
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -65,6 +65,18 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, fold_of("doc_id", 3) != 1)
+    return _scored(toxicity.score(docs.select("doc_id", "text"), model), fold_of("row.doc_id", 3) == 1)
+
+
+def _scored(found: DataFrame, held_out) -> DataFrame:
+    return found.select(
+        F.col("row.doc_id"), held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -99,6 +111,7 @@ LEFT JOIN (SELECT doc_id, min(other) AS smallest FROM reach GROUP BY doc_id) USI
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
 }
