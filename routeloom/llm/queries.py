@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, toxicity
+from . import decontaminate, line_dedup, ngram_join, packing, quality, toxicity
 from .shared import documents, fold_of
 
 # Upper and lower letters A to Z for SQL's translate().
@@ -71,6 +71,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs.select("doc_id", "text"), model), fold_of("row.doc_id", 3) == 1)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, fold_of("doc_id", 4) != 2)
+    return _scored(quality.score(docs.select("doc_id", "text"), model), fold_of("row.doc_id", 4) == 2)
+
+
 def _scored(found: DataFrame, held_out) -> DataFrame:
     return found.select(
         F.col("row.doc_id"), held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
@@ -114,5 +120,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL}

@@ -5,8 +5,8 @@ read in windows of ``WINDOW`` words that overlap by half; all of them are scored
 Training sees labels of whole documents: in later rounds only those windows of a toxic document count as positive that look so,
 and the clean windows that look worst count as negative.
 
-The network is fitted on the driver on at most ``max_rows`` labelled rows of either kind, the first in order of a hash of
-their id, with at most ``max_chars`` characters each. Scoring reads all documents in one pass without a shuffle.
+The network is fitted on the driver on at most ``max_rows`` toxic and twice as many other labelled rows, the first in order of
+a hash of their id, with at most ``max_chars`` characters each. Scoring reads all documents in one pass without a shuffle.
 
 Defined results: null and empty texts have one empty window and get the score of that. Labels without a text, and null labels, teach
 nothing; without any labelled row the network stays at its start and every score is the same. Extra columns are left alone.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tokens import ALNUM, Codes, Words, mix, words
+from .training import training_rows
 
 WINDOW, STEP = 32, 16
 GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
@@ -237,19 +238,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
     return {**net.p, "known": known}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` texts of label 1 and twice as many of label 0, chosen by a hash of their id."""
-    known = labels.filter(learn_from & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    picked = known.filter("_label = 1").orderBy(*order).limit(max_rows).unionByName(known.filter("_label = 0").orderBy(*order).limit(2 * max_rows))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.char_length("_text").between(1, max_chars))
-    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).toArrow().sort_by("_id")
-    return rows.column("_text").to_pylist(), rows.column("_label").to_numpy().astype(np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, **columns) -> dict[str, np.ndarray]:
-    return fit(*training_rows(docs, labels, learn_from, **columns))
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray]:
+    return fit(*training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars))
 
 
 def _scores(model):
