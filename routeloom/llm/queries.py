@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, toxicity
+from . import decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk, toxicity
 from .shared import documents, fold_of
 
 # Upper and lower letters A to Z for SQL's translate().
@@ -36,6 +36,27 @@ FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("id") % 20 == 0, 20).withColumnRenamed("id", "vec_id")
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digest(decontaminate.contamination(documents(spark, sf_dir), bench))
@@ -71,6 +92,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs.select("doc_id", "text"), model), fold_of("row.doc_id", 3) == 1)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs, fold_of("doc_id", 4) != 2))
+    return found.select(F.col("row.doc_id"), (fold_of("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, fold_of("doc_id", 4) != 2)
@@ -116,10 +143,13 @@ LEFT JOIN (SELECT doc_id, min(other) AS smallest FROM reach GROUP BY doc_id) USI
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_secrets": op3_secrets,
+    "op4_topk": op4_topk,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL}
