@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk, toxicity
+from . import decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, secrets, topk, toxicity
 from .shared import documents, fold_of
 
 # Upper and lower letters A to Z for SQL's translate().
@@ -36,6 +36,11 @@ FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select(F.col("row.page_id"), F.col("row.url"), F.col("main").alias("text"), F.char_length("main").cast("long").alias("n_chars"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -143,6 +148,7 @@ LEFT JOIN (SELECT doc_id, min(other) AS smallest FROM reach GROUP BY doc_id) USI
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_text": op2_html_text,
     "op3_secrets": op3_secrets,
     "op4_topk": op4_topk,
     "op5_decontaminate": op5_decontaminate,
