@@ -68,6 +68,11 @@ class Workspace:
         table = self.save(df.observe(seen, *[e.alias(n) for n, e in metrics.items()]), name)
         return table, seen.get
 
+    def remove(self) -> None:
+        """Deletes the folder with all its tables. For tables that no later action reads."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def load(self, names: str | list[str], like: DataFrame) -> DataFrame:
         names = [names] if isinstance(names, str) else names
         return self.spark.read.schema(like.schema).parquet(*[self.path(n) for n in names])
