@@ -46,7 +46,7 @@ BOILERPLATE = frozenset(
 # A class with one of these tells of a state, not of a part.
 STATES = frozenset("has with without no is".split())
 
-TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
+TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[!?/][^>]*>")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 DIGITS = re.compile(r"\d+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")

@@ -40,11 +40,12 @@ LEAST = 1.1
 MIN_LITERAL = 6
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|change_?me|example|placeholder|none|null|true|false|todo|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 
-_NAME = r"[A-Za-z_$@][\w$-]*(?:(?:\.|::|->)[A-Za-z_][\w-]*)*(?:\[['\"][\w.-]+['\"]\])?"
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+# Possessive, and from the start of a name only: linear in the text however long its words are.
+_NAME = r"[A-Za-z_$@][\w$-]*+(?:(?:\.|::|->)[A-Za-z_][\w-]*+)*+(?:\[['\"][\w.-]+['\"]\])?"
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 # One assignment: an optionally quoted or dashed name, an operator, then literals joined by + or . or blanks, or one bare word.
 PAIR = re.compile(
-    rf"(?P<q>[\"']?)(?:--)?(?P<name>{_NAME})(?P=q)[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*"
+    rf"(?<![\w$-])(?P<q>[\"']?)(?:--)?(?P<name>{_NAME})(?P=q)[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*"
     rf"(?P<value>[bfru]?(?:{_QUOTED})(?:[ \t]*[+.]?[ \t]*(?:{_QUOTED}))*|[^\s\"'`,;(){{}}\[\]]+)"
 )
 LITERAL = re.compile(_QUOTED)
