@@ -49,7 +49,7 @@ class Inputs:
 
     @cached_property
     def raw_nodes(self) -> DataFrame:
-        parts = self.table("part").filter("p_size <= 40 OR p_size >= 49").selectExpr(
+        parts = self.table("part").selectExpr(
             "CASE WHEN p_size = 50 THEN NULL WHEN p_size = 49 THEN 'p' || p_partkey ELSE 'P' || p_partkey END AS code",
             "p_name AS name", "p_brand AS region", "p_partkey AS num", "p_retailprice AS latitude", "cast(p_size AS double) AS longitude",
         )
@@ -61,7 +61,7 @@ class Inputs:
 
     @cached_property
     def raw_routes(self) -> DataFrame:
-        return self.table("lineitem").filter("l_linestatus = 'F' AND l_returnflag IN ('R', 'A')").selectExpr(
+        return self.table("lineitem").filter("l_linestatus = 'F'").selectExpr(
             f"CASE WHEN l_quantity = 50 THEN lower({ORIGIN}) ELSE {ORIGIN} END AS src",
             f"CASE WHEN l_discount = 0.1D THEN {ORIGIN} ELSE {DEST} END AS dst",
             "CASE WHEN l_tax >= 0.07D THEN 1 ELSE 0 END AS stops",
@@ -97,7 +97,7 @@ class Inputs:
 
     @cached_property
     def observed(self) -> DataFrame:
-        lines = self.table("lineitem").filter("l_linestatus = 'O' AND l_returnflag IN ('R', 'A')").selectExpr(
+        lines = self.table("lineitem").filter("l_linestatus = 'O'").selectExpr(
             f"{ORIGIN} AS src", f"CASE WHEN l_discount = 0.1D THEN {ORIGIN} ELSE {DEST} END AS dst"
         )
         return self._once("observed", lambda: lines.distinct())
@@ -128,10 +128,17 @@ class Inputs:
     def source_a(self) -> DataFrame:
         return facts.delay_metrics(self.completed.filter("num % 3 = 0"), "origin")
 
+    def _coded(self, rows: DataFrame) -> DataFrame:
+        return rows.selectExpr("'X' || origin AS origin", "'X' || dest AS dest", "status", "scheduled", "actual", "delay")
+
+    @cached_property
+    def all_coded_facts(self) -> DataFrame:
+        return self._coded(self.facts)
+
     @cached_property
     def coded_facts(self) -> DataFrame:
         """Second source: origin in the other code system, status text instead of flags."""
-        return self.facts.filter("num % 3 = 1 OR num % 10 = 0").selectExpr("'X' || origin AS origin", "'X' || dest AS dest", "status", "scheduled", "actual", "delay")
+        return self._coded(self.facts.filter("num % 3 = 1 OR num % 10 = 0"))
 
     @cached_property
     def source_b(self) -> DataFrame:
@@ -141,9 +148,15 @@ class Inputs:
     @cached_property
     def average_rows(self) -> DataFrame:
         """Third source: rows of averages as text, some of them no numbers, with a direction."""
+        return self._averages(self.facts.filter("num % 3 = 2"))
+
+    @cached_property
+    def all_average_rows(self) -> DataFrame:
+        return self._averages(self.facts)
+
+    def _averages(self, rows: DataFrame) -> DataFrame:
         return (
-            self.facts.filter("num % 3 = 2")
-            .groupBy("origin", F.col("line_status").alias("direction"), F.year("shipped").alias("yr"))
+            rows.groupBy("origin", F.col("line_status").alias("direction"), F.year("shipped").alias("yr"))
             .agg(F.sum("delay").alias("s"), F.count("delay").alias("c"))
             .selectExpr(
                 "origin", "direction", "yr",

@@ -31,13 +31,13 @@ def part(name: str, sql: str, header: str = "") -> None:
 part("raw_nodes", """
   SELECT CASE WHEN p_size = 50 THEN NULL WHEN p_size = 49 THEN 'p' || p_partkey ELSE 'P' || p_partkey END AS code,
     p_name AS name, p_brand AS region, p_partkey AS num, p_retailprice AS latitude, CAST(p_size AS DOUBLE) AS longitude
-  FROM part WHERE p_size <= 40 OR p_size >= 49
+  FROM part
   UNION ALL SELECT 'S' || s_suppkey, s_name, 'Nation#' || s_nationkey, s_suppkey, s_acctbal, CAST(s_nationkey AS DOUBLE) FROM supplier""")
 part("raw_routes", f"""
   SELECT CASE WHEN l_quantity = 50 THEN lower({_ORIGIN}) ELSE {_ORIGIN} END AS src,
     CASE WHEN l_discount = CAST(0.1 AS DOUBLE) THEN {_ORIGIN} ELSE {_DEST} END AS dst,
     CASE WHEN l_tax >= CAST(0.07 AS DOUBLE) THEN 1 ELSE 0 END AS stops
-  FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IN ('R', 'A')""")
+  FROM lineitem WHERE l_linestatus = 'F'""")
 part("facts", f"""
   SELECT *, CASE WHEN actual IS NULL THEN NULL WHEN actual < scheduled THEN 0.0
     ELSE date_diff('second', scheduled, actual) / CAST(60 AS DOUBLE) END AS delay
@@ -56,7 +56,7 @@ part("listed", """
 part("nodes0", "SELECT * FROM coded_nodes WHERE id IN (SELECT src FROM listed UNION SELECT dst FROM listed)")
 part("observed", f"""
   SELECT DISTINCT {_ORIGIN} AS src, CASE WHEN l_discount = CAST(0.1 AS DOUBLE) THEN {_ORIGIN} ELSE {_DEST} END AS dst
-  FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag IN ('R', 'A')""")
+  FROM lineitem WHERE l_linestatus = 'O'""")
 part("missing", "SELECT src, dst FROM observed EXCEPT SELECT src, dst FROM listed")
 part("edges", """
   SELECT src, dst FROM listed UNION
@@ -75,18 +75,20 @@ part("mapping", """
   UNION ALL SELECT 'X' || id, 'Z' || id, 1 FROM coded_nodes WHERE num % 17 = 0""")
 part("last_mapping", """
   SELECT code, arg_max(id, row_order) AS id FROM mapping WHERE code IS NOT NULL AND id IS NOT NULL GROUP BY code""")
+part("all_coded_facts", "SELECT 'X' || origin AS origin, 'X' || dest AS dest, status, scheduled, actual, delay FROM facts")
 part("coded_facts", "SELECT 'X' || origin AS origin, 'X' || dest AS dest, status, scheduled, actual, delay FROM facts WHERE num % 3 = 1 OR num % 10 = 0")
 part("source_b", """
   SELECT m.id, avg_delay, delay_std, num_flights FROM (
     SELECT origin, avg(delay) AS avg_delay, stddev_samp(delay) AS delay_std, count(delay) AS num_flights
     FROM coded_facts WHERE status = 'F' AND actual IS NOT NULL AND scheduled IS NOT NULL GROUP BY 1) f
   JOIN last_mapping m ON m.code = f.origin""")
-part("average_rows", """
+for _name, _where in (("average_rows", "WHERE num % 3 = 2"), ("all_average_rows", "")):
+    part(_name, f"""
   SELECT origin, direction, yr,
     CASE WHEN c = 0 OR yr % 5 = 0 THEN 'n/a' ELSE CAST(CAST(floor(s / c) AS BIGINT) AS VARCHAR) END AS avg_text,
     CAST(c AS VARCHAR) AS cnt_text
   FROM (SELECT origin, line_status AS direction, CAST(year(shipped) AS INTEGER) AS yr, sum(delay) AS s, count(delay) AS c
-    FROM facts WHERE num % 3 = 2 GROUP BY 1, 2, 3)""")
+    FROM facts {_where} GROUP BY 1, 2, 3)""")
 part("source_c", """
   SELECT origin AS id, sum(a * c) / nullif(sum(c), 0) AS avg_delay, stddev_samp(a) AS delay_std, sum(c) AS num_flights
   FROM (SELECT origin, coalesce(TRY_CAST(avg_text AS DOUBLE), 0.0) AS a, coalesce(TRY_CAST(cnt_text AS DOUBLE), 0.0) AS c
@@ -248,18 +250,19 @@ part("band_rows", """
   SELECT id, CAST(i AS INTEGER) AS band, sig[2 * i + 1] || '-' || sig[2 * i + 2] AS bucket
   FROM signatures CROSS JOIN (SELECT range AS i FROM range(64))""")
 part("queries", "SELECT DISTINCT id, sha1('42:' || id) AS h FROM sets ORDER BY h, id LIMIT 50")
-part("candidates", """
+for _all, _asked in (("", "a.id IN (SELECT id FROM queries) AND "), ("all_", "")):
+    part(f"{_all}candidates", f"""
   SELECT DISTINCT a.id, b.id AS other FROM band_rows a JOIN band_rows b ON a.band = b.band AND a.bucket = b.bucket
-  WHERE a.id IN (SELECT id FROM queries) AND a.id <> b.id""")
-part("query_overlaps", """
+  WHERE {_asked}a.id <> b.id""")
+    part(f"{_all}query_overlaps", f"""
   SELECT a.id, b.id AS other, count(*) AS common FROM sets a JOIN sets b ON a.member = b.member
-  WHERE a.id IN (SELECT id FROM queries) AND a.id <> b.id GROUP BY 1, 2""")
-part("query_jaccard", """
+  WHERE {_asked}a.id <> b.id GROUP BY 1, 2""")
+    part(f"{_all}query_jaccard", f"""
   SELECT o.id, o.other, o.common, CAST(o.common AS DOUBLE) / (x.n + y.n - o.common) AS jaccard
-  FROM query_overlaps o JOIN set_sizes x ON x.id = o.id JOIN set_sizes y ON y.id = o.other""")
-part("candidate_jaccard", """
+  FROM {_all}query_overlaps o JOIN set_sizes x ON x.id = o.id JOIN set_sizes y ON y.id = o.other""")
+    part(f"{_all}candidate_jaccard", f"""
   SELECT c.id, c.other, coalesce(o.common, 0) AS common, CAST(coalesce(o.common, 0) AS DOUBLE) / (x.n + y.n - coalesce(o.common, 0)) AS jaccard
-  FROM candidates c LEFT JOIN query_overlaps o ON o.id = c.id AND o.other = c.other
+  FROM {_all}candidates c LEFT JOIN {_all}query_overlaps o ON o.id = c.id AND o.other = c.other
     JOIN set_sizes x ON x.id = c.id JOIN set_sizes y ON y.id = c.other""")
 part("rec_pairs", """
   SELECT DISTINCT a.id, b.id AS other FROM band_rows a JOIN band_rows b ON a.band = b.band AND a.bucket = b.bucket
@@ -274,6 +277,22 @@ part("recs", """
     LEFT JOIN (SELECT q.id, q.other, count(*) AS c FROM rec_pairs q JOIN sets a ON a.id = q.id JOIN sets b ON b.id = q.other AND b.member = a.member GROUP BY 1, 2) o
       ON o.id = p.id AND o.other = p.other""")
 
+# p-value of Spearman's coefficient of betweenness and delay: the state of the continued fraction (modified Lentz) after m pairs of steps.
+part("spearman", """
+  SELECT count(*) AS n, corr(ra, rb) AS r FROM (
+    SELECT rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / CAST(2 AS DOUBLE) AS ra,
+      rank() OVER (ORDER BY avg_delay) + (count(*) OVER (PARTITION BY avg_delay) - 1) / CAST(2 AS DOUBLE) AS rb
+    FROM (SELECT round(betweenness, 10) AS b, avg_delay FROM central_nodes WHERE avg_delay IS NOT NULL))""")
+_ODD = "(-(a + m) * (a + 0.5 + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))"
+_EVEN = "(m * (0.5 - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))"
+part("lentz", f"""
+  SELECT 0 AS m, n, r, a, x, CAST(1 AS DOUBLE) AS c, 1 / (1 - (a + 0.5) * x / (a + 1)) AS d, 1 / (1 - (a + 0.5) * x / (a + 1)) AS v
+  FROM (SELECT n, r, CAST(n - 2 AS DOUBLE) / 2 AS a, 1 - r * r AS x FROM spearman)
+  UNION ALL
+  SELECT m, n, r, a, x, 1 + {_ODD} / c, 1 / (1 + {_ODD} * d), v * (1 + {_ODD} / c) / (1 + {_ODD} * d)
+  FROM (SELECT m, n, r, a, x, 1 + {_EVEN} / c AS c, 1 / (1 + {_EVEN} * d) AS d, v * (1 + {_EVEN} / c) / (1 + {_EVEN} * d) AS v
+    FROM (SELECT CAST(m + 1 AS DOUBLE) AS m, n, r, a, x, c, d, v FROM lentz WHERE m < 30))""")
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 

@@ -64,20 +64,28 @@ def as_long(df: DataFrame, *cols: str) -> DataFrame:
 NODE_SCHEMA = "code string, name string, region string, num bigint"
 
 
+def _in_layouts(table: DataFrame, layouts: list[list[str]], **options) -> list[str]:
+    """Folders of headered CSV files that order their columns in different ways and hold the table between them."""
+    work, folders = Workspace(table.sparkSession, "csv"), []
+    for k, columns in enumerate(layouts):
+        own = table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(len(layouts))) == k)
+        own.select(*columns).write.options(header=True, **options).csv(work.path(f"layout-{k}"))
+        folders.append(work.path(f"layout-{k}"))
+    return folders
+
+
 @query("src_static_csv", "SELECT code, name, region, num FROM raw_nodes")
 def _(i: Inputs) -> DataFrame:
-    path = Workspace(i.spark, "csv").path("nodes")
-    i.raw_nodes.select("code", "name", "region", "num").write.option("header", True).option("nullValue", "\\N").csv(path)
-    return files.read_static(i.spark, path, NODE_SCHEMA)
+    layouts = [["code", "name", "region", "num"], ["region", "num", "code", "name"]]
+    return files.read_static(i.spark, _in_layouts(i.raw_nodes, layouts, nullValue="\\N"), NODE_SCHEMA)
 
 
 @query("src_monthly_csv", "SELECT origin, dest, CAST(cancelled AS DOUBLE) AS cancelled, CAST(diverted AS DOUBLE) AS diverted, delay FROM facts")
 def _(i: Inputs) -> DataFrame:
-    path = Workspace(i.spark, "csv").path("months")
-    months = i.facts.withColumn("month", F.month("shipped")).repartition("month")
-    months.select("flag", "dest", "origin", "status", "cancelled", "delay", "diverted").write.option("header", True).csv(path)
+    months = i.facts.repartition(F.month("shipped"))
+    layouts = [["flag", "dest", "origin", "status", "cancelled", "delay", "diverted"], ["diverted", "origin", "delay", "dest", "cancelled", "shipped"]]
     return files.read_monthly(
-        i.spark, path, {"origin": "string", "dest": "string", "cancelled": "double", "diverted": "double", "delay": "double"}
+        i.spark, _in_layouts(months, layouts), {"origin": "string", "dest": "string", "cancelled": "double", "diverted": "double", "delay": "double"}
     )
 
 
@@ -87,30 +95,32 @@ BANNER_COLUMNS = ["Situação Voo", "ICAO Aeródromo Origem", "ICAO Aeródromo D
 @query(
     "src_banner_text",
     """SELECT status, origin, dest, strftime(scheduled, '%Y-%m-%d %H:%M:%S') AS scheduled,
-       strftime(actual, '%Y-%m-%d %H:%M:%S') AS actual FROM coded_facts""",
+       strftime(actual, '%Y-%m-%d %H:%M:%S') AS actual FROM facts""",
 )
 def _(i: Inputs) -> DataFrame:
-    path = Workspace(i.spark, "csv").path("banner")
+    work, folders = Workspace(i.spark, "csv"), []
     form = "yyyy-MM-dd HH:mm:ss"
-    data = i.coded_facts.select(
-        F.concat_ws(";", "status", "origin", "dest", F.date_format("scheduled", form), F.coalesce(F.date_format("actual", form), F.lit(""))).alias("line")
-    )
-    # A banner and a header for every state of the orders, wherever the writer puts them.
-    extra = i.table("orders").select("o_orderstatus").distinct().select(
-        F.explode(F.array(F.concat(F.lit("Atualizado em: "), "o_orderstatus"), F.lit(";".join(BANNER_COLUMNS)))).alias("line")
-    )
-    extra.union(data).write.option("sep", "\u0001").option("quote", "\u0000").option("encoding", "ISO-8859-1").csv(path)
-    read = files.read_banner_text(i.spark, path, BANNER_COLUMNS)
-    return read.toDF("status", "origin", "dest", "scheduled", "actual")
+    cells = [F.col("status"), F.col("origin"), F.col("dest"), F.date_format("scheduled", form), F.coalesce(F.date_format("actual", form), F.lit(""))]
+    for k, order in enumerate(([0, 1, 2, 3, 4], [3, 2, 4, 0, 1])):
+        data = i.facts.filter(F.pmod(F.xxhash64(*i.facts.columns), F.lit(2)) == k)
+        data = data.select("status", F.lit(2).alias("kind"), F.concat_ws(";", *[cells[n] for n in order]).alias("line"))
+        # A banner and a header for every state of the orders; each file begins with a banner.
+        head = i.table("orders").select(F.col("o_orderstatus").alias("status")).distinct()
+        extra = [
+            head.select("status", F.lit(0).alias("kind"), F.concat(F.lit("Atualizado em: "), "status").alias("line")),
+            head.select("status", F.lit(1).alias("kind"), F.lit(";".join(BANNER_COLUMNS[n] for n in order)).alias("line")),
+        ]
+        rows = data.unionByName(extra[0]).unionByName(extra[1]).repartition("status").sortWithinPartitions("kind").select("line")
+        rows.write.option("sep", "\u0001").option("quote", "\u0000").option("encoding", "ISO-8859-1").csv(work.path(f"banner-{k}"))
+        folders.append(work.path(f"banner-{k}"))
+    return files.read_banner_text(i.spark, folders, BANNER_COLUMNS).toDF("status", "origin", "dest", "scheduled", "actual")
 
 
 @query("src_encoded_csv", "SELECT id, name || ' São João' AS name, region FROM coded_nodes")
 def _(i: Inputs) -> DataFrame:
-    path = Workspace(i.spark, "csv").path("latin")
-    i.coded_nodes.select("id", F.concat("name", F.lit(" São João")).alias("name"), "region").write.option("header", True).option(
-        "encoding", "ISO-8859-1"
-    ).csv(path)
-    return files.read_encoded(i.spark, path, "id string, name string, region string")
+    names = i.coded_nodes.select("id", F.concat("name", F.lit(" São João")).alias("name"), "region")
+    layouts = [["id", "name", "region"], ["name", "region", "id"]]
+    return files.read_encoded(i.spark, _in_layouts(names, layouts, encoding="ISO-8859-1"), "id string, name string, region string")
 
 
 @query(
@@ -173,14 +183,14 @@ def _(i: Inputs) -> DataFrame:
     return clean.to_vertices(i.raw_nodes, "code", label="name", area="region")
 
 
-@query("project_cast", "SELECT origin, direction, TRY_CAST(avg_text AS DOUBLE) AS avg_text, TRY_CAST(cnt_text AS DOUBLE) AS cnt_text FROM average_rows")
+@query("project_cast", "SELECT origin, direction, TRY_CAST(avg_text AS DOUBLE) AS avg_text, TRY_CAST(cnt_text AS DOUBLE) AS cnt_text FROM all_average_rows")
 def _(i: Inputs) -> DataFrame:
-    return C.to_double(i.average_rows, ["avg_text", "cnt_text"]).select("origin", "direction", "avg_text", "cnt_text")
+    return C.to_double(i.all_average_rows, ["avg_text", "cnt_text"]).select("origin", "direction", "avg_text", "cnt_text")
 
 
-@query("coerce_number", "SELECT origin, direction, coalesce(TRY_CAST(avg_text AS DOUBLE), 0.0) AS avg_delay FROM average_rows")
+@query("coerce_number", "SELECT origin, direction, coalesce(TRY_CAST(avg_text AS DOUBLE), 0.0) AS avg_delay FROM all_average_rows")
 def _(i: Inputs) -> DataFrame:
-    return i.average_rows.select("origin", "direction", C.coerce("avg_text").alias("avg_delay"))
+    return i.all_average_rows.select("origin", "direction", C.coerce("avg_text").alias("avg_delay"))
 
 
 @query("drop_nulls", "SELECT origin, dest, delay FROM facts WHERE actual IS NOT NULL AND scheduled IS NOT NULL")
@@ -307,9 +317,13 @@ def _queries(i: Inputs) -> DataFrame:
     return i._once("queries", lambda: similarity.sample_nodes(i.sets.select("id").distinct()))
 
 
-@query("join_lsh_candidates", "SELECT id, other FROM candidates")
+def _all_sets(i: Inputs) -> DataFrame:
+    return i.sets.select("id").distinct()
+
+
+@query("join_lsh_candidates", "SELECT id, other FROM all_candidates")
 def _(i: Inputs) -> DataFrame:
-    return similarity.lsh_candidates(_queries(i), _bands(i))
+    return similarity.lsh_candidates(_all_sets(i), _bands(i))
 
 
 @query("join_radius", "SELECT a AS id, count(*) AS n_within FROM point_pairs WHERE d2 <= 1.0 GROUP BY a")
@@ -548,12 +562,12 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "set_union_routes",
-    """SELECT DISTINCT origin AS src, dest AS dst FROM completed WHERE num % 3 = 0 UNION
-       SELECT a.id, b.id FROM coded_facts f JOIN last_mapping a ON a.code = f.origin JOIN last_mapping b ON b.code = f.dest""",
+    """SELECT DISTINCT origin AS src, dest AS dst FROM completed UNION
+       SELECT a.id, b.id FROM all_coded_facts f JOIN last_mapping a ON a.code = f.origin JOIN last_mapping b ON b.code = f.dest""",
 )
 def _(i: Inputs) -> DataFrame:
-    first = clean.observed_routes(i.completed.filter("num % 3 = 0"), "origin", "dest")
-    coded = clean.observed_routes(i.coded_facts, "origin", "dest")
+    first = clean.observed_routes(i.completed, "origin", "dest")
+    coded = clean.observed_routes(i.all_coded_facts, "origin", "dest")
     second = facts.translate(facts.translate(coded, i.mapping, "src"), i.mapping, "dst")
     return clean.union_routes([first, second])
 
@@ -701,16 +715,20 @@ def _(i: Inputs) -> DataFrame:
     return rounded(stats.correlation(i.central_nodes, "betweenness", "avg_delay"))
 
 
+# The p-value in SQL: 30 pairs of steps of the continued fraction of the incomplete beta function, which converges within them here.
+_P_VALUE = """
+  SELECT n, r, (ln(1 - r * r) * a + ln(r * r) / 2 + lgamma(a + 0.5) - lgamma(a) - lgamma(CAST(0.5 AS DOUBLE)) - ln(a) + ln(v)) / ln(CAST(10 AS DOUBLE)) AS log10_p
+  FROM (SELECT * FROM lentz WHERE m = 30)"""
+
+
 @query(
     "corr_spearman",
-    f"""SELECT n, {rnd('r', 6)} AS r, CASE WHEN r > 0.1 THEN 'CONFIRMED' WHEN r < -0.1 THEN 'REJECTED' ELSE 'INCONCLUSIVE' END AS verdict FROM (
-        SELECT count(*) AS n, corr(ra, rb) AS r FROM (
-          SELECT rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / CAST(2 AS DOUBLE) AS ra,
-            rank() OVER (ORDER BY avg_delay) + (count(*) OVER (PARTITION BY avg_delay) - 1) / CAST(2 AS DOUBLE) AS rb
-          FROM nodes WHERE avg_delay IS NOT NULL))""",
+    f"""SELECT n, {rnd('r', 6)} AS r, {rnd('log10_p', 4)} AS log10_p,
+          CASE WHEN r > 0.1 THEN 'CONFIRMED' WHEN r < -0.1 THEN 'REJECTED' ELSE 'INCONCLUSIVE' END AS verdict FROM ({_P_VALUE})""",
 )
 def _(i: Inputs) -> DataFrame:
-    return rounded(stats.correlation(i.nodes, "degree", "avg_delay", "spearman").select("n", "r", "verdict"))
+    nodes = i.central_nodes.withColumn("betweenness", F.round("betweenness", 10))
+    return rounded(stats.correlation(nodes, "betweenness", "avg_delay", "spearman").select("n", "r", "log10_p", "verdict"), {"r": 6, "log10_p": 4})
 
 
 @query("trend_line", f"SELECT regr_count(delay_std, avg_delay) AS n, {rnd('regr_slope(delay_std, avg_delay)', 6)} AS slope, {rnd('regr_intercept(delay_std, avg_delay)', 2)} AS intercept, {rnd('regr_r2(delay_std, avg_delay)', 6)} AS r2 FROM nodes")
@@ -867,16 +885,16 @@ def _(i: Inputs) -> DataFrame:
     "jaccard_estimate",
     f"""SELECT id, other, {rnd('sum(CASE WHEN x = y THEN 1 ELSE 0 END) / CAST(128 AS DOUBLE)', 8)} AS estimate FROM (
         SELECT c.id, c.other, unnest(a.sig) AS x, unnest(b.sig) AS y
-        FROM candidates c JOIN signatures a ON a.id = c.id JOIN signatures b ON b.id = c.other) GROUP BY id, other""",
+        FROM all_candidates c JOIN signatures a ON a.id = c.id JOIN signatures b ON b.id = c.other) GROUP BY id, other""",
 )
 def _(i: Inputs) -> DataFrame:
     signatures = i._once("signatures", lambda: similarity.minhash(i.sets))
-    return rounded(similarity.jaccard_estimate(similarity.lsh_candidates(_queries(i), _bands(i)), signatures), 8)
+    return rounded(similarity.jaccard_estimate(similarity.lsh_candidates(_all_sets(i), _bands(i)), signatures), 8)
 
 
-@query("jaccard_exact", f"SELECT id, other, common, {rnd('jaccard', 8)} AS jaccard FROM candidate_jaccard")
+@query("jaccard_exact", f"SELECT id, other, common, {rnd('jaccard', 8)} AS jaccard FROM all_candidate_jaccard")
 def _(i: Inputs) -> DataFrame:
-    candidates = stage(similarity.lsh_candidates(_queries(i), _bands(i)), "candidates")
+    candidates = stage(similarity.lsh_candidates(_all_sets(i), _bands(i)), "candidates")
     return rounded(similarity.jaccard(candidates, i.sets), 8)
 
 

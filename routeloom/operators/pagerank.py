@@ -12,7 +12,8 @@ def pagerank(network: Network, alpha: float = 0.85, tol: float = 1e-6, max_iter:
     """(id, pagerank): uniform start and teleport, mass of dangling nodes spread uniformly.
 
     Stops once the summed change falls below ``tol`` times the number of nodes. A round shuffles
-    one value per node and the partial sums per target; the edges stay where they are.
+    one value per node and the partial sums per target; the edges stay where they are. Ranks that have not settled
+    after ``max_iter`` rounds are an error.
     """
     g = prepare(network, "pagerank")
     n = g.n
@@ -46,5 +47,9 @@ def pagerank(network: Network, alpha: float = 0.85, tol: float = 1e-6, max_iter:
             ),
             f"rank-{turn % 2}", change=change, dangling=dangling,
         )
+    else:
+        if seen["change"] >= n * tol:
+            g.release()
+            raise RuntimeError(f"PageRank has not converged within {max_iter} rounds")
     g.release()
     return g.named(state.select("id", F.col("rank").alias("pagerank")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import log, pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import verdict
-from ..functions.student_t import two_sided_p
+from ..functions.student_t import log_two_sided_p, two_sided_p
 from ..skew import hot_keys, lookup, settled
 from .ranks import average_rank, ccdf, degree_histogram, exact_quantiles, rank_degree
 
@@ -53,8 +55,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """(point, x, density): Gaussian kernel density from minimum to maximum, Scott's bandwidth.
 
-    Each value adds its kernel to every grid point; partial sums keep the shuffle at one row per
-    grid point and task.
+    Equal values are counted first; the grid points are the sums of one aggregate, so the shuffle is one row per task.
     """
     values = df.select(F.col(col).cast("double").alias("v")).dropna()
     facts = values.agg(
@@ -64,12 +65,12 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     low, high, h, n = facts
     if not n or not h:
         return df.sparkSession.createDataFrame([], "point int, x double, density double")
-    x = F.lit(low) + F.col("point") * F.lit((high - low) / (grid - 1))
-    kernels = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")).select(
-        "point", F.exp(-F.pow((x - F.col("v")) / h, F.lit(2.0)) / 2).alias("w")
-    )
-    return kernels.groupBy("point").agg(F.sum("w").alias("w")).select(
-        "point", x.alias("x"), (F.col("w") / (n * h * (2 * 3.141592653589793) ** 0.5)).alias("density")
+    step = (high - low) / (grid - 1)
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("times"))
+    kernel = lambda k: F.sum(F.col("times") * F.exp(-F.pow((F.lit(low + k * step) - F.col("v")) / h, F.lit(2.0)) / 2))
+    wide = counted.agg(F.array(*[kernel(k) for k in range(grid)]).alias("w"))
+    return wide.select(F.posexplode("w").alias("point", "w")).select(
+        "point", (F.lit(low) + F.col("point") * F.lit(step)).alias("x"), (F.col("w") / (n * h * (2 * pi) ** 0.5)).alias("density")
     )
 
 
@@ -109,7 +110,7 @@ def power_law(vertices: DataFrame, method: str, col: str = "degree") -> DataFram
 
 
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
-    """One row with the coefficient over complete rows; Spearman adds p-value and reading."""
+    """One row with the coefficient over complete rows; Spearman adds the p-value, its logarithm and a reading."""
     rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     if method == "pearson":
         return rows.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"))
@@ -117,7 +118,9 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataF
         raise ValueError(f"unknown method: {method}")
     placed = average_rank(average_rank(rows, "a", "ra"), "b", "rb")
     n, rho = placed.agg(F.count(F.lit(1)), F.corr("ra", "rb")).first()
-    one = df.sparkSession.createDataFrame([(n, rho, two_sided_p(rho, n))], "n bigint, r double, p double")
+    log_p = log_two_sided_p(rho, n)
+    row = (n, rho, two_sided_p(rho, n), None if log_p is None else log_p / log(10))
+    one = df.sparkSession.createDataFrame([row], "n bigint, r double, p double, log10_p double")
     return one.withColumn("verdict", verdict("r"))
 
 
