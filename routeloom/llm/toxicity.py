@@ -2,8 +2,8 @@
 
 Each word enters as a learned vector of its own and the mean of learned vectors of its character trigrams. A document is
 read in windows of ``WINDOW`` words that overlap by half; all of them are scored and the highest score is the document's.
-Training sees labels of whole documents: in later rounds only those windows of a toxic document count as positive that look so,
-and the clean windows that look worst count as negative.
+Training sees labels of whole documents: the window of a toxic document that looks worst counts as positive, if it looks worse than
+those of nearly all clean documents, whose worst windows count as negative. Word vectors start from the words' shares in both.
 
 The network is fitted on the driver on at most ``max_rows`` toxic and twice as many other labelled rows, the first in order of
 a hash of their id, with at most ``max_chars`` characters each. Scoring reads all documents in one pass without a shuffle.
@@ -30,7 +30,7 @@ GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
 # Words of fewer training documents, or of a smaller share of them, have no vector of their own, only their trigrams'.
 MIN_DOCUMENTS, MIN_SHARE = 5, 0.01
 MAX_ROWS, MAX_CHARS = 1000, 6_000
-ROUNDS, PER_ROUND, BATCH, RATE, DECAY = 9, 3000, 256, 0.01, 1e-4
+ROUNDS, PER_ROUND, BATCH, RATE, DECAY = 10, 3000, 256, 0.01, 5e-4
 # Windows that go through the network together.
 TOGETHER = 4096
 
@@ -209,6 +209,15 @@ def _one(texts: list[str]) -> Words:
     return Words(data, offsets, 0, np.concatenate([p.row for p in parts]), join("start"), join("end"), np.concatenate([p.code for p in parts]))
 
 
+def _leaning(part: Words, known: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Where the training of word vectors starts: how far the toxic documents with a word exceed what chance gives, in deviations."""
+    row, code = np.unique(np.stack([part.row.astype(np.uint64), part.code]), axis=1)
+    found, rank = Codes(known).find(code)
+    toxic = labels[row[found].astype(np.int64)]
+    n, bad, share = np.bincount(rank, minlength=len(known)), np.bincount(rank, toxic, len(known)), labels.mean()
+    return np.clip((bad - n * share) / np.sqrt(n * share * (1 - share) + 1), -4, 12) / 6
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters of the network after training on whole labelled texts."""
     if not len(texts):
@@ -219,18 +228,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
     code, times = np.unique(pairs, return_counts=True)
     known = code[times >= max(MIN_DOCUMENTS, MIN_SHARE * len(texts))]
     net = Network(known, seed)
+    net.p["word"][1:, 0] = _leaning(part, known, np.asarray(labels))
     w = Windows(part, Codes(known))
     label = np.asarray(labels)[w.row]
     net.p["base"][0] = np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
     good, bad = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
+    score = np.append(net.p["word"][w.word, 0], 0)[w.token].max(axis=1)
     for turn in range(rounds if len(bad) and len(good) else 0):
-        if turn < 2:
-            positive, negative = rng.choice(bad, PER_ROUND), rng.choice(good, PER_ROUND)
-        else:
-            score = net.logits(w)
-            best = score == np.maximum.reduceat(score, w.window_from)[w.row]
-            positive = rng.choice(bad[best[bad]], PER_ROUND)
-            negative = np.concatenate([rng.choice(good[best[good]], PER_ROUND), rng.choice(good, PER_ROUND)])
+        score = net.logits(w) if turn else score
+        best = score == np.maximum.reduceat(score, w.window_from)[w.row]
+        hard = good[best[good]]
+        # A toxic document whose worst window looks like those of most clean ones may be labelled wrongly: it does not teach.
+        sure = bad[best[bad] & (score[bad] > np.quantile(score[hard], 0.9))]
+        positive = rng.choice(sure if len(sure) else bad[best[bad]], PER_ROUND)
+        negative = np.concatenate([rng.choice(hard, PER_ROUND), rng.choice(good, PER_ROUND)])
         chosen = rng.permutation(np.concatenate([positive, negative]))
         for i in range(0, len(chosen), BATCH):
             own = chosen[i : i + BATCH]
