@@ -3,8 +3,8 @@
 Vectors are cut into ``SLICES`` groups of components. A slice sees only its own components, so it knows a partial score of each
 pair of query and candidate; a score is the sum of its slices'. Queries and candidates come in blocks of bounded size.
 
-1. Each slice lists the best partial scores of a block. What a listed candidate has at least (slices that did not list it count with their
-   smallest partial score) gives lists of safe scores; their ``k``-th best over all blocks is a first cutoff.
+1. Each slice lists the best partial scores of a block. The other slices are asked for the listed candidates, which gives lists of safe
+   scores; their ``k``-th best over all blocks is a first cutoff.
 2. The cutoff goes back to all slices, shared out uniformly: a candidate that stays below its share in every slice cannot
    reach the cutoff. The slices send all entries that do reach theirs. Summed up, these give better safe scores, a second cutoff,
    and the most that each candidate can still have.
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .shared import kept, partitions
 
-SLICES = 4
+SLICES = 2
 CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 512
 # Lists merged in one task.
 FAN_IN = 128
@@ -95,6 +95,10 @@ def _best_of(query: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray
     return out
 
 
+_NODE = [("q_block", pa.int32()), ("c_block", pa.int32()), ("slice", pa.int32()), ("q_ids", pa.binary()), ("q_part", pa.binary()), ("c_ids", pa.binary()), ("c_part", pa.binary())]
+_NODE_COLUMNS = "q_block int, c_block int, slice int, q_ids binary, q_part binary, c_ids binary, c_part binary"
+
+
 def _rows(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -102,36 +106,40 @@ def _rows(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterato
 
 
 def _local_lists(k: int, kind: type):
-    """Phase 1 at one slice: places and partial scores of each query's best, and its smallest."""
-    schema = pa.schema([("q_block", pa.int32()), ("c_block", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), ("place", pa.binary()), ("partial", pa.binary()), ("least", pa.binary())])
+    """Phase 1 at one slice: places of each query's best partial scores, and its smallest one."""
+    schema = pa.schema([*_NODE, ("place", pa.binary()), ("least", pa.binary())])
 
     def work(row: dict) -> dict:
         p = _products(row, kind)
         place = np.argpartition(-p, k - 1, axis=1)[:, :k] if p.shape[1] > k else np.tile(np.arange(p.shape[1]), (len(p), 1))
-        best = np.take_along_axis(p, place, axis=1)
-        return {"q_block": row["q_block"], "c_block": row["c_block"], "slice": row["slice"], "n": len(p), "place": place.astype(np.int64).tobytes(), "partial": best.tobytes(), "least": p.min(axis=1).tobytes()}
+        return row | {"place": place.astype(np.int64).tobytes(), "least": p.min(axis=1).tobytes()}
 
     return lambda batches: _rows(batches, work, schema)
 
 
+def _scores(frame: pd.DataFrame, query: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Scores of some pairs of one block, summed over its slices."""
+    first = frame.iloc[0]
+    n, m = len(first["q_ids"]) // 8, len(first["c_ids"]) // 8
+    score = np.zeros(len(query), dtype=np.int64)
+    for q, c in zip(frame["q_part"], frame["c_part"]):
+        q, c = _array(q, n, -1), _array(c, m, -1)
+        for i in range(0, len(query), 100_000):
+            own = slice(i, i + 100_000)
+            score[own] += np.einsum("ij,ij->i", q[query[own]], c[place[own]])
+    return score
+
+
 def _first_safe(k: int):
-    """Phase 1 at one block: the best safe scores of each query, and the smallest partial score per slice."""
+    """Phase 1 at one block: the scores of the listed candidates, the best of each query, and the smallest partial score per slice."""
 
     def combine(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("slice")
-        n = int(frame["n"].iloc[0])
+        n, m = len(frame["q_ids"].iloc[0]) // 8, len(frame["c_ids"].iloc[0]) // 8
         least = np.stack([_array(raw, n) for raw in frame["least"]], axis=1)
-        above, query, place = [], [], []
-        for s, (p, v) in enumerate(zip(frame["place"], frame["partial"])):
-            p, v = _array(p, n, -1), _array(v, n, -1)
-            above.append((v - least[:, s, None]).ravel())
-            query.append(np.repeat(np.arange(n), p.shape[1]))
-            place.append(p.ravel())
-        pair, back = np.unique(np.concatenate(query) << 32 | np.concatenate(place), return_inverse=True)
-        total = np.zeros(len(pair), dtype=np.int64)
-        np.add.at(total, back, np.concatenate(above))
-        query = pair >> 32
-        safe = _best_of(query, total + least.sum(axis=1)[query], n, k)
+        listed = np.concatenate([_array(raw, n, -1) for raw in frame["place"]], axis=1)
+        query, place = np.divmod(np.unique(np.arange(n)[:, None] * m + listed), m)
+        safe = _best_of(query, _scores(frame, query, place), n, k)
         return pd.DataFrame({"q_block": [key[0]], "c_block": [key[1]], "safe": [safe.tobytes()], "least": [least.tobytes()]})
 
     return combine
@@ -157,32 +165,34 @@ def _shares(least: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return least + room[:, None]
 
 
-def _sufficient(k: int, kind: type):
+def _sufficient(k: int, kind: type, small: type):
     """Phase 2 at one slice: all entries that reach its share of the cutoff."""
-    schema = pa.schema([("q_block", pa.int32()), ("c_block", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), ("pair", pa.binary()), ("partial", pa.binary())])
+    schema = pa.schema([*_NODE[:3], ("n", pa.int32()), ("m", pa.int32()), ("pair", pa.binary()), ("partial", pa.binary())])
 
     def work(row: dict) -> dict:
         p = _products(row, kind)
         share = _shares(_array(row["least"], len(p), SLICES), _array(row["cut"], len(p), k)[:, -1])[:, row["slice"]]
-        query, place = np.nonzero(p >= share[:, None])
-        return {"q_block": row["q_block"], "c_block": row["c_block"], "slice": row["slice"], "n": len(p), "pair": (query << 32 | place).tobytes(), "partial": p[query, place].tobytes()}
+        pair = np.flatnonzero(p >= share[:, None])
+        return {c: row[c] for c in ("q_block", "c_block", "slice")} | {
+            "n": len(p), "m": p.shape[1], "pair": pair.astype(np.int32).tobytes(), "partial": p.ravel()[pair].astype(small).tobytes()
+        }
 
     return lambda batches: _rows(batches, work, schema)
 
 
-def _second_safe(k: int):
+def _second_safe(k: int, small: type):
     """Phase 2 at one block: better safe scores, and for each candidate sent the most that it can have."""
 
     def combine(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["n"].iloc[0])
+        n, m = int(frame["n"].iloc[0]), int(frame["m"].iloc[0])
         least = _array(frame["least"].iloc[0], n, SLICES)
         share = _shares(least, _array(frame["cut"].iloc[0], n, k)[:, -1])
-        pair, back = np.unique(np.concatenate([_array(raw, -1) for raw in frame["pair"]]), return_inverse=True)
-        query = pair >> 32
+        pair, back = np.unique(np.concatenate([np.frombuffer(raw, np.int32) for raw in frame["pair"]]), return_inverse=True)
+        query = pair // m
         low, high = least.sum(axis=1)[query], (share - 1).sum(axis=1)[query]
         at = 0
         for s, raw in zip(frame["slice"], frame["partial"]):
-            partial = _array(raw, -1)
+            partial = np.frombuffer(raw, small).astype(np.int64)
             own = back[at : at + len(partial)]
             low[own] += partial - least[query[own], s]
             high[own] += partial - (share[query[own], s] - 1)
@@ -200,15 +210,11 @@ def _resolved(k: int):
         first = frame.iloc[0]
         q_ids, c_ids = np.frombuffer(first["q_ids"], np.int64), np.frombuffer(first["c_ids"], np.int64)
         cut = _array(first["cut"], len(q_ids), k)[:, -1]
-        pair, most = _array(first["pair"], -1), _array(first["most"], -1)
-        pair = pair[most >= cut[pair >> 32]]
-        query, place = pair >> 32, pair & 0xFFFFFFFF
-        score = np.zeros(len(pair), dtype=np.int64)
-        for q, c in zip(frame["q_part"], frame["c_part"]):
-            q, c = _array(q, len(q_ids), -1), _array(c, len(c_ids), -1)
-            for i in range(0, len(pair), 100_000):
-                own = slice(i, i + 100_000)
-                score[own] += np.einsum("ij,ij->i", q[query[own]], c[place[own]])
+        pair = np.frombuffer(first["pair"], np.int32)
+        query, place = np.divmod(pair, len(c_ids))
+        still = _array(first["most"], -1) >= cut[query]
+        query, place = query[still], place[still]
+        score = _scores(frame, query, place)
         order = np.lexsort((c_ids[place], -score, query))
         query, place, score = query[order], place[order], score[order]
         top = np.arange(len(query)) - np.searchsorted(query, query) < k
@@ -238,12 +244,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     asked_blocks = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     nodes = asked_blocks.join(q, ["q_block", "slice"]).repartition(partitions(spark), "q_block", "c_block", "slice")
     pair = ["q_block", "c_block"]
-    lists = nodes.mapInArrow(_local_lists(best, kind), "q_block int, c_block int, slice int, n int, place binary, partial binary, least binary")
+    nodes = nodes.select(*[name for name, _ in _NODE])
+    lists = nodes.mapInArrow(_local_lists(best, kind), f"{_NODE_COLUMNS}, place binary, least binary")
     first = kept(lists.groupBy(*pair).applyInPandas(_first_safe(best), "q_block int, c_block int, safe binary, least binary"), "first-lists")
     first_cut = _cutoffs(first, c_blocks, best, "first-cutoffs")
-    bounds = first.select(*pair, "least").join(first_cut, "q_block")
-    sent = nodes.join(bounds, pair).mapInArrow(_sufficient(best, kind), "q_block int, c_block int, slice int, n int, pair binary, partial binary")
-    second = sent.join(bounds, pair).groupBy(*pair).applyInPandas(_second_safe(best), "q_block int, c_block int, safe binary, pair binary, most binary")
+    bounds = kept(first.select(*pair, "least").join(first_cut, "q_block"), "bounds")
+    small = np.int32 if reach < 2**31 else np.int64
+    sent = nodes.join(bounds, pair).mapInArrow(_sufficient(best, kind, small), "q_block int, c_block int, slice int, n int, m int, pair binary, partial binary")
+    second = sent.join(bounds, pair).groupBy(*pair).applyInPandas(_second_safe(best, small), "q_block int, c_block int, safe binary, pair binary, most binary")
     second = kept(second, "sufficient")
     second_cut = _cutoffs(second, c_blocks, best, "second-cutoffs")
     open_pairs = nodes.join(second.select(*pair, "pair", "most").join(second_cut, "q_block"), pair)
