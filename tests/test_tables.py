@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import columns as C
 from routeloom.functions.names import best_matches
-from routeloom.functions.student_t import two_sided_p
+from routeloom.functions.student_t import log_two_sided_p, two_sided_p
 from routeloom.operators import facts, ranks, resolve, stats
 from routeloom.sources import files
 
@@ -74,6 +74,29 @@ def test_static_and_monthly_readers(spark, tmp_path):
         files.read_monthly(spark, str(tmp_path / "none"), {"Origin": "string"})
 
 
+def test_readers_find_columns_by_name_in_each_file(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Origin,Dest,Cancelled\nAAA,BBB,0\n")
+    (tmp_path / "2.csv").write_text("Dest,Origin,Cancelled,More\nDDD,CCC,1,x\n")
+    want = [("AAA", "BBB", 0), ("CCC", "DDD", 1)]
+    columns = {"Origin": "string", "Dest": "string", "Cancelled": "int"}
+    assert sorted(tuple(r) for r in files.read_monthly(spark, str(tmp_path), columns).collect()) == want
+    layout = ", ".join(f"{c} {t}" for c, t in columns.items())
+    assert sorted(tuple(r) for r in files.read_static(spark, str(tmp_path), layout).collect()) == want
+    assert sorted(tuple(r) for r in files.read_encoded(spark, str(tmp_path), layout).collect()) == want
+    (tmp_path / "3.csv").write_text("Dest,Cancelled\nEEE,1\n")
+    for read in (lambda: files.read_monthly(spark, str(tmp_path), columns), lambda: files.read_static(spark, str(tmp_path), layout)):
+        with pytest.raises(ValueError):
+            read()
+
+
+def test_banner_text_in_two_layouts(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Atualizado em: x\nA;B\n1;2\nA;B\n")
+    (tmp_path / "2.csv").write_text("Atualizado em: y\nB;C;A\n20;30;10\n")
+    assert sorted(tuple(r) for r in files.read_banner_text(spark, str(tmp_path), ["A", "B"]).collect()) == [("1", "2"), ("10", "20")]
+    with pytest.raises(ValueError):
+        files.read_banner_text(spark, str(tmp_path), ["A", "C"])
+
+
 @pytest.mark.parametrize("encoding", ["ISO-8859-1", "UTF-8"])
 def test_banner_text(spark, tmp_path, encoding):
     head = "Situação Voo;Origem"
@@ -154,6 +177,10 @@ def test_student_t():
     for t, dof in ((2.228139, 10), (2.570582, 5), (1.959964, 10_000_000)):
         rho = t / math.sqrt(dof + t * t)
         assert abs(two_sided_p(rho, dof + 2) - 0.05) < 1e-5
+    # Reference values of numerical integration and of asymptotic tables.
+    for rho, n, p in ((0.1, 10_000, 1.19705042e-23), (0.3, 1000, 3.03748338e-22), (0.5, 1000, 2.27810186e-64), (0.05, 50, 0.73022457), (0.6, 7, 0.15437725), (0.7, 4, 0.3)):
+        assert math.isclose(two_sided_p(rho, n), p, rel_tol=1e-7)
+    assert math.isclose(log_two_sided_p(0.05, 1_000_000) / math.log(10), -545.343958, rel_tol=1e-8)
     assert two_sided_p(0.3, 2) is None and two_sided_p(None, 9) is None and two_sided_p(1.0, 9) == 0.0
 
 
