@@ -5,14 +5,17 @@ codes. The order is cut into fragments, the same for all documents.
 
 1. *Statistics.* One pass gives each document the size and a code of its set, and counts the n-grams that repeat; the frequent
    ones (a bounded list) are placed at the end of the order. Documents of one set are one vertex from here on.
-2. *Candidates.* Two sets that link share an n-gram among the first ``n - ceil(threshold * n) + 1`` of both. Each such n-gram
-   proposes one star: every vertex that has it, with the smallest vertex that has it. Stars are linear in the input.
+2. *Candidates.* Two sets that link share at least ``k`` n-grams among the first ``n - ceil(threshold * n) + k`` of both, where ``k``
+   grows with the smaller set. Prefixes are packed by ranges of the order (frequent n-grams, which may be hot, go as single rows
+   that are aggregated before they move), and n-grams of one vertex alone drop out. A vertex that has fewer shared n-grams
+   than it needs cannot link and drops out too. Each n-gram left proposes one star: every vertex that has it, with
+   the one that shares most of its prefix. Stars are linear in the input.
 3. *Partial overlaps.* For the proposed pairs, each fragment of the order is compared on its own and yields a partial
    overlap; a pair goes on after the first fragments only if the rest could still reach the threshold; the partial overlaps are
    summed per pair and compared exactly.
-4. *Components* of the links. N-grams whose vertices are all in one component are done. The others propose a second star, and what
-   then still joins different components is compared pair by pair. So no link between different components is
-   lost, and the pairs inside a group of near copies are never listed.
+4. *Components* of the links. N-grams whose vertices are all in one component are done. The others propose further stars, and what
+   then still joins different components is compared pair by pair, as far as what the prefixes share allows a link. So no link
+   between different components is lost, and the pairs inside a group of near copies are never listed.
 
 Defined results: null, empty or blank texts have no n-grams and are components of their own. With fewer than ``size`` words the whole
 sequence is the one n-gram. Equal sets link whatever their ids; rows that share an id are joined by their texts alone. Extra columns
@@ -25,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import Workspace
-from .shared import kept
+from .shared import Kept, kept
 from .tokens import NOT_SPACE, Codes, Words, mix, words
 
 SIZE = 5
@@ -42,9 +46,15 @@ MIN_FREQUENT = 16
 MIN_IN_BATCH = 3
 # The codes of infrequent n-grams are cut into 2**FRAGMENT_BITS fragments; the frequent ones are one more.
 FRAGMENT_BITS = 3
+# One more shared n-gram is asked for, and one more looked at, for each so many of a set.
+PER_SHARED = 32
+# Prefix n-grams in one range of the order.
+PER_BUCKET = 500_000
 FIRST_FRAGMENTS = 2
 MAX_MAP_BITS = 28
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+# Sets are matched by size in steps of this factor.
+SIZE_STEP = 1.04
 
 
 def gram_sets(part: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,22 +140,70 @@ def ordered_sets(part: Words, size: int, order: Order) -> tuple[np.ndarray, np.n
     return key[np.lexsort((key, row))], cuts, vertex
 
 
-def _prefixes(order, size: int, percent: int):
+def _prefixes(order, size: int, percent: int, bucket_bits: int):
+    """Rows (bucket, grams, vertices): all prefixes of a batch in order, cut into ranges.
+
+    Bucket -1 has the frequent n-grams, bucket -2 the last n-gram of each prefix.
+    """
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
         for batch in batches:
+            grams, vertices = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            lasts, owners = [], []
             for part in words(batch.column("text"), NOT_SPACE):
                 key, cuts, vertex = ordered_sets(part, size, known)
                 n = np.diff(cuts)
-                length = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
-                first = np.repeat(cuts[:-1] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first].view(np.int64)), pa.array(np.repeat(vertex, length).view(np.int64))], names=["gram", "vertex"]
-                )
+                length = np.where(n > 0, n + (-percent * n) // 100 + 1 + n // PER_SHARED, 0)
+                first = np.repeat(cuts[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                grams.append(key[first])
+                vertices.append(np.repeat(vertex, length))
+                some = length > 0
+                lasts.append(key[(cuts[:-1] + length - 1)[some]].tobytes())
+                owners.append(vertex[some].tobytes())
+            key, vertex = np.concatenate(grams), np.concatenate(vertices)
+            place = np.argsort(key)
+            key, vertex = key[place], vertex[place]
+            buckets = 1 << bucket_bits
+            bucket = np.minimum(key >> np.uint64(58 - bucket_bits), np.uint64(buckets)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(buckets + 2))
+            full = np.flatnonzero(np.diff(edges))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*np.where(full == buckets, -1, full).tolist(), -2], pa.int32()),
+                    pa.array([*[key[edges[i] : edges[i + 1]].tobytes() for i in full], b"".join(lasts)], pa.binary()),
+                    pa.array([*[vertex[edges[i] : edges[i + 1]].tobytes() for i in full], b"".join(owners)], pa.binary()),
+                ],
+                names=["bucket", "grams", "vertices"],
+            )
 
     return scan
 
 
+def _unpacked(table) -> tuple[np.ndarray, np.ndarray]:
+    join = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.int64)
+    return join("grams"), join("vertices")
+
+
+def _several(table: pa.Table) -> pa.Table:
+    """(gram, vertex), once each, of the n-grams of one range that more than one vertex has."""
+    gram, vertex = _unpacked(table)
+    place = np.lexsort((vertex, gram))
+    gram, vertex = gram[place], vertex[place]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (vertex[1:] != vertex[:-1])
+    gram, vertex = gram[new], vertex[new]
+    same = gram[1:] == gram[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return pa.table({"gram": gram[shared], "vertex": vertex[shared]})
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gram, vertex = _unpacked(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(vertex)], names=["gram", "vertex"])
+
+
 def _fragments(order, wanted, bits: int, size: int):
     """Rows (vertex, n, fragment, keys) of the sets whose vertex and id are marked in the bit map ``wanted``."""
 
@@ -207,15 +265,17 @@ def _partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 class NgramJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT):
         self.spark = docs.sparkSession
+        self.kept = Kept(self.spark)
         self.size, self.percent = size, percent
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        self.members, self.order = self._statistics()
+        self.members, self.order, self.total = self._statistics()
         self.grams = self._shared_grams()
+        self.sets = self._sets()
 
     def _statistics(self):
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         seen = self.docs.mapInArrow(_statistics(self.size), f"doc_id {kind}, n long, vertex long, gram long, times long")
-        seen = kept(seen, "gram-statistics")
+        seen = self.kept(seen, "gram-statistics")
         members = seen.filter(F.col("n").isNotNull()).select("doc_id", "n", "vertex")
         total = members.agg(F.sum("n")).first()[0] or 0
         # Each counted n-gram takes at least this many of the total, so at most MAX_FREQUENT of them exist.
@@ -223,71 +283,131 @@ class NgramJoin:
         frequent = seen.filter(F.col("n").isNull()).groupBy("gram").agg(F.sum("times").alias("times")).filter(F.col("times") >= least)
         table = frequent.select("gram", "times").toArrow()
         order = Order(table.column("gram").to_numpy().astype(np.int64), table.column("times").to_numpy().astype(np.int64))
-        return members, self.spark.sparkContext.broadcast(order)
+        return members, self.spark.sparkContext.broadcast(order), total
 
     def _shared_grams(self) -> DataFrame:
-        """(gram, vertex, hub) for each n-gram that stands in the prefix of several vertices; hub is the smallest of them."""
-        prefixes = kept(self.docs.select("text").mapInArrow(_prefixes(self.order, self.size, self.percent), "gram long, vertex long"), "prefixes")
-        ends = prefixes.groupBy("gram").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("last"))
-        several = ends.filter(F.col("hub") != F.col("last")).select("gram", "hub")
-        return kept(prefixes.join(several, "gram").distinct(), "shared-grams")
-
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        wanted = self.members.groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).join(ends, "vertex")
-        mark = F.col("vertex").bitwiseXOR(F.xxhash64("doc_id"))
-        wanted = kept(wanted.select(mark.alias("mark")), "wanted-sets")
-        bits = min(MAX_MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
+        """Rows (gram, vertex, ...) of the n-grams that stand in several prefixes, for the vertices that share enough of theirs.
+
+        Of two sets, the one whose prefix ends first has met all n-grams up to there that both have. So their overlap
+        is at most its ``rest`` (what lies beyond its prefix) and what it shares with the other, or with anyone: ``cap``.
+        """
+        bits = max(1, (self.total * (100 - self.percent) // 100 // PER_BUCKET).bit_length())
+        scan = _prefixes(self.order, self.size, self.percent, bits)
+        packed = self.kept(self.docs.select("text").mapInArrow(scan, "bucket int, grams binary, vertices binary"), "prefixes")
+        shared = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_several, "gram long, vertex long")
+        frequent = packed.filter("bucket = -1").mapInArrow(_single, "gram long, vertex long")
+        ends = frequent.groupBy("gram").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).filter(F.col("low") != F.col("high"))
+        hot = frequent.join(ends.select("gram"), "gram", "left_semi").distinct()
+        shared = self.kept(shared.unionByName(hot), "shared-grams")
+        tails = packed.filter("bucket = -2").mapInArrow(_single, "gram long, vertex long").groupBy("vertex").agg(F.max("gram").alias("last"))
+        counted = shared.groupBy("vertex").agg(F.count(F.lit(1)).alias("shared"))
+        sizes = self.members.groupBy("vertex").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+        must = F.ceil(F.lit(self.percent) * F.col("n") / 100)
+        prefix = F.col("n") - must + 1 + F.floor(F.col("n") / PER_SHARED)
+        able = counted.join(sizes, "vertex").filter(F.col("shared") >= 1 + F.floor(must / PER_SHARED)).join(tails, "vertex")
+        self.able = self.kept(
+            able.select(
+                "vertex", F.col("vertex").bitwiseXOR(F.xxhash64("doc_id")).alias("mark"), "n", "last",
+                (F.col("n") - prefix).alias("rest"), (F.col("n") - prefix + F.col("shared")).alias("cap"),
+                (-F.floor(1000 * F.col("shared") / prefix)).cast("int").alias("rank"),
+            ),
+            "able",
+        )
+        self.kept.release("prefixes")
+        return self.kept(shared.join(self.able.drop("mark"), "vertex"), "able-grams")
+
+    def _sets(self) -> DataFrame:
+        """(vertex, n, fragment, keys): the whole sets of the vertices that may link, one document of each."""
+        bits = min(MAX_MAP_BITS, max(16, (16 * self.able.count()).bit_length()))
         slot = F.shiftrightunsigned("mark", 64 - bits)
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-        table = wanted.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = self.able.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
         marks = np.zeros(1 << (bits - 6), dtype=np.uint64)
         marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
         scan = _fragments(self.order, self.spark.sparkContext.broadcast(marks), bits, self.size)
         coded = self.docs.select("text", F.xxhash64("doc_id").alias("id_code"))
-        return kept(coded.mapInArrow(scan, "vertex long, n long, fragment int, keys binary"), "fragments")
+        return self.kept(coded.mapInArrow(scan, "vertex long, n long, fragment int, keys binary"), "fragments")
+
+    def _reach(self, overlap: Column, n_a: Column, n_b: Column) -> Column:
+        """Whether an overlap reaches the threshold; it grows with the overlap."""
+        return F.lit(100) * overlap >= F.lit(self.percent) * (n_a + n_b - overlap)
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Those of the ``pairs`` (a, b) whose sets reach the threshold."""
-        sets = self._sets(pairs)
-        hundred, percent = F.lit(100), F.lit(self.percent)
+        sets = self.sets
         first = _partial_overlaps(pairs, sets.filter(F.col("fragment") < FIRST_FRAGMENTS))
         most = F.col("overlap") + F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b"))
-        # overlap / (n_a + n_b - overlap) grows with the overlap
-        reach = lambda overlap: hundred * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap)
-        going_on = kept(first.filter(reach(most)).select("a", "b", F.col("overlap").alias("before")), "going-on")
+        reach = lambda overlap: self._reach(overlap, F.col("n_a"), F.col("n_b"))
+        going_on = self.kept(first.filter(reach(most)).select("a", "b", F.col("overlap").alias("before")), "going-on")
         rest = _partial_overlaps(going_on, sets.filter(F.col("fragment") >= FIRST_FRAGMENTS))
         both = going_on.join(rest, ["a", "b"])
         return both.filter(reach(F.col("before") + F.col("overlap"))).select("a", "b")
 
     def components(self) -> DataFrame:
         """(vertex, label) of the linked vertices: one label per component."""
-        grams = self.grams
-        pairs = kept(grams.filter(F.col("vertex") != F.col("hub")).select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-        links = kept(self._links(pairs), "links")
-        labels = connected(links)
-        for turn in range(1, STAR_ROUNDS + 1):
-            rest = grams.filter(F.col("vertex") != F.col("hub")).select("gram", "vertex")
-            named = rest.join(labels, "vertex", "left").select("gram", "vertex", F.coalesce("label", "vertex").alias("label"))
-            ends = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("vertex").alias("hub"))
-            apart = ends.filter(F.col("low") != F.col("high")).select("gram", "hub")
-            named = kept(named.join(apart, "gram"), "apart")
-            if named.isEmpty():
-                break
+        named = self.grams.withColumn("label", F.col("vertex"))
+        pairs = links = labels = None
+        for turn in range(STAR_ROUNDS + 1):
             if turn < STAR_ROUNDS:
-                hubs = named.filter(F.col("vertex") == F.col("hub")).select("gram", F.col("label").alias("hub_label"))
-                new = named.join(hubs, "gram").filter(F.col("label") != F.col("hub_label")).select(F.col("vertex").alias("a"), F.col("hub").alias("b"))
-                grams = named.select("gram", "vertex", "hub")
+                new, named = self._stars(named)
             else:
-                x = named.select("gram", F.col("vertex").alias("b"), F.col("label").alias("lb"))
-                y = named.select("gram", F.col("vertex").alias("a"), F.col("label").alias("la"))
-                new = x.join(y, "gram").filter((F.col("la") != F.col("lb")) & (F.col("b") < F.col("a"))).select("a", "b")
-            new = kept(new.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-            links = kept(links.unionByName(self._links(new)), "links")
-            pairs = pairs.unionByName(new)
+                new = self._apart_pairs(named)
+            new = self.kept(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            found = self._links(new)
+            links = self.kept(found if links is None else links.unionByName(found), "links")
+            pairs = new if pairs is None else pairs.unionByName(new)
             labels = connected(links)
+            if turn < STAR_ROUNDS:
+                named = named.drop("label").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+                ends = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                apart = ends.filter(F.col("low") != F.col("high")).select("gram")
+                named = self.kept(named.join(apart, "gram", "left_semi"), "apart")
+                if named.isEmpty():
+                    break
         return labels
 
+    def _possible(self, a: str, b: str) -> Column:
+        """Whether two vertices with these column prefixes can link, by what the prefix that ends first has met."""
+        col = lambda side, name: F.col(f"{side}{name}")
+        first = F.when(col(a, "last") < col(b, "last"), col(a, "cap")).when(col(b, "last") < col(a, "last"), col(b, "cap"))
+        return self._reach(F.least(F.coalesce(first, F.least(col(a, "cap"), col(b, "cap"))), col(a, "n"), col(b, "n")), col(a, "n"), col(b, "n"))
+
+    def _stars(self, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of each vertex with the hub of its n-gram, the rows without the hubs).
+
+        The hub is the vertex that shares most of its prefix: in a group of near copies the original, or what is closest to it.
+        """
+        columns = ["rank", "vertex", "label", "n", "last", "cap"]
+        hubs = named.groupBy("gram").agg(F.min(F.struct(*columns)).alias("hub"))
+        met = named.join(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in columns]), "gram")
+        apart = met.filter((F.col("label") != F.col("hub_label")) & self._possible("", "hub_"))
+        pairs = apart.select(F.greatest("vertex", "hub_vertex").alias("a"), F.least("vertex", "hub_vertex").alias("b")).distinct()
+        return pairs, met.filter(F.col("vertex") != F.col("hub_vertex")).select(named.columns)
+
+    def _apart_pairs(self, named: DataFrame) -> DataFrame:
+        """Pairs of different components that the n-grams of their prefixes allow to link.
+
+        A pair with an n-gram in which one of both was a hub has been compared or cannot link; of all others every n-gram that
+        both prefixes have is here. The side whose prefix ends first looks for partners, by steps of size: to link with a set of
+        that size it must share so many of its ``held`` n-grams here that one is among the first ``held - must + 1``. Only with
+        those it asks, so near copies that cannot link with others of their size ask little or nothing.
+        """
+        size = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
+        own = Window.partitionBy("vertex")
+        named = named.withColumns({"held": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("gram"))})
+        low = F.greatest(F.lit(1), F.floor(F.lit(self.percent) * F.col("n") / 100))
+        # 100 * cap >= percent * (n + partner - cap)
+        high = F.floor((100 + self.percent) * F.col("cap") / self.percent) - F.col("n")
+        smallest = F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), F.col("size"))))
+        must = F.ceil(F.lit(self.percent) * (F.col("n") + smallest) / (100 + self.percent)) - F.col("rest")
+        side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("vertex", "label", "n", "last", "cap")]
+        asking = named.filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high))))
+        asking = asking.filter(F.col("place") <= F.col("held") - F.greatest(must, F.lit(1)) + 1).select("gram", "size", *side("x"))
+        answering = named.select("gram", size(F.col("n")).alias("size"), *side("y"))
+        before = (F.col("x_last") < F.col("y_last")) | ((F.col("x_last") == F.col("y_last")) & (F.col("x_vertex") < F.col("y_vertex")))
+        met = asking.join(answering, ["gram", "size"]).filter(before & (F.col("x_label") != F.col("y_label")) & self._possible("x_", "y_"))
+        return met.select(F.greatest("x_vertex", "y_vertex").alias("a"), F.least("x_vertex", "y_vertex").alias("b")).distinct()
+
     def rows(self) -> DataFrame:
         """(doc_id, n, component) per row of the documents; component is the smallest id in it."""
         labels = self.components()

@@ -21,6 +21,24 @@ def fold_of(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+class Kept:
+    """Tables of one operator call in the shared folder: they survive lost executors, have known sizes and end the lineage."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._tables: dict[str, Workspace] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        work = Workspace(self.spark, f"llm-{name}")
+        self._tables[name] = work
+        return work.save(df, name)
+
+    def release(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            self._tables.pop(name).remove()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder: survives lost executors, has a known size, ends the lineage."""
+    """``df`` as a written table in the shared folder."""
     return Workspace(df.sparkSession, f"llm-{name}").save(df, name)
