@@ -177,10 +177,10 @@ def test_student_t():
     for t, dof in ((2.228139, 10), (2.570582, 5), (1.959964, 10_000_000)):
         rho = t / math.sqrt(dof + t * t)
         assert abs(two_sided_p(rho, dof + 2) - 0.05) < 1e-5
-    # Reference values of numerical integration and of asymptotic tables.
+    # Reference values of numerical integration.
     for rho, n, p in ((0.1, 10_000, 1.19705042e-23), (0.3, 1000, 3.03748338e-22), (0.5, 1000, 2.27810186e-64), (0.05, 50, 0.73022457), (0.6, 7, 0.15437725), (0.7, 4, 0.3)):
         assert math.isclose(two_sided_p(rho, n), p, rel_tol=1e-7)
-    assert math.isclose(log_two_sided_p(0.05, 1_000_000) / math.log(10), -545.343958, rel_tol=1e-8)
+    assert math.isclose(log_two_sided_p(0.05, 1_000_000) / math.log(10), -545.343936239, rel_tol=1e-9)
     assert two_sided_p(0.3, 2) is None and two_sided_p(None, 9) is None and two_sided_p(1.0, 9) == 0.0
 
 
