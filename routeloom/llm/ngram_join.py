@@ -314,7 +314,9 @@ class NgramJoin:
             "able",
         )
         self.kept.release("prefixes")
-        return self.kept(shared.join(self.able.drop("mark"), "vertex"), "able-grams")
+        grams = self.kept(shared.join(self.able.drop("mark"), "vertex"), "able-grams")
+        self.kept.release("shared-grams")
+        return grams
 
     def _sets(self) -> DataFrame:
         """(vertex, n, fragment, keys): the whole sets of the vertices that may link, one document of each."""
