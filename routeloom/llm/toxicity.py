@@ -2,8 +2,9 @@
 
 Each word enters as a learned vector of its own and the mean of learned vectors of its character trigrams. A document is
 read in windows of ``WINDOW`` words that overlap by half; all of them are scored and the highest score is the document's.
-Training sees labels of whole documents: the window of a toxic document that looks worst counts as positive, if it looks worse than
-those of nearly all clean documents, whose worst windows count as negative. Word vectors start from the words' shares in both.
+Training sees labels of whole documents: in every round the window of each toxic document that looks worst counts as positive, those
+of clean documents count as negative. Word vectors start from the words' shares in both and are drawn back to that start, so that words
+of few documents stay near it unless they are of use.
 
 The network is fitted on the driver on at most ``max_rows`` toxic and twice as many other labelled rows, the first in order of
 a hash of their id, with at most ``max_chars`` characters each. Scoring reads all documents in one pass without a shuffle.
@@ -27,10 +28,10 @@ from .training import training_rows
 
 WINDOW, STEP = 32, 16
 GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
-# Words of fewer training documents, or of a smaller share of them, have no vector of their own, only their trigrams'.
-MIN_DOCUMENTS, MIN_SHARE = 5, 0.01
+# Words of fewer training documents have no vector of their own, only their trigrams'.
+MIN_DOCUMENTS = 3
 MAX_ROWS, MAX_CHARS = 1000, 6_000
-ROUNDS, PER_ROUND, BATCH, RATE, DECAY = 10, 3000, 256, 0.01, 5e-4
+ROUNDS, PER_ROUND, BATCH, RATE, DECAY = 10, 3000, 256, 0.01, 5e-3
 # Windows that go through the network together.
 TOGETHER = 4096
 
@@ -86,6 +87,7 @@ class Network:
         }
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
+        self.start = 0  # where word vectors are drawn to
 
     def inputs(self, w: Windows) -> np.ndarray:
         """A vector per distinct word: its own and the mean of its trigrams'."""
@@ -188,7 +190,7 @@ class Network:
         grad["gram"] = np.zeros_like(self.p["gram"])
         np.add.at(grad["gram"], gram, np.repeat(dx[:, WIDTH:] / length[:, None].astype(np.float32), length, axis=0))
         self.steps += 1
-        grad["word"] += DECAY * self.p["word"]
+        grad["word"] += DECAY * (self.p["word"] - self.start)
         grad["gram"] += DECAY * self.p["gram"]
         grad["word"][0] = 0
         for k, g in grad.items():
@@ -226,9 +228,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
     part = _one(texts)
     pairs = np.unique(np.stack([part.row.astype(np.uint64), part.code]), axis=1)[1]
     code, times = np.unique(pairs, return_counts=True)
-    known = code[times >= max(MIN_DOCUMENTS, MIN_SHARE * len(texts))]
+    known = code[times >= MIN_DOCUMENTS]
     net = Network(known, seed)
     net.p["word"][1:, 0] = _leaning(part, known, np.asarray(labels))
+    net.start = net.p["word"].copy()
     w = Windows(part, Codes(known))
     label = np.asarray(labels)[w.row]
     net.p["base"][0] = np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
@@ -238,9 +241,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
         score = net.logits(w) if turn else score
         best = score == np.maximum.reduceat(score, w.window_from)[w.row]
         hard = good[best[good]]
-        # A toxic document whose worst window looks like those of most clean ones may be labelled wrongly: it does not teach.
-        sure = bad[best[bad] & (score[bad] > np.quantile(score[hard], 0.9))]
-        positive = rng.choice(sure if len(sure) else bad[best[bad]], PER_ROUND)
+        # One window of every toxic document before any has a second turn.
+        worst = rng.permutation(bad[best[bad]])
+        worst = worst[np.unique(w.row[worst], return_index=True)[1]]
+        positive = np.concatenate([rng.permutation(worst) for _ in range(-(-PER_ROUND // len(worst)))])[: max(PER_ROUND, len(worst))]
         negative = np.concatenate([rng.choice(hard, PER_ROUND), rng.choice(good, PER_ROUND)])
         chosen = rng.permutation(np.concatenate([positive, negative]))
         for i in range(0, len(chosen), BATCH):

@@ -104,6 +104,31 @@ def test_toxicity_learns_on_held_out_documents(spark):
     assert toxicity.remove_toxic(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_finds_held_out_documents_of_every_language(spark):
+    big = SF.replace("0.01", "0.1")
+    docs, labels = documents(spark, big), spark.read.parquet(f"{big}/labels.parquet").filter("toxic IS NOT NULL")
+    model = toxicity.train(docs, labels, fold_of("doc_id", 3) != 1)
+    held = docs.join(labels, "doc_id").filter(fold_of("doc_id", 3) == 1).select("doc_id", "lang", "toxic", "text")
+    rows = toxicity.score(held, model).select("row.lang", "row.toxic", "score").collect()
+    for lang in ("de", "en", "es", "fr"):
+        own = [(r.toxic, r.score >= 0.7) for r in rows if r.lang == lang]
+        assert np.mean([p for t, p in own if t]) > 0.5, lang
+    assert np.mean([r.score >= 0.7 for r in rows if not r.toxic]) < 0.03
+
+
+def test_every_toxic_document_teaches_in_every_round(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    texts = [text(60) for _ in range(60)] + [text(30) + " vile" for _ in range(10)] + [text(60) for _ in range(5)]
+    labels = np.array([0] * 60 + [1] * 15)
+    taught, learn = [], toxicity.Network.learn
+    monkeypatch.setattr(toxicity.Network, "learn", lambda self, w, chosen, wanted: (taught.append(set(w.row[chosen])), learn(self, w, chosen, wanted)))
+    toxicity.fit(texts, labels, rounds=3)
+    steps = len(taught) // 3
+    for i in range(3):
+        assert set(range(60, 75)) <= set().union(*taught[i * steps : (i + 1) * steps])
+
+
 def test_models_without_labels(spark):
     docs = table(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
