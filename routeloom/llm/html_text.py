@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-1. Every page scores its containers by the text that stands in them, and names the best by their path of tags and classes, with digits
+1. Every page scores its containers by the text that stands in them, and names them by their path of tags and classes, with digits
    generalised.
 2. Spark adds the votes up per host and path; each host keeps the path with most.
-3. Every page is read again: its text is what stands in the containers with its host's path. A page without such a container falls
-   back to its own best one.
+3. Every page is read again: its text is what stands in the containers with its host's path, each widened to the nearest article or main
+   around it, or without such to the outermost element whose further text is little linked and not in another article. A page
+   without such a container falls back to its own best one.
 
 Within a container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
 tag, role or words of class and id. Character references are decoded, white space inside a block becomes one space, and blocks are
@@ -50,9 +51,10 @@ TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 DIGITS = re.compile(r"\d+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-CANDIDATES_PER_PAGE = 3
 # A paragraph counts fully for its container and by this share for the one around it.
 OUTER_SHARE = 0.5
+# Further text of which this share or more stands in links does not belong to the article.
+LINKED_SHARE = 0.5
 
 
 class Page:
@@ -169,25 +171,55 @@ class Page:
         return out
 
     def candidates(self) -> list[tuple[str, float]]:
-        """The best paths with their share of the page's score."""
+        """All paths with a score, best first, with their share of the page's score."""
         by_path: dict[str, float] = {}
         for path, skip, score in zip(self.path, self.skip, self.scores()):
             if score > 0 and not skip:
                 by_path[path] = by_path.get(path, 0.0) + score
         total = sum(by_path.values())
-        best = sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES_PER_PAGE]
+        best = sorted(by_path.items(), key=lambda x: (-x[1], x[0]))
         return [(path, score / total) for path, score in best]
 
+    def _widened(self, path: str) -> set[int]:
+        """The containers of that path, or what around each holds the rest of its article."""
+        count = len(self.parent)
+        whole = [i > 0 and self.path[i].rpartition(">")[2].split(".")[0] in ("article", "main") for i in range(count)]
+        inside, around = [False] * count, [-1] * count  # around: nearest article or main
+        for i in range(count):
+            up = self.parent[i]
+            inside[i] = self.path[i] == path or (i > 0 and inside[up])
+            around[i] = i if whole[i] else around[up] if i else -1
+        further, linked, others = [0] * count, [0] * count, [False] * count
+        for node, text, links in self.blocks:
+            if not self.skip[node] and not inside[node]:
+                further[node] += len(text)
+                linked[node] += links
+                others[node] |= around[node] >= 0
+        for i in range(count - 1, 0, -1):
+            up = self.parent[i]
+            further[up] += further[i]
+            linked[up] += linked[i]
+            others[up] |= others[i]
+        tops = set()
+        for i in range(count):
+            if self.path[i] == path:
+                top, up = (around[i], -1) if around[i] >= 0 else (i, self.parent[i])
+                while up >= 0 and not others[up] and (not further[up] or linked[up] < LINKED_SHARE * further[up]):
+                    top, up = (up if further[up] else top), self.parent[up]
+                tops.add(top)
+        return tops
+
     def text(self, path: str | None) -> str:
-        """Blocks inside the containers of that path, else inside the page's best one."""
+        """Blocks inside the widened containers of that path, else of the page's best one."""
         if path not in self.path or path is None:
             best = self.candidates()
             if not best:
                 return ""
             path = best[0][0]
+        tops = self._widened(path)
         inside = [False] * len(self.parent)
         for i in range(len(self.parent)):
-            inside[i] = self.path[i] == path or (i > 0 and inside[self.parent[i]])
+            inside[i] = i in tops or (i > 0 and inside[self.parent[i]])
         return "\n\n".join(text for node, text, _ in self.blocks if inside[node] and not self.skip[node])
 
 

@@ -86,6 +86,26 @@ def test_a_host_outvotes_one_odd_page(spark):
     assert html_text.read_page(rows[9][2]).text(None).startswith("terms")
 
 
+NESTED = {
+    "article": ("<nav><p>menu</p></nav><article><h1>Head</h1><p>lead</p><div class='body'><p>{}</p><p>end</p></div><p>tail</p></article><div class=x><p>other</p></div>", "Head\n\nlead\n\n{}\n\nend\n\ntail"),
+    "sections": ("<section class=a><p>first</p></section><section class=b><p>{}</p></section><section class=c><p>third</p></section><footer>foot</footer>", "first\n\n{}\n\nthird"),
+    "main": ("<main class=m><div><h1>Head</h1></div><div class='text'><div class=in><p>{}</p></div></div></main><p>other</p>", "Head\n\n{}"),
+    "cells": ("<div class=w><h1>Head</h1><table><tr><td class=a>one</td><td class=b>{}</td></tr></table></div><div class=x><p><a href=/>many links around here and more of them</a></p></div>", "Head\n\none\n\n{}"),
+}
+
+
+def test_nested_containers_keep_the_whole_article(spark):
+    story = "story " * 39 + "story"
+    rows = [(f"{name} {i}", f"http://{name}.example/{i}", "<html><body>" + page.replace("{}", story) + "</body></html>") for name, (page, _) in NESTED.items() for i in range(3)]
+    got = {r.row.page_id: r.main for r in html_text.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {f"{name} {i}": want.replace("{}", story) for name, (_, want) in NESTED.items() for i in range(3)}
+
+
+def test_every_scored_path_votes():
+    page = html_text.read_page("".join(f"<div class=c{'xyz'[i]}><p>{'text ' * (9 + i)}</p></div>" for i in range(3)) + "<div class=least><p>text</p></div>")
+    assert ">div.least" in dict(page.candidates())
+
+
 def test_given_pages_hold_exactly_their_article(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in html_text.main_text(pages).join(pages.select("page_id", "html"), F.col("row.page_id") == F.col("page_id")).select("main", "html").collect():
