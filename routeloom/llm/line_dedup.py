@@ -1,9 +1,9 @@
 """Line dedup across documents, in DataFrame functions only.
 
-Long lines become 128-bit hashes with their document and position. The hashes are range-partitioned by hash and document
-and sorted by hash, document and position inside each partition, so that a hash of any size spreads over as many
-partitions as it needs. The sorted rows stream into first occurrences per document; one row per hash and task then says how many
-documents hold a line and which of them keeps it. What comes back is a compressed bitmap per document, never text: 64
+Long lines become 128-bit hashes with their document and position. The hashes are range-partitioned by hash and document,
+so that a hash of any size spreads over as many partitions as it needs. A hash aggregate leaves one row per hash and document (the
+sort and the first position are written below, but Spark prunes them as nothing reads them); one row per hash and task
+then says how many documents hold a line and which of them keeps it. What comes back is a compressed bitmap per document, never text: 64
 lines per number, and only the numbers in which some line goes.
 
 Defined results: a null or empty text is one empty line. ``min_chars`` counts code points of the stripped, lower-cased
