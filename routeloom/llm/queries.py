@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, secrets, topk, toxicity
+from . import chat_format, decontaminate, html_text, language, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, spelling, topk, toxicity
 from .shared import documents, fold_of
 
 # Upper and lower letters A to Z for SQL's translate().
@@ -146,6 +146,76 @@ LEFT JOIN (SELECT doc_id, min(other) AS smallest FROM reach GROUP BY doc_id) USI
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# crc32 of a short ASCII text, bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({0}) + 1), lambda i: ord({0}[i])::UBIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)))"""
+OP11_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS giver, {_CRC32.format("(conv_id::VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+given AS (SELECT convs.conv_id, pos, t, w FROM convs JOIN turns ON turns.conv_id = giver AND pos < h),
+heads AS (SELECT conv_id, count(*) AS g FROM given GROUP BY conv_id),
+rebuilt AS (
+  SELECT * FROM given UNION ALL
+  SELECT conv_id, pos - h::BIGINT + coalesce(g, 0), t, w FROM turns JOIN convs USING (conv_id) LEFT JOIN heads USING (conv_id) WHERE pos >= h),
+paths AS (
+  SELECT conv_id, coalesce(list(t ORDER BY pos) FILTER (t IS NOT NULL), []) AS p, coalesce(list(w ORDER BY pos) FILTER (t IS NOT NULL), []) AS ws
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+member AS (
+  SELECT conv_id, d AS depth, array_to_string(list_slice(p, 1, d), ',') AS path, array_to_string(list_slice(p, 1, d - 1), ',') AS up,
+         coalesce(ws[d], 0) AS w, len(p) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM paths)),
+node AS (
+  SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY depth, path),
+kids AS (SELECT up AS path, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2),
+known AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path, depth)),
+under AS (
+  SELECT member.depth, member.path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * known.w)::BIGINT AS saved_tokens
+  FROM known JOIN member ON member.conv_id = known.conv_id AND member.depth <= known.depth GROUP BY 1, 2)
+SELECT known.conv_id, known.depth, parent.conv_id AS parent_conv_id, known.n_convs, known.n_children, n_leaves, saved_tokens, known.ends_sha256
+FROM known JOIN under USING (depth, path) LEFT JOIN node parent ON parent.path = known.up AND parent.depth = known.depth - 1
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(documents(spark, sf_dir), spoil=True))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, chat_format.REPLY, said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.examples(conversations.select(own.columns).unionByName(own)))
+
+
+_ESCAPE = "'([<\\[])(~*(?:/?s>|/?INST\\]|\\|(?:im_start|im_sep|im_end|endoftext)\\|>))', '\\1~\\2', 'g'"
+OP13_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER own AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+         32 + length(regexp_replace(role, {_ESCAPE})) + length(regexp_replace(text, {_ESCAPE})) AS chars
+  FROM said WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+grown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR place = n))::BIGINT AS formatted_chars
+FROM grown GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
@@ -157,5 +227,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
+    "op13_chat_format": op13_chat_format,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_topk": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_ngram_join": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_chat_format": OP13_SQL}
