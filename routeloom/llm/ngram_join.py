@@ -6,14 +6,14 @@ codes. The order is cut into fragments, the same for all documents.
 1. *Statistics.* One pass gives each document the size and a code of its set, and counts the n-grams that repeat; the frequent
    ones (a bounded list) are placed at the end of the order. Documents of one set are one vertex from here on.
 2. *Candidates.* Two sets that link share at least ``k`` n-grams among the first ``n - ceil(threshold * n) + k`` of both, where ``k``
-   grows with the smaller set. Prefixes are packed by ranges of the order (frequent n-grams, which may be hot, go as single rows
+   grows with the smaller set. Prefixes are packed by ranges of codes (n-grams that could fill a range alone go as single rows
    that are aggregated before they move), and n-grams of one vertex alone drop out. A vertex that has fewer shared n-grams
-   than it needs cannot link and drops out too. Each n-gram left proposes one star: every vertex that has it, with
-   the one that shares most of its prefix. Stars are linear in the input.
+   than it needs cannot link and drops out too. The hub of an n-gram is the vertex that shares most of its prefix; in a round each
+   vertex proposes one pair, with the best hub of its n-grams that it has not tried and may link with, so a round has no more pairs than vertices.
 3. *Partial overlaps.* For the proposed pairs, each fragment of the order is compared on its own and yields a partial
    overlap; a pair goes on after the first fragments only if the rest could still reach the threshold; the partial overlaps are
    summed per pair and compared exactly.
-4. *Components* of the links. N-grams whose vertices are all in one component are done. The others propose further stars, and what
+4. *Components* of the links. N-grams whose vertices are all in one component are done. The others go into further rounds, and what
    then still joins different components is compared pair by pair, as far as what the prefixes share allows a link. So no link
    between different components is lost, and the pairs inside a group of near copies are never listed.
 
@@ -52,7 +52,9 @@ PER_SHARED = 32
 PER_BUCKET = 500_000
 FIRST_FRAGMENTS = 2
 MAX_MAP_BITS = 28
-STAR_ROUNDS = 3
+HUB_ROUNDS = 4
+# N-grams met about so often could fill a range of their own: they go as single rows.
+HOT_RANK = (PER_BUCKET // 32).bit_length() - 1
 # Sets are matched by size in steps of this factor.
 SIZE_STEP = 1.04
 
@@ -106,6 +108,7 @@ def _statistics(size: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.concat_arrays([batch.column("doc_id"), pa.nulls(extra, batch.schema.field("doc_id").type)]),
+                    "body": pa.concat_arrays([batch.column("body"), none]),
                     "n": pa.concat_arrays([pa.array(np.concatenate(counts), pa.int64()), none]),
                     "vertex": pa.concat_arrays([pa.array(np.concatenate(vertices).view(np.int64)), none]),
                     "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(code[edge][often].view(np.int64))]),
@@ -143,7 +146,7 @@ def ordered_sets(part: Words, size: int, order: Order) -> tuple[np.ndarray, np.n
 def _prefixes(order, size: int, percent: int, bucket_bits: int):
     """Rows (bucket, grams, vertices): all prefixes of a batch in order, cut into ranges.
 
-    Bucket -1 has the frequent n-grams, bucket -2 the last n-gram of each prefix.
+    Bucket -1 has the n-grams from ``HOT_RANK`` on, bucket -2 the last n-gram of each prefix.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +165,11 @@ def _prefixes(order, size: int, percent: int, bucket_bits: int):
                 lasts.append(key[(cuts[:-1] + length - 1)[some]].tobytes())
                 owners.append(vertex[some].tobytes())
             key, vertex = np.concatenate(grams), np.concatenate(vertices)
-            place = np.argsort(key)
-            key, vertex = key[place], vertex[place]
             buckets = 1 << bucket_bits
-            bucket = np.minimum(key >> np.uint64(58 - bucket_bits), np.uint64(buckets)).astype(np.int64)
+            bucket = ((key & np.uint64((1 << 58) - 1)) >> np.uint64(58 - bucket_bits)).astype(np.int64)
+            bucket[key >> np.uint64(58) >= HOT_RANK] = buckets
+            place = np.argsort(bucket, kind="stable")
+            key, vertex, bucket = key[place], vertex[place], bucket[place]
             edges = np.searchsorted(bucket, np.arange(buckets + 2))
             full = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays(
@@ -274,9 +278,9 @@ class NgramJoin:
 
     def _statistics(self):
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        seen = self.docs.mapInArrow(_statistics(self.size), f"doc_id {kind}, n long, vertex long, gram long, times long")
+        seen = self.docs.withColumn("body", F.xxhash64("text")).mapInArrow(_statistics(self.size), f"doc_id {kind}, body long, n long, vertex long, gram long, times long")
         seen = self.kept(seen, "gram-statistics")
-        members = seen.filter(F.col("n").isNotNull()).select("doc_id", "n", "vertex")
+        members = seen.filter(F.col("n").isNotNull()).select("doc_id", "body", "n", "vertex")
         total = members.agg(F.sum("n")).first()[0] or 0
         # Each counted n-gram takes at least this many of the total, so at most MAX_FREQUENT of them exist.
         least = max(MIN_FREQUENT, -(-total // MAX_FREQUENT))
@@ -295,9 +299,8 @@ class NgramJoin:
         scan = _prefixes(self.order, self.size, self.percent, bits)
         packed = self.kept(self.docs.select("text").mapInArrow(scan, "bucket int, grams binary, vertices binary"), "prefixes")
         shared = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_several, "gram long, vertex long")
-        frequent = packed.filter("bucket = -1").mapInArrow(_single, "gram long, vertex long")
-        ends = frequent.groupBy("gram").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).filter(F.col("low") != F.col("high"))
-        hot = frequent.join(ends.select("gram"), "gram", "left_semi").distinct()
+        # Those of one vertex alone stay: they only make its bound less sharp, and the first round drops them.
+        hot = packed.filter("bucket = -1").mapInArrow(_single, "gram long, vertex long").distinct()
         shared = self.kept(shared.unionByName(hot), "shared-grams")
         tails = packed.filter("bucket = -2").mapInArrow(_single, "gram long, vertex long").groupBy("vertex").agg(F.max("gram").alias("last"))
         counted = shared.groupBy("vertex").agg(F.count(F.lit(1)).alias("shared"))
@@ -326,7 +329,8 @@ class NgramJoin:
         table = self.able.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
         marks = np.zeros(1 << (bits - 6), dtype=np.uint64)
         marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-        scan = _fragments(self.order, self.spark.sparkContext.broadcast(marks), bits, self.size)
+        self.marks = self.spark.sparkContext.broadcast(marks)
+        scan = _fragments(self.order, self.marks, bits, self.size)
         coded = self.docs.select("text", F.xxhash64("doc_id").alias("id_code"))
         return self.kept(coded.mapInArrow(scan, "vertex long, n long, fragment int, keys binary"), "fragments")
 
@@ -349,21 +353,19 @@ class NgramJoin:
         """(vertex, label) of the linked vertices: one label per component."""
         named = self.grams.withColumn("label", F.col("vertex"))
         pairs = links = labels = None
-        for turn in range(STAR_ROUNDS + 1):
-            if turn < STAR_ROUNDS:
-                new, named = self._stars(named)
-            else:
-                new = self._apart_pairs(named)
-            new = self.kept(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-            found = self._links(new)
-            links = self.kept(found if links is None else links.unionByName(found), "links")
+        for turn in range(HUB_ROUNDS + 1):
+            last = turn == HUB_ROUNDS
+            new = self._apart_pairs(named, pairs) if last else self._hub_pairs(named, pairs)
+            new = self.kept(new, f"pairs-{turn}")
             pairs = new if pairs is None else pairs.unionByName(new)
+            found = self._links(new)
+            links = self.kept(found if links is None else links.unionByName(found), f"links-{turn}")
             labels = connected(links)
-            if turn < STAR_ROUNDS:
+            if not last:
                 named = named.drop("label").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
                 ends = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                 apart = ends.filter(F.col("low") != F.col("high")).select("gram")
-                named = self.kept(named.join(apart, "gram", "left_semi"), "apart")
+                named = self.kept(named.join(apart, "gram", "left_semi"), f"apart-{turn}")
                 if named.isEmpty():
                     break
         return labels
@@ -374,23 +376,25 @@ class NgramJoin:
         first = F.when(col(a, "last") < col(b, "last"), col(a, "cap")).when(col(b, "last") < col(a, "last"), col(b, "cap"))
         return self._reach(F.least(F.coalesce(first, F.least(col(a, "cap"), col(b, "cap"))), col(a, "n"), col(b, "n")), col(a, "n"), col(b, "n"))
 
-    def _stars(self, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs of each vertex with the hub of its n-gram, the rows without the hubs).
+    def _hub_pairs(self, named: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """(a, b): each vertex with the best hub of its n-grams that it has not tried, of another component.
 
-        The hub is the vertex that shares most of its prefix: in a group of near copies the original, or what is closest to it.
+        The hub of an n-gram is the vertex that shares most of its prefix: in a group of near copies the original, or what is closest to it.
         """
         columns = ["rank", "vertex", "label", "n", "last", "cap"]
         hubs = named.groupBy("gram").agg(F.min(F.struct(*columns)).alias("hub"))
         met = named.join(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in columns]), "gram")
         apart = met.filter((F.col("label") != F.col("hub_label")) & self._possible("", "hub_"))
-        pairs = apart.select(F.greatest("vertex", "hub_vertex").alias("a"), F.least("vertex", "hub_vertex").alias("b")).distinct()
-        return pairs, met.filter(F.col("vertex") != F.col("hub_vertex")).select(named.columns)
+        found = apart.select("vertex", "hub_rank", F.greatest("vertex", "hub_vertex").alias("a"), F.least("vertex", "hub_vertex").alias("b"))
+        if tried is not None:
+            found = found.distinct().join(tried, ["a", "b"], "left_anti")
+        best = found.groupBy("vertex").agg(F.min(F.struct("hub_rank", "a", "b")).alias("best"))
+        return best.select("best.a", "best.b").distinct()
 
-    def _apart_pairs(self, named: DataFrame) -> DataFrame:
-        """Pairs of different components that the n-grams of their prefixes allow to link.
+    def _apart_pairs(self, named: DataFrame, tried: DataFrame) -> DataFrame:
+        """Pairs of different components that the n-grams of their prefixes allow to link, without those ``tried``.
 
-        A pair with an n-gram in which one of both was a hub has been compared or cannot link; of all others every n-gram that
-        both prefixes have is here. The side whose prefix ends first looks for partners, by steps of size: to link with a set of
+        Every n-gram that joins different components is here. The side whose prefix ends first looks for partners, by steps of size: to link with a set of
         that size it must share so many of its ``held`` n-grams here that one is among the first ``held - must + 1``. Only with
         those it asks, so near copies that cannot link with others of their size ask little or nothing.
         """
@@ -408,17 +412,26 @@ class NgramJoin:
         answering = named.select("gram", size(F.col("n")).alias("size"), *side("y"))
         before = (F.col("x_last") < F.col("y_last")) | ((F.col("x_last") == F.col("y_last")) & (F.col("x_vertex") < F.col("y_vertex")))
         met = asking.join(answering, ["gram", "size"]).filter(before & (F.col("x_label") != F.col("y_label")) & self._possible("x_", "y_"))
-        return met.select(F.greatest("x_vertex", "y_vertex").alias("a"), F.least("x_vertex", "y_vertex").alias("b")).distinct()
+        pairs = met.select(F.greatest("x_vertex", "y_vertex").alias("a"), F.least("x_vertex", "y_vertex").alias("b")).distinct()
+        return pairs.join(tried, ["a", "b"], "left_anti")
+
+    def labelled(self) -> DataFrame:
+        """(doc_id, body, n, vertex, label) per row of the documents; ``body`` tells the texts of one id apart."""
+        return self.members.join(self.components(), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
 
     def rows(self) -> DataFrame:
         """(doc_id, n, component) per row of the documents; component is the smallest id in it."""
-        labels = self.components()
-        named = self.members.join(labels, "vertex", "left").select("doc_id", "n", F.coalesce("label", "vertex").alias("label"))
+        named = self.labelled().select("doc_id", "n", "label")
         some = named.filter(F.col("n") > 0)
         least = some.groupBy("label").agg(F.min("doc_id").alias("component"))
         none = named.filter(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component"))
         return some.join(least, "label").select("doc_id", "n", "component").unionByName(none)
 
+    def release(self) -> None:
+        """Frees what the executors hold for this join. Its results must be stored before."""
+        for held in (self.order, self.marks):
+            held.destroy()
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(vertex, label) of the components of ``links`` (a, b), both long; label is the smallest vertex.
@@ -455,10 +468,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents whose group holds a smaller id. Rows repeated under one id stay once per text."""
-    groups = similar_groups(docs, id_col, text_col, size, percent)
-    gone = kept(groups.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group: the one of the smallest id (null last), and of its texts the first by their hash.
+
+    Rows that share an id are judged by their texts, each on its own. Of rows alike in id and text one stays, whichever ids the others
+    have. Documents without n-grams belong to no group and all stay.
+    """
+    join = NgramJoin(docs, id_col, text_col, size, percent)
+    named = join.labelled().filter("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
+    first = named.groupBy("label").agg(F.min(order).alias("first"))
+    place = ["doc_id", "body"]
+    judged = named.select("label", *place).join(first, "label").groupBy(*place).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.struct(*place).eqNullSafe(F.struct("first.doc_id", "first.body"))).alias("stays")
+    )
+    judged = kept(judged.filter("NOT stays OR rows > 1"), "judged")
+    join.release()
+
+    def matched(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
+        return rows.join(some, rows[id_col].eqNullSafe(some["_id"]) & (F.xxhash64(rows[text_col]) == some["_body"]), how)
+
+    rest = matched(docs, judged.filter("NOT stays"), "left_anti")
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return rest
+    return matched(rest, again, "left_anti").unionByName(matched(rest, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def overlap(x: str, y: str, size: int = SIZE) -> tuple[int, int]:

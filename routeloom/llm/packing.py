@@ -35,7 +35,8 @@ PART_PIECES = 20_000
 LETTERS, NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
 SPLIT = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-įı-ſ]*\Z")
-CACHED_CHUNKS = 700_000
+# About 250 bytes each, in every Python worker.
+CACHED_CHUNKS = 120_000
 CACHED_CHARS = 48
 
 

@@ -166,7 +166,8 @@ def test_ngram_join_with_frequent_grams_and_small_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 2)
     monkeypatch.setattr(ngram_join, "MIN_IN_BATCH", 2)
     monkeypatch.setattr(ngram_join, "PER_BUCKET", 50)
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "HOT_RANK", 2)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
     rows = near_rows()
     got = ngram_join.similar_groups(table(spark, rows)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((i, n, c) for (i, _), (n, c) in zip(rows, plain.groups(rows))), key=repr)
@@ -181,6 +182,32 @@ def test_ngram_join_keeps_one_of_each_group(spark):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    """Copies with none to many edits: a chain of links, members beyond the threshold, few pairs proposed."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(i % 7):
+            own[rng.randrange(len(own))] = rng.choice(["x", "y", f"z{i}"])
+        rows.append((i, " ".join(own)))
+    got = ngram_join.similar_groups(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, n, c) for (i, _), (n, c) in zip(rows, plain.groups(rows)))
+    join = ngram_join.NgramJoin(table(spark, rows))
+    named = join.grams.withColumn("label", F.col("vertex"))
+    assert join._hub_pairs(named, None).count() <= named.select("vertex").distinct().count()
+
+
+def test_keep_one_judges_the_texts_of_one_id_and_repeated_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    text = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(table(spark, rows)).collect()), key=repr)
+    assert text([(1, b), (2, a), (2, b + " extra")]) == [(1, b), (2, a)]
+    assert text([(None, a), (None, a), (None, b), (3, b)]) == [(3, b), (None, a)]
+    assert text([(4, a), (4, a), (5, a.upper()), (6, None), (6, None), (7, "")]) == [(4, a), (6, None), (6, None), (7, "")]
+    assert text([(8, a), (8, a + "  ")]) in ([(8, a)], [(8, a + "  ")])
+
+
 def test_overlap_of_two_texts():
     a, b = "a b c d e f g", "b c d e f g h"
     assert ngram_join.overlap(a, b) == (2, 4)
