@@ -18,11 +18,14 @@ from ..operators import clean, facts, kmeans, network, pagerank, paths, scaling
 from ..session import stage
 
 CODE = "^[PS][0-9]+$"
-POINT_COLS = ["x1", "x2", "x3", "x4", "x5"]
+# All components of a vector.
+POINT_COLS = [f"x{i + 1}" for i in range(64)]
+# About the distance of the nearest neighbours of standardised vectors.
+RADIUS = 9.25
 NODE_COLS = ["degree", "avg_delay", "delay_std"]
 NODE_CENTERS = [[-1.0, -1.0, -1.0], [1.0, 1.0, 1.0]]
 NODE_ITERS = 3
-POINT_CENTERS = [[0.0] * 5, [1.0] * 5, [-1.0] * 5]
+POINT_CENTERS = [[c] * len(POINT_COLS) for c in (0.0, 0.25, -0.25)]
 POINT_ITERS = 4
 
 ORIGIN = "CASE WHEN l_returnflag = 'R' THEN 'P' || l_partkey ELSE 'S' || l_suppkey END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..operators.similarity import permutations
-from .inputs import NODE_CENTERS, NODE_COLS, NODE_ITERS, POINT_CENTERS, POINT_COLS, POINT_ITERS
+from .inputs import NODE_CENTERS, NODE_COLS, NODE_ITERS, POINT_CENTERS, POINT_COLS, POINT_ITERS, RADIUS
 
 DEPTH = 12
 
@@ -209,22 +209,21 @@ part("worst", "SELECT cluster FROM clustered GROUP BY cluster ORDER BY avg(avg_d
 
 _GAP = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in POINT_COLS)
 part("point_pairs", f"SELECT a.id AS a, b.id AS b, {_GAP} AS d2 FROM points a CROSS JOIN points b")
-part("cores", "SELECT a AS id FROM point_pairs WHERE d2 <= 1.0 GROUP BY a HAVING count(*) >= 5")
-PARTS["core_reach"] = """core_reach(id, label) AS (
-  SELECT id, id FROM cores UNION SELECT p.b, r.label FROM core_reach r JOIN point_pairs p ON p.a = r.id AND p.d2 <= 1.0
+part("cores", f"SELECT a AS id FROM point_pairs WHERE d2 <= {RADIUS**2} GROUP BY a HAVING count(*) >= 5")
+PARTS["core_reach"] = f"""core_reach(id, label) AS (
+  SELECT id, id FROM cores UNION SELECT p.b, r.label FROM core_reach r JOIN point_pairs p ON p.a = r.id AND p.d2 <= {RADIUS**2}
   WHERE p.b IN (SELECT id FROM cores))"""
 part("core_labels", "SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT id, min(label) AS label FROM core_reach GROUP BY id)")
-part("density_clusters", """
+part("density_clusters", f"""
   SELECT p.id, CAST(coalesce(c.cluster, b.cluster, -1) AS BIGINT) AS cluster, c.id IS NOT NULL AS core
   FROM points p LEFT JOIN core_labels c USING (id) LEFT JOIN (
-    SELECT q.a AS id, min(k.cluster) AS cluster FROM point_pairs q JOIN core_labels k ON k.id = q.b WHERE q.d2 <= 1.0 GROUP BY 1) b ON b.id = p.id""")
+    SELECT q.a AS id, min(k.cluster) AS cluster FROM point_pairs q JOIN core_labels k ON k.id = q.b WHERE q.d2 <= {RADIUS**2} GROUP BY 1) b ON b.id = p.id""")
 part("near_points", "SELECT a AS id, b AS nbr, sqrt(d2) AS dist, row_number() OVER (PARTITION BY a ORDER BY d2, a <> b, b) AS rank FROM point_pairs")
 
 # Principal components: a covariance matrix squared often enough leaves its leading direction in
 # every column; the second comes from what the first leaves over.
-_DIMS = range(len(POINT_COLS))
-part("cov_a0", " UNION ALL ".join(
-    f"SELECT {i} AS i, {j} AS j, covar_samp({POINT_COLS[i]}, {POINT_COLS[j]}) AS v FROM points" for i in _DIMS for j in _DIMS))
+part("long_points", f"SELECT id, unnest(range({len(POINT_COLS)})) AS i, unnest([{', '.join(POINT_COLS)}]) AS v FROM points")
+part("cov_a0", "SELECT x.i, y.i AS j, covar_samp(x.v, y.v) AS v FROM long_points x JOIN long_points y ON x.id = y.id GROUP BY 1, 2")
 for _side, _next in (("a", "b"), ("b", None)):
     for _t in range(20):
         part(f"cov_{_side}{_t + 1}", f"""

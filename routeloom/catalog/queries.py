@@ -32,7 +32,7 @@ from ..operators import (
 )
 from ..session import Workspace, stage
 from ..sources import files
-from .inputs import CODE, NODE_COLS, POINT_COLS, Inputs
+from .inputs import CODE, NODE_COLS, POINT_COLS, RADIUS, Inputs
 from .oracle import compose, ratio, rnd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,9 +326,9 @@ def _(i: Inputs) -> DataFrame:
     return similarity.lsh_candidates(_all_sets(i), _bands(i))
 
 
-@query("join_radius", "SELECT a AS id, count(*) AS n_within FROM point_pairs WHERE d2 <= 1.0 GROUP BY a")
+@query("join_radius", f"SELECT a AS id, count(*) AS n_within FROM point_pairs WHERE d2 <= {RADIUS**2} GROUP BY a")
 def _(i: Inputs) -> DataFrame:
-    return neighbors.within(i.points, POINT_COLS, 1.0)
+    return neighbors.within(i.points, POINT_COLS, RADIUS)
 
 
 @query("join_knn", f"SELECT id, nbr, {rnd('dist', 8)} AS dist, CAST(rank AS INTEGER) AS rank FROM near_points WHERE rank <= 5")
@@ -836,12 +836,12 @@ def _(i: Inputs) -> DataFrame:
 
 @query("dbscan", "SELECT id, cluster, core FROM density_clusters")
 def _(i: Inputs) -> DataFrame:
-    return neighbors.dbscan(i.points, POINT_COLS, 1.0, 5)
+    return neighbors.dbscan(i.points, POINT_COLS, RADIUS, 5)
 
 
 @query("outlier_count", "SELECT count(*) AS points, count(*) FILTER (cluster = -1) AS outliers, count(*) FILTER (cluster <> -1) AS inliers FROM density_clusters")
 def _(i: Inputs) -> DataFrame:
-    return neighbors.outliers(neighbors.dbscan(i.points, POINT_COLS, 1.0, 5))
+    return neighbors.outliers(neighbors.dbscan(i.points, POINT_COLS, RADIUS, 5))
 
 
 @query("hierarchy_ward")

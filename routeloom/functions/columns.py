@@ -80,4 +80,6 @@ def hash_order(c: ColumnOrName, seed: int) -> Column:
 
 
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)])
+    """Over arrays, so that the plan stays small however many coordinates there are."""
+    gaps = F.zip_with(F.array(*a), F.array(*b), lambda p, q: (p - q) * (p - q))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g)

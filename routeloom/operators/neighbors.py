@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from ..skew import hot_keys, lookup, salted_join
-from .blocks import distinct_points, far_squared, link_copies, near_pairs, pack, whole_numbered
+from .blocks import aligned, distinct_points, far_squared, link_copies, near_pairs, pack, vector, whole_numbered
 from .components import components
 from .ranks import row_numbers
 
@@ -48,7 +48,7 @@ def _within_blocks(blocks: DataFrame, dims: int, eps: float) -> DataFrame:
     """(pid, n_within) of merged points, themselves and their copies included."""
     eps2 = eps * eps
     heads = blocks.select(*HEAD, F.aggregate("weight", F.lit(0).cast("bigint"), lambda s, w: s + w).alias("mass"))
-    pairs = near_pairs(heads.drop("mass"), heads, blocks.count(), dims, eps2)
+    pairs = stage(near_pairs(heads.drop("mass"), heads, blocks.count(), eps2), "pairs")
     # Blocks that lie wholly within reach need no distances.
     inside = far_squared(*_boxes()) <= eps2 * (1 - 1e-12)
     sure = pairs.filter(inside).groupBy(F.col("l_block").alias("block")).agg(F.sum("r_mass").cast("double").alias("mass"))
@@ -66,8 +66,8 @@ def within(points: DataFrame, cols: list[str], eps: float) -> DataFrame:
     Counts instead of pairs: a dense region has quadratically many pairs, but one count per point.
     """
     merged = distinct_points(points, cols)
-    counts = _within_blocks(pack(merged, cols, ["weight"]), len(cols), eps)
-    return link_copies(points.select("id", *cols), merged, cols).join(counts, "pid").select("id", "n_within")
+    counts = _within_blocks(pack(merged, len(cols), ["weight"]), len(cols), eps)
+    return link_copies(points, merged, cols).join(counts, "pid").select("id", "n_within")
 
 
 def _block_knn(dims: int, k: int):
@@ -91,15 +91,15 @@ def _block_knn(dims: int, k: int):
     return run
 
 
-def _first_copies(points: DataFrame, cols: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+def _first_copies(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Points split by their place among their own copies: the first ``k``, and the rest.
 
     Only the first ``k`` copies of a place can be anyone's neighbours, apart from a point itself.
     """
-    sorted_rows = row_numbers(points, [*cols, "pid"], "_rn")
-    starts = sorted_rows.groupBy(*cols).agg(F.min("_rn").alias("_start"))
+    sorted_rows = row_numbers(points, ["x", "pid"], "_rn")
+    starts = sorted_rows.groupBy("x").agg(F.min("_rn").alias("_start"))
     placed = stage(
-        lookup(sorted_rows, starts, cols, "inner", hot_keys(sorted_rows, cols))
+        lookup(sorted_rows, starts, ["x"], "inner", hot_keys(sorted_rows, ["x"]))
         .withColumn("_place", F.col("_rn") - F.col("_start") + 1)
         .drop("_rn"),
         "copies",
@@ -114,9 +114,9 @@ def knn(points: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
     points can be; only block pairs within that bound are compared.
     """
     dims = len(cols)
-    named = stage(whole_numbered(points.select("id", *cols), "id"), "named")
-    few, rest = _first_copies(named.select("pid", *cols), cols, k)
-    blocks = pack(few.select("pid", *cols), cols)
+    named = stage(whole_numbered(points.select("id", vector(cols)), "id"), "named")
+    few, rest = _first_copies(named.select("pid", "x"), k)
+    blocks = pack(few.select("pid", "x"), dims)
     search = _block_knn(dims, k)
     unknown = F.lit(float("inf"))
     bound = F.aggregate(
@@ -126,7 +126,7 @@ def knn(points: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
     )
     local = stage(blocks.select(*HEAD, search("xs", "xs", "ids").alias("near")).select(*HEAD, bound.alias("reach")), "bounds")
     count = blocks.count()
-    pairs = near_pairs(local, local.drop("reach"), count, dims, "reach")
+    pairs = near_pairs(local, local.drop("reach"), count, "reach")
     work = _with_payload(pairs.select("l_block", "r_block"), blocks, ["ids", "xs"], ["ids", "xs"])
     found = work.select(
         "r_block", F.explode(F.arrays_zip(F.col("l_ids").alias("pid"), search("l_xs", "r_xs", "r_ids").alias("near"))).alias("z")
@@ -142,10 +142,10 @@ def knn(points: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
     near = best.select("pid", F.posexplode("b").alias("p", "n")).select(
         "pid", F.col("n.nbr").alias("nbr"), F.sqrt("n.d").alias("dist"), (F.col("p") + 1).alias("rank")
     )
-    ahead = few.filter(F.col("_place") < k).select(*cols, F.col("pid").alias("nbr"), (F.col("_place") + 1).cast("int").alias("rank"))
-    copies = rest.select("pid", *cols)
+    ahead = few.filter(F.col("_place") < k).select("x", F.col("pid").alias("nbr"), (F.col("_place") + 1).cast("int").alias("rank"))
+    copies = rest.select("pid", "x")
     zero = F.lit(0.0).alias("dist")
-    more = salted_join(ahead, copies, cols, "pid", hot_keys(copies, cols)).select("pid", "nbr", zero, "rank").unionByName(
+    more = salted_join(ahead, copies, ["x"], "pid", hot_keys(copies, ["x"])).select("pid", "nbr", zero, "rank").unionByName(
         copies.select("pid", F.col("pid").alias("nbr"), zero, F.lit(1).alias("rank"))
     )
     names = named.select("pid", "id")
@@ -229,15 +229,11 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 1.0, min_pts: int =
     """
     dims, eps2 = len(cols), eps * eps
     merged = distinct_points(points, cols)
-    counts = _within_blocks(pack(merged, cols, ["weight"]), dims, eps)
-    cores = stage(merged.join(counts, "pid").select("pid", *cols, (F.col("n_within") >= min_pts).alias("core")), "cores")
-    blocks = pack(cores, cols, ["core"])
-    grouped = stage(blocks.withColumn("grp", _local_groups(dims, eps2)("xs", "core")), "grouped")
-    count = grouped.count()
-    pairs = stage(
-        near_pairs(grouped.select(HEAD), grouped.select(HEAD), count, dims, eps2).select("l_block", "r_block"),
-        "pairs",
-    )
+    blocks = pack(merged, dims, ["weight"])
+    counts = _within_blocks(blocks, dims, eps)
+    cores = stage(merged.select("pid").join(counts, "pid").select("pid", (F.col("n_within") >= min_pts).alias("core")), "cores")
+    grouped = stage(aligned(blocks, cores, "core").withColumn("grp", _local_groups(dims, eps2)("xs", "core")), "grouped")
+    pairs = stage(near_pairs(grouped.select(HEAD), grouped.select(HEAD), grouped.count(), eps2).select("l_block", "r_block"), "pairs")
     member = grouped.select("block", F.explode(F.arrays_zip(F.col("ids").alias("pid"), F.col("grp").alias("g"), F.col("core").alias("core"))).alias("z")).select(
         "block", "z.pid", "z.g", "z.core"
     )
@@ -256,8 +252,7 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 1.0, min_pts: int =
     names = core_points.groupBy("label").agg(F.min("pid").alias("first"))
     numbered = row_numbers(names, ["first"], "_rn").select("label", (F.col("_rn") - 1).alias("cluster"))
     core_cluster = stage(core_points.join(numbered, "label").select("pid", "cluster"), "core-cluster")
-    named = pack(cores.join(core_cluster, "pid", "left"), cols, ["core", "cluster"])
-    # Same points, same curve: the blocks are the ones the pairs were found for.
+    named = aligned(grouped, core_cluster, "cluster")
     border = (
         _with_payload(pairs, named, ["ids", "xs", "core"], ["xs", "cluster"])
         .select(F.explode(F.arrays_zip(F.col("l_ids").alias("pid"), _border_labels(dims, eps2)("l_xs", "r_xs", "l_core", "r_cluster").alias("cluster"))).alias("z"))
@@ -268,7 +263,7 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 1.0, min_pts: int =
     final = cores.select("pid", "core").join(core_cluster, "pid", "left").join(border, "pid", "left").select(
         "pid", "core", F.coalesce("cluster", "border", F.lit(-1)).cast("bigint").alias("cluster")
     )
-    return link_copies(points.select("id", *cols), merged, cols).join(final, "pid").select("id", "cluster", "core")
+    return link_copies(points, merged, cols).join(final, "pid").select("id", "cluster", "core")
 
 
 def outliers(labels: DataFrame, cluster: str = "cluster") -> DataFrame:

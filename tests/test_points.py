@@ -34,7 +34,7 @@ def limits(request, monkeypatch):
 
         monkeypatch.setattr(skew, "HOT_ROWS", 8)
         monkeypatch.setattr(blocks.pack, "__defaults__", ([], 7))
-        monkeypatch.setattr(blocks, "RUN_BLOCKS", 3)
+        monkeypatch.setattr(blocks, "FAN_OUT", 3)
         monkeypatch.setattr(blocks, "_NUMBERS", 4)
 
 
@@ -107,7 +107,7 @@ def test_scores(points, cloud, limits):
 
 def test_blocks_are_bounded(points, cloud):
     merged = blocks.distinct_points(points, COLS)
-    packed = blocks.pack(merged, COLS, ["weight"], size=16)
+    packed = blocks.pack(merged, len(COLS), ["weight"], size=16)
     sizes = [r[0] for r in packed.select(F.size("ids")).collect()]
     assert max(sizes) <= 16 and sum(sizes) == len(np.unique(cloud, axis=0))
     assert merged.agg(F.sum("weight")).first()[0] == len(cloud)
@@ -156,9 +156,9 @@ def plain_ward(cloud):
     return merges
 
 
-@pytest.mark.parametrize("few", [1000, 3])
+@pytest.mark.parametrize("few", [256, 3])
 def test_ward_tree(spark, cloud, few, monkeypatch):
-    monkeypatch.setattr(hierarchy, "FEW_CLUSTERS", few)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", few)
     monkeypatch.setattr(blocks.pack, "__defaults__", ([], 16))
     some = cloud[::2]
     df = spark.createDataFrame([(f"q{i:02d}", float(a), float(b)) for i, (a, b) in enumerate(some)], "id string, x double, y double")
