@@ -240,6 +240,7 @@ for _side, _next in (("a", "b"), ("b", None)):
           FROM cov_{_side}0 c JOIN axis_{_side} x ON x.i = c.i JOIN axis_{_side} y ON y.i = c.j""")
 
 part("sets", "SELECT src AS id, dst AS member FROM edges WHERE src IN (SELECT id FROM known_nodes)")
+part("profiles", "SELECT min(id) AS id, count(*) AS held FROM (SELECT id, string_agg(member, ',' ORDER BY member) AS t FROM sets GROUP BY id) GROUP BY t")
 part("set_sizes", "SELECT id, count(*) AS n FROM sets GROUP BY id")
 _MINIMA = ", ".join(f"min((h * {a} + {b}) % 2147483647)" for a, b in permutations(128))
 part("signatures", f"""
@@ -263,6 +264,9 @@ for _all, _asked in (("", "a.id IN (SELECT id FROM queries) AND "), ("all_", "")
   SELECT c.id, c.other, coalesce(o.common, 0) AS common, CAST(coalesce(o.common, 0) AS DOUBLE) / (x.n + y.n - coalesce(o.common, 0)) AS jaccard
   FROM {_all}candidates c LEFT JOIN {_all}query_overlaps o ON o.id = c.id AND o.other = c.other
     JOIN set_sizes x ON x.id = c.id JOIN set_sizes y ON y.id = c.other""")
+part("profile_pairs", """
+  SELECT c.id AS a, c.other AS b, p.held AS members_a, q.held AS members_b
+  FROM all_candidates c JOIN profiles p ON p.id = c.id JOIN profiles q ON q.id = c.other WHERE c.id < c.other""")
 part("rec_pairs", """
   SELECT DISTINCT a.id, b.id AS other FROM band_rows a JOIN band_rows b ON a.band = b.band AND a.bucket = b.bucket
   JOIN clustered x ON x.id = a.id JOIN clustered y ON y.id = b.id

@@ -317,13 +317,13 @@ def _queries(i: Inputs) -> DataFrame:
     return i._once("queries", lambda: similarity.sample_nodes(i.sets.select("id").distinct()))
 
 
-def _all_sets(i: Inputs) -> DataFrame:
-    return i.sets.select("id").distinct()
+def _profile_pairs(i: Inputs) -> DataFrame:
+    return i._once("profile-pairs", lambda: similarity.profile_candidates(i.sets))
 
 
-@query("join_lsh_candidates", "SELECT id, other FROM all_candidates")
+@query("join_lsh_candidates", "SELECT a, b, members_a, members_b FROM profile_pairs UNION ALL SELECT id, id, held, held FROM profiles WHERE held > 1")
 def _(i: Inputs) -> DataFrame:
-    return similarity.lsh_candidates(_all_sets(i), _bands(i))
+    return similarity.profile_candidates(i.sets).select("a", "b", "members_a", "members_b")
 
 
 @query("join_radius", f"SELECT a AS id, count(*) AS n_within FROM point_pairs WHERE d2 <= {RADIUS**2} GROUP BY a")
@@ -859,16 +859,15 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "lsh_s_curve",
-    f"""SELECT CAST(bin AS INTEGER) AS bin, count(*) AS pairs, {rnd('avg(hit)', 6)} AS observed, {rnd('avg(jaccard)', 8)} AS s,
-          {rnd('1 - pow(1 - pow(avg(jaccard), 2), 64)', 6)} AS expected FROM (
-        SELECT least(floor(q.jaccard * 20), 19) AS bin, q.jaccard, CAST(c.id IS NOT NULL AS INTEGER) AS hit
-        FROM query_jaccard q LEFT JOIN candidates c ON c.id = q.id AND c.other = q.other) GROUP BY bin""",
+    f"""SELECT CAST(bin AS INTEGER) AS bin, CAST(sum(pairs) AS BIGINT) AS pairs, {rnd('sum(hits) / CAST(sum(pairs) AS DOUBLE)', 6)} AS observed, {rnd('sum(total) / sum(pairs)', 8)} AS s,
+          {rnd('1 - pow(1 - pow(sum(total) / sum(pairs), 2), 64)', 6)} AS expected FROM (
+        SELECT least(floor(q.jaccard * 20), 19) AS bin, count(*) AS pairs, count(c.id) AS hits, sum(q.jaccard) AS total
+        FROM all_query_jaccard q LEFT JOIN all_candidates c ON c.id = q.id AND c.other = q.other GROUP BY 1
+        UNION ALL SELECT 0, (SELECT count(*) * (count(*) - 1) FROM set_sizes) - (SELECT count(*) FROM all_query_jaccard),
+          (SELECT count(*) FROM all_candidates c ANTI JOIN all_query_jaccard q ON c.id = q.id AND c.other = q.other), 0) GROUP BY bin HAVING sum(pairs) > 0""",
 )
 def _(i: Inputs) -> DataFrame:
-    asked = _queries(i)
-    exact = similarity.jaccard_against(asked, i.sets, 0.0)
-    curve = similarity.s_curve(exact, similarity.lsh_candidates(asked, _bands(i)))
-    return rounded(curve, {"observed": 6, "s": 8, "expected": 6})
+    return rounded(similarity.similarity_curve(i.sets), {"observed": 6, "s": 8, "expected": 6})
 
 
 @query("minhash_signature", "SELECT id, CAST(i AS INTEGER) AS slot, sig[i + 1] AS value FROM signatures CROSS JOIN (SELECT range AS i FROM range(128))")
@@ -884,18 +883,23 @@ def _(i: Inputs) -> DataFrame:
 @query(
     "jaccard_estimate",
     f"""SELECT id, other, {rnd('sum(CASE WHEN x = y THEN 1 ELSE 0 END) / CAST(128 AS DOUBLE)', 8)} AS estimate FROM (
-        SELECT c.id, c.other, unnest(a.sig) AS x, unnest(b.sig) AS y
-        FROM all_candidates c JOIN signatures a ON a.id = c.id JOIN signatures b ON b.id = c.other) GROUP BY id, other""",
+        SELECT c.a AS id, c.b AS other, unnest(a.sig) AS x, unnest(b.sig) AS y
+        FROM profile_pairs c JOIN signatures a ON a.id = c.a JOIN signatures b ON b.id = c.b) GROUP BY id, other""",
 )
 def _(i: Inputs) -> DataFrame:
     signatures = i._once("signatures", lambda: similarity.minhash(i.sets))
-    return rounded(similarity.jaccard_estimate(similarity.lsh_candidates(_all_sets(i), _bands(i)), signatures), 8)
+    pairs = _profile_pairs(i).filter("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"))
+    return rounded(similarity.jaccard_estimate(pairs, signatures), 8)
 
 
-@query("jaccard_exact", f"SELECT id, other, common, {rnd('jaccard', 8)} AS jaccard FROM all_candidate_jaccard")
+@query(
+    "jaccard_exact",
+    f"""SELECT a, b, members_a, members_b, {rnd('jaccard', 8)} AS jaccard FROM (
+          SELECT p.*, j.jaccard FROM profile_pairs p JOIN all_candidate_jaccard j ON j.id = p.a AND j.other = p.b
+          UNION ALL SELECT id, id, held, held, 1.0 FROM profiles WHERE held > 1)""",
+)
 def _(i: Inputs) -> DataFrame:
-    candidates = stage(similarity.lsh_candidates(_all_sets(i), _bands(i)), "candidates")
-    return rounded(similarity.jaccard(candidates, i.sets), 8)
+    return rounded(_profile_pairs(i), 8)
 
 
 @query(

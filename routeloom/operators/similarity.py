@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_order
 from ..session import stage
 from ..skew import hot_keys, lookup, salted_join, settled
+from . import overlap
 from .ranks import row_numbers
 
 PRIME = 2_147_483_647
@@ -21,6 +22,8 @@ BANDS, ROWS = 64, 2
 # Sizes of one class differ by less than this factor.
 SIZE_CLASS = 1.5
 THRESHOLD = (1 / BANDS) ** (1 / ROWS)
+# Below this threshold prefixes are most of a set: overlaps are counted outright instead of candidates being checked.
+COUNTED_BELOW = 0.5
 
 
 def permutations(count: int, seed: int = 1) -> list[tuple[int, int]]:
@@ -66,11 +69,11 @@ def lsh_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     ``queries`` holds the ids to look up; ``index`` should be a stored table. Hot buckets of the index are cut into slots.
     """
-    asked = index.join(queries.select("id"), "id", "left_semi")
+    asked = stage(index.join(queries.select("id"), "id", "left_semi"), "asked")
     there = index.select(F.col("id").alias("other"), "band", "bucket")
     on = ["band", "bucket"]
     return (
-        salted_join(asked, there, on, "other", hot_keys(there, on))
+        salted_join(asked, there, on, "other", hot_keys(there, on), "id", hot_keys(asked, on))
         .filter(F.col("id") != F.col("other"))
         .select("id", "other")
         .distinct()
@@ -114,10 +117,10 @@ def jaccard_against(queries: DataFrame, sets: DataFrame, t: float = THRESHOLD) -
     similarity 0 and never appear.
     """
     sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    asked = sets.join(queries.select("id"), "id", "left_semi").select("id", "member")
+    asked = stage(sets.join(queries.select("id"), "id", "left_semi").select("id", "member"), "asked")
     index = sets.select(F.col("id").alias("other"), "member")
     shared = (
-        salted_join(asked, index, ["member"], "other", hot_keys(index, ["member"]))
+        salted_join(asked, index, ["member"], "other", hot_keys(index, ["member"]), "id", hot_keys(asked, ["member"]))
         .filter(F.col("id") != F.col("other"))
         .groupBy("id", "other")
         .agg(F.count(F.lit(1)).alias("common"))
@@ -147,6 +150,71 @@ def set_profiles(sets: DataFrame) -> DataFrame:
     return lookup(prints, names, on, "inner", hot_keys(prints, on, total=total)).select("id", "profile")
 
 
+def numbered_profiles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, members) of the distinct sets: (id, name, held) and (id, member, n, held), the sets numbered in order of their names."""
+    rows = stage(sets.select("id", "member").distinct(), "sets")
+    profiles = stage(set_profiles(rows), "profiles")
+    holders = profiles.groupBy(F.col("profile").alias("name")).agg(F.count(F.lit(1)).alias("held"))
+    names = stage(row_numbers(holders, ["name"], "id").select("id", "name", "held"), "names")
+    kept, total = settled(rows.withColumnRenamed("id", "name").join(names.select("name"), "name", "left_semi"))
+    sizes = kept.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    known = names.join(sizes, "name")
+    return names, stage(lookup(kept, known, ["name"], "inner", hot_keys(kept, ["name"], total=total)).select("id", "member", "n", "held"), "members")
+
+
+def postings(members: DataFrame, banded: bool) -> DataFrame:
+    """Members of :func:`numbered_profiles` as postings of :mod:`overlap`, and with ``banded`` the buckets of their signatures."""
+    own = members.select(F.lit(overlap.MEMBER).alias("kind"), F.col("member").cast("string").alias("key"), "id", "n", "held")
+    if banded:
+        facts = members.groupBy("id").agg(F.first("n").alias("n"), F.first("held").alias("held"))
+        buckets = bands(minhash(members)).select(F.lit(overlap.BAND).alias("kind"), F.concat_ws(":", F.col("band").cast("string"), "bucket").alias("key"), "id")
+        own = own.unionByName(buckets.join(facts, "id").select("kind", "key", "id", "n", "held"))
+    return stage(own, "postings")
+
+
+def _named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Names and holders for the numbers of both sides; a set with several holders is paired with itself."""
+    side = lambda s: names.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("held").alias(f"members_{s}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    return found.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "members_a", "members_b", "common", "jaccard")
+
+
+def _own_pairs(names: DataFrame) -> DataFrame:
+    several = names.filter("held > 1")
+    return several.select(
+        F.col("name").alias("a"), F.col("name").alias("b"), F.col("held").alias("members_a"), F.col("held").alias("members_b"), F.lit(1.0).alias("jaccard")
+    )
+
+
+def profile_candidates(sets: DataFrame) -> DataFrame:
+    """(a, b, members_a, members_b, jaccard): distinct sets that share a band bucket, with their exact similarity.
+
+    Nodes with equal sets are one profile; :func:`set_profiles` has the membership, and with it every pair of nodes.
+    """
+    names, members = numbered_profiles(sets)
+    found = overlap.shared_pairs(postings(members, True), 0.0, banded=True)
+    return _named_pairs(found, names).drop("common").unionByName(_own_pairs(names))
+
+
+def similarity_curve(sets: DataFrame, b: int = BANDS, r: int = ROWS, bins: int = 20) -> DataFrame:
+    """Per similarity bin of all ordered pairs of nodes: pairs, the share that became candidates, their mean similarity, 1 - (1 - s^r)^b.
+
+    No pair is written: similarities are counted where the sets meet. Pairs without a common member are all others.
+    """
+    names, members = numbered_profiles(sets)
+    counted = overlap.similarity_histogram(postings(members, True), bins)
+    equal = names.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2).cast("bigint").alias("pairs"))
+    equal = equal.select(F.lit(bins - 1).alias("bin"), "pairs", F.col("pairs").alias("hits"), F.col("pairs").cast("double").alias("total"))
+    met = stage(counted.unionByName(equal), "met")
+    nodes = names.agg(F.sum("held").alias("n"))
+    apart = met.agg(F.coalesce(F.sum(F.when(F.col("bin") >= 0, F.col("pairs"))), F.lit(0)).alias("met"), F.coalesce(F.sum(F.when(F.col("bin") < 0, F.col("hits"))), F.lit(0)).alias("hits"))
+    n = nodes.scalar()
+    rest = apart.select(F.lit(0).alias("bin"), (n * (n - 1) / 2 - F.col("met")).cast("bigint").alias("pairs"), "hits", F.lit(0.0).alias("total"))
+    whole = met.filter("bin >= 0").unionByName(rest).groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("pairs", "hits", "total")]).filter("pairs > 0")
+    curve = whole.select("bin", (2 * F.col("pairs")).alias("pairs"), (F.col("hits") / F.col("pairs")).alias("observed"), (F.col("total") / F.col("pairs")).alias("s"))
+    return curve.withColumn("expected", 1 - F.pow(1 - F.pow("s", F.lit(float(r))), F.lit(float(b))))
+
+
 def _overlap(m: Column, n: Column, t: float) -> Column:
     """Smallest overlap that lifts two sets of sizes ``m`` and ``n`` to Jaccard ``t``."""
     return F.ceil((m + n) * t / (1 + t) - 1e-9)
@@ -156,7 +224,7 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct sets with Jaccard >= ``t``: (a, b, members_a, members_b, jaccard).
 
     Nodes with equal sets are one profile, so any number of copies costs one row; a profile held
-    by several nodes is paired with itself. Candidates come from length-aware prefixes: with sizes
+    by several nodes is paired with itself. Low thresholds count all overlaps (:mod:`overlap`). For higher ones candidates come from length-aware prefixes: with sizes
     m and n a pair needs an overlap of o = ceil(t (m + n) / (1 + t)), so it must share one of the
     m - o + 1 rarest members of one and the n - o + 1 rarest of the other. The join key holds the
     classes of both sizes, which keeps frequent members out of the index unless sharing one nearly
@@ -164,6 +232,9 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
+    if t < COUNTED_BELOW:
+        names, members = numbered_profiles(sets)
+        return _named_pairs(overlap.shared_pairs(postings(members, False), t), names).drop("common").unionByName(_own_pairs(names))
     rows = stage(sets.select("id", "member").distinct(), "sets")
     profiles = stage(set_profiles(rows), "profiles")
     holders = profiles.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))
@@ -203,7 +274,7 @@ def jaccard_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     on = ["member", "ca", "cb"]
     need = _overlap(F.col("na"), F.col("nb"), t)
     decisive = (F.col("a") < F.col("b")) & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)
-    found = salted_join(left, right, on, "b", hot_keys(right, on)).filter(decisive).select("a", "b").distinct()
+    found = salted_join(left, right, on, "b", hot_keys(right, on), "a", hot_keys(left, on)).filter(decisive).select("a", "b").distinct()
     found = stage(found.select(F.col("a").alias("id"), F.col("b").alias("other")), "found")
     exact = jaccard(found, placed.select("id", "member")).filter(F.col("jaccard") >= t)
     counts = numbers.join(holders.withColumnRenamed("profile", "name"), "name")

@@ -61,19 +61,28 @@ def lookup(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread: str, hot: DataFrame | None
+    left: DataFrame, right: DataFrame, on: list[str], spread: str, hot: DataFrame | None, left_spread: str | None = None, left_hot: DataFrame | None = None
 ) -> DataFrame:
-    """Inner join of a small ``left`` with a ``right`` in which some keys are hot.
+    """Inner join in which some keys are hot, on either side or on both.
 
-    A hot key of ``right`` is cut into slots by the hash of ``spread``; the matching ``left`` rows
-    are repeated once per slot.
+    A key that is hot on the right is cut into slots by the hash of ``spread``, one that is hot on the left (``left_hot``) into slots by the
+    hash of ``left_spread``; its rows meet in the grid of both, each row being repeated along the other side's slots.
     """
-    if hot is None:
+    if hot is None and left_hot is None:
         return left.join(right, on)
-    marks = F.broadcast(hot)
-    slots = F.coalesce("_slots", F.lit(1))
-    cut = right.join(marks, on, "left").withColumn("_slot", F.expr(f"pmod(xxhash64({spread}), coalesce(_slots, 1))").cast("int"))
-    repeated = left.join(marks, on, "left").withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), slots - 1))
-    )
-    return repeated.drop("_slots").join(cut.drop("_slots"), [*on, "_slot"]).drop("_slot")
+
+    def cut(rows: DataFrame, marks: DataFrame | None, by: str | None, slot: str) -> DataFrame:
+        if marks is None:
+            return rows.withColumn(slot, F.lit(0))
+        marked = rows.join(F.broadcast(marks), on, "left")
+        return marked.withColumn(slot, F.expr(f"pmod(xxhash64({by}), coalesce(_slots, 1))").cast("int")).drop("_slots")
+
+    def repeated(rows: DataFrame, marks: DataFrame | None, slot: str) -> DataFrame:
+        if marks is None:
+            return rows.withColumn(slot, F.lit(0))
+        marked = rows.join(F.broadcast(marks), on, "left")
+        return marked.withColumn(slot, F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1))).drop("_slots")
+
+    there = repeated(cut(right, hot, spread, "_slot"), left_hot, "_left_slot")
+    here = repeated(cut(left, left_hot, left_spread, "_left_slot"), hot, "_slot")
+    return here.join(there, [*on, "_slot", "_left_slot"]).drop("_slot", "_left_slot")

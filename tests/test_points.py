@@ -158,7 +158,7 @@ def plain_ward(cloud):
 
 @pytest.mark.parametrize("few", [256, 3])
 def test_ward_tree(spark, cloud, few, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", few)
+    monkeypatch.setattr(hierarchy, "LAST_CLUSTERS", few)
     monkeypatch.setattr(blocks.pack, "__defaults__", ([], 16))
     some = cloud[::2]
     df = spark.createDataFrame([(f"q{i:02d}", float(a), float(b)) for i, (a, b) in enumerate(some)], "id string, x double, y double")

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import recommend, similarity
+from routeloom import skew
+from routeloom.operators import overlap, recommend, similarity
 from routeloom.session import stage
 
 
@@ -103,3 +104,49 @@ def test_recommendations(spark, limits):
     assert (best["Cluster_Match"], best["Capacity_Match"], best["Similarity"], best["Potential_Gain"], best["Score"]) == ("1 vs 0", "10 vs 6", 0.75, 20.0, 15.0)
     summary = recommend.rec_summary(recommend.recommend(points, sets)).first()
     assert (summary["total"], summary["similar"], summary["mean_gain"], summary["max_gain"]) == (2, 2, 19.0, 20.0)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_counted_pairs_and_curve_against_brute_force(spark, monkeypatch, small):
+    """Equal sets, a member that all sets hold (hot on both sides), sets without common members."""
+    if small:
+        monkeypatch.setattr(overlap, "LEFT_BLOCK", 4)
+        monkeypatch.setattr(overlap, "RIGHT_BLOCK", 16)
+        monkeypatch.setattr(overlap, "_STEP", 50)
+        monkeypatch.setattr(overlap, "_CELLS", 40)
+    rng = random.Random(6)
+    sets = {f"s{i:02d}": {"all"} | {rng.choice("abcdefghijklm") for _ in range(rng.randint(0, 6))} for i in range(60)}
+    sets |= {f"t{i}": {f"own{i}", f"more{i}"} for i in range(3)} | {f"u{i}": {"x", "y", "all"} for i in range(5)}
+    frame = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id string, member string")
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    names = {}
+    for i in sorted(sets):
+        names.setdefault(frozenset(sets[i]), []).append(i)
+    first = {v[0]: len(v) for v in names.values()}
+    want = sorted((a, b, first[a], first[b], round(sim(a, b), 9)) for a in first for b in first if a < b and sim(a, b) >= 0.3)
+    want += [(a, a, n, n, 1.0) for a, n in first.items() if n > 1]
+    got = similarity.jaccard_pairs(frame, 0.3).collect()
+    assert sorted((*r[:4], round(r[4], 9)) for r in got) == sorted(want)
+
+    candidates = {(r.a, r.b) for r in similarity.profile_candidates(frame).collect()}
+    hits = lambda a, b: tuple(sorted((names[frozenset(sets[a])][0], names[frozenset(sets[b])][0]))) in candidates
+    bins = {}
+    for a in sets:
+        for b in sets:
+            if a != b:
+                s = sim(a, b)
+                n, h, t = bins.get(min(int(s * 20), 19), (0, 0, 0.0))
+                bins[min(int(s * 20), 19)] = (n + 1, h + (sets[a] == sets[b] or hits(a, b)), t + s)
+    curve = {r["bin"]: (r.pairs, round(r.observed, 9), round(r.s, 9)) for r in similarity.similarity_curve(frame).collect()}
+    assert curve == {k: (n, round(h / n, 9), round(t / n, 9)) for k, (n, h, t) in bins.items()}
+    assert sum(n for n, *_ in curve.values()) == len(sets) * (len(sets) - 1)
+
+
+def test_join_with_a_key_hot_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(f"l{i}", 1 if i < 90 else i) for i in range(100)], "id string, key int")
+    right = spark.createDataFrame([(f"r{i}", 1 if i < 80 else i) for i in range(100)], "other string, key int")
+    joined = skew.salted_join(left, right, ["key"], "other", skew.hot_keys(right, ["key"]), "id", skew.hot_keys(left, ["key"]))
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, ["key"]).collect()))
+    slots = skew.hot_keys(left, ["key"]).collect()[0]["_slots"], skew.hot_keys(right, ["key"]).collect()[0]["_slots"]
+    assert slots == (9, 8)
