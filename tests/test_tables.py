@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import columns as C
 from routeloom.functions.names import best_matches
+from routeloom.functions import student_t
 from routeloom.functions.student_t import log_two_sided_p, two_sided_p
 from routeloom.operators import facts, ranks, resolve, stats
 from routeloom.sources import files
@@ -172,6 +173,26 @@ def test_histogram_and_density(spark):
     assert np.allclose([r["density"] for r in got], want)
 
 
+@pytest.mark.parametrize("n", [10**6, 10**9, 10**10, 10**12, 10**14, 10**15])
+@pytest.mark.parametrize("t", [0.01, 0.5, 1.7, 5.0, 20.0, 30.0])
+def test_student_t_of_many_rows_is_the_normal_tail(n, t):
+    rho = t / math.sqrt(n - 2 + t * t)
+    tail = math.log(math.erfc(t / math.sqrt(2)))
+    # Student's t differs from the normal distribution by about (t^4 + t) / 4n in the logarithm.
+    assert abs(log_two_sided_p(rho, n) - tail) < 1e-7 * max(1, abs(tail)) + (t**4 + t) / n
+
+
+def test_student_t_of_many_rows_meets_the_fraction(monkeypatch):
+    for rho in (1e-4, 0.001, 0.01, 0.2):
+        exact = log_two_sided_p(rho, 400_000)
+        monkeypatch.setattr(student_t, "MANY", 1)
+        assert math.isclose(log_two_sided_p(rho, 400_000), exact, rel_tol=1e-9)
+        monkeypatch.undo()
+    with pytest.raises(ArithmeticError):
+        monkeypatch.setattr(student_t, "_STEPS", 3)
+        log_two_sided_p(0.01, 400_000)
+
+
 def test_student_t():
     # Table values: t = 2.228 at 10 and 2.571 at 5 degrees of freedom leave 5 % outside.
     for t, dof in ((2.228139, 10), (2.570582, 5), (1.959964, 10_000_000)):
