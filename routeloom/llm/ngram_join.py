@@ -52,7 +52,7 @@ PER_SHARED = 32
 PER_BUCKET = 500_000
 FIRST_FRAGMENTS = 2
 MAX_MAP_BITS = 28
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
 # N-grams met about so often could fill a range of their own: they go as single rows.
 HOT_RANK = (PER_BUCKET // 32).bit_length() - 1
 # Sets are matched by size in steps of this factor.
@@ -358,8 +358,10 @@ class NgramJoin:
             new = self._apart_pairs(named, pairs) if last else self._hub_pairs(named, pairs)
             new = self.kept(new, f"pairs-{turn}")
             pairs = new if pairs is None else pairs.unionByName(new)
-            found = self._links(new)
-            links = self.kept(found if links is None else links.unionByName(found), f"links-{turn}")
+            found = self.kept(self._links(new), f"links-{turn}")
+            if labels is not None and found.isEmpty():
+                continue
+            links = found if links is None else links.unionByName(found)
             labels = connected(links)
             if not last:
                 named = named.drop("label").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
