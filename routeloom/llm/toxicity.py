@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tokens import ALNUM, Codes, Words, mix, words
-from .training import training_rows
+from .training import give_back, training_rows
 
 WINDOW, STEP = 32, 16
 GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
@@ -254,7 +254,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray]:
-    return fit(*training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars))
+    model = fit(*training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars))
+    give_back()
+    return model
 
 
 def _scores(model):

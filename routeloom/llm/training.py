@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import reduce
 
 import numpy as np
@@ -25,3 +27,11 @@ def training_rows(
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.char_length("_text").between(1, max_chars))
     found = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).toArrow().sort_by("_id")
     return found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(np.int64)
+
+
+def give_back() -> None:
+    """Returns the memory a fit has freed to the system, where the C library can; later stages share the driver."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
