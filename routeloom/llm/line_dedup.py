@@ -1,8 +1,8 @@
 """Line dedup across documents, in DataFrame functions only.
 
 Long lines become 128-bit hashes with their document and position. The hashes are range-partitioned by hash and document,
-so that a hash of any size spreads over as many partitions as it needs. A hash aggregate leaves one row per hash and document (the
-sort and the first position are written below, but Spark prunes them as nothing reads them); one row per hash and task
+so that a hash of any size spreads over as many partitions as it needs, and sorted within by hash, document and position. A window
+over that order streams the rows and marks the first occurrence in each document; one row per hash and task
 then says how many documents hold a line and which of them keeps it. What comes back is a compressed bitmap per document, never text: 64
 lines per number, and only the numbers in which some line goes.
 
@@ -16,9 +16,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import kept, partitions
+from .shared import kept, kept_counted, partitions
 
+# A line with more than this share of all long lines is looked up without a shuffle.
+HOT_SHARE = 0.001
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,17 +52,24 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter(F.char_length(key) >= min_chars)
         .select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), "doc", "body", "pos")
     )
-    hashed = kept(hashed, "line-hashes")
+    hashed, total = kept_counted(hashed, "line-hashes")
+    # Sorted by hash, document and position; the range partitioning already holds all rows of (h1, h2, doc) together, so
+    # that the window streams over that order without a further exchange.
     ranged = hashed.repartitionByRange(partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    # The range partitioning already holds all rows of (h1, h2, doc) together: no further exchange.
-    firsts = ranged.groupBy("h1", "h2", "doc").agg(F.first("pos").alias("first_pos"))
+    nth = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("pos"))
+    streamed = ranged.select("h1", "h2", "doc", (nth == 1).alias("is_first"))
     repeated = (
-        firsts.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
+        streamed.groupBy("h1", "h2")
+        .agg(F.count_if("is_first").alias("n_docs"), F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("n_rows"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    repeated = kept(repeated.select("h1", "h2", "keeper"), "repeated-lines")
-    lost = hashed.join(repeated, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    repeated = kept(repeated.select("h1", "h2", "keeper", "n_rows"), "repeated-lines")
+    # Lines with more than this share of all rows, by counting 1 / HOT_SHARE at most, meet their keeper where they stand.
+    hot = F.broadcast(repeated.filter(F.col("n_rows") > total * HOT_SHARE).select("h1", "h2", F.struct("keeper").alias("hot")))
+    marked = hashed.join(hot, ["h1", "h2"], "left")
+    rest = marked.filter(F.col("hot").isNull()).join(repeated.select("h1", "h2", "keeper"), ["h1", "h2"])
+    there = marked.filter(F.col("hot").isNotNull()).withColumn("keeper", F.col("hot.keeper"))
+    lost = there.unionByName(rest).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     words = lost.groupBy("doc", "body", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(_bit(F.col("pos"))).alias("bits")
     )

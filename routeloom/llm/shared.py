@@ -42,3 +42,9 @@ class Kept:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table in the shared folder."""
     return Workspace(df.sparkSession, f"llm-{name}").save(df, name)
+
+
+def kept_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`kept` with the number of rows."""
+    table, seen = Workspace(df.sparkSession, f"llm-{name}").save_counted(df, name, n=F.count(F.lit(1)))
+    return table, seen["n"]

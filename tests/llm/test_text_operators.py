@@ -56,6 +56,29 @@ def test_line_dedup_uses_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_line_dedup_streams_a_sorted_range_layout(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(line_dedup, "kept", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    line_dedup.dedup_lines(table(spark, odd_rows())).count()
+    plan = [row.strip(" +-:") for row in plans["repeated-lines"].splitlines()]
+    start = next(i for i, row in enumerate(plan) if row.startswith("Window"))
+    assert "row_number()" in plan[start] and "is_first" in plans["repeated-lines"].split("Window")[0]
+    below = plan[start + 1 :]
+    sort = next(i for i, row in enumerate(below) if row.startswith("Sort"))
+    exchange = next(i for i, row in enumerate(below) if row.startswith("Exchange"))
+    assert sort < exchange and below[exchange].startswith("Exchange rangepartitioning(h1")
+    assert all(name in below[sort] for name in ("h1#", "h2#", "doc#", "pos#"))
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_line_dedup_with_and_without_hot_lines(spark, monkeypatch, share):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+    rows = odd_rows()
+    docs = table(spark, rows)
+    done = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs)).select("row.doc_id", "row.text", "n_lines", "n_dropped", "kept").collect()
+    assert sorted(map(tuple, done), key=repr) == sorted(((i, t, *r) for (i, t), r in zip(rows, plain.dedup(rows))), key=repr)
+
+
 def items():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)] + ["Äpfel", "naïve", "x1"]
