@@ -39,6 +39,22 @@ def test_top_k_against_plain(spark, monkeypatch, blocks):
     assert sorted(map(tuple, got)) == plain_top(rows, 7)
 
 
+@pytest.mark.parametrize("blocks", [(8192, 512), (16, 2)])
+def test_top_k_with_many_vectors_of_one_id(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "CANDIDATES_PER_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", blocks[1])
+    monkeypatch.setattr(topk, "FAN_IN", 2)
+    rng = np.random.default_rng(9)
+    vector = lambda: rng.standard_normal(6).astype(np.float32).tolist()
+    rows = [(0, [1.0] * 6)] + [(1, [5.0 + i / 64] * 6) for i in range(40)]  # one id would fill every list
+    rows += [(2 + i, vector()) for i in range(60)]
+    rows += [(20, rows[0][1]), (40, vector()), (40, rows[0][1]), (60, rows[1][1])]  # queries that share some of their vectors
+    rows += [(7, v) for _, v in rows[-3:]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(vectors, F.col("id") % 20 == 0, 20).select("query_id", "rank", "id", "score").collect()))
+    assert got == plain_top(rows, 20) and sum(r[0] == 0 for r in got) == 20
+
+
 def test_top_k_of_few_and_none(spark):
     vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(vectors, F.col("id") % 20 == 0, 20).select("query_id", "rank", "id", "score").collect()] == [(0, 1, 1, 64 * 32 + 128 * 32)]
