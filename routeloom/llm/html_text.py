@@ -8,7 +8,7 @@
    without such a container falls back to its own best one.
 
 Within a container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by
-tag, role or words of class and id. Character references are decoded, white space inside a block becomes one space, and blocks are
+tag, role or words of class and id; a header inside an article is its own heading and stays. Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by an empty line in page order.
 
 Defined results: null and empty pages have an empty text. A null or unreadable address belongs to the host ``""``. Broken markup is
@@ -18,8 +18,10 @@ comment or script runs to the end. Ties go to the smaller path. Repeated rows ge
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,10 +49,12 @@ BOILERPLATE = frozenset(
 # A class with one of these tells of a state, not of a part.
 STATES = frozenset("has with without no is".split())
 
-TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|<[!?/][^>]*>")
+TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>|<[!?/][^>]*+>")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 DIGITS = re.compile(r"\d+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# A longer path goes on from a digest of its beginning, so that deep nesting takes room in proportion to the page.
+LONGEST_PATH = 600
 # A paragraph counts fully for its container and by this share for the one around it.
 OUTER_SHARE = 0.5
 # Further text of which this share or more stands in links does not belong to the article.
@@ -69,6 +73,7 @@ class Page:
         self._node = 0
         self._muted = 0  # elements left out inside a block
         self._open: list[tuple[str, int, bool]] = []  # tag, container to return to, whether it mutes
+        self._opened: Counter[str] = Counter()  # how many elements of each tag are open
         self._read(source)
         self._flush()
 
@@ -92,6 +97,7 @@ class Page:
             self._flush()
         for tag, node, mutes in reversed(self._open[depth:]):
             self._links -= tag == "a"
+            self._opened[tag] -= 1
             self._muted -= mutes
             self._node = node
         del self._open[depth:]
@@ -99,13 +105,13 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self._flush()
-            for depth in range(len(self._open) - 1, -1, -1):
+            for depth in range(len(self._open) - 1, -1, -1) if self._opened["p"] else ():
                 if self._open[depth][0] == "p":
                     self._close(depth)
                     break
                 if self._open[depth][0] in CONTAINERS:
                     break
-        if tag in ENDS_BEFORE:
+        if any(self._opened[t] for t in ENDS_BEFORE.get(tag, ())):
             for depth in range(len(self._open) - 1, -1, -1):
                 if self._open[depth][0] in ENDS_WITHIN[tag]:
                     break
@@ -116,22 +122,26 @@ class Page:
             self._parts.append(" ")
         if tag in VOID:
             return
-        names, left_out = _names(tag, attributes)
+        names, left_out = _names(tag, attributes, tag == "header" and self._opened["article"] > 0)
         if tag == "form" and self._forms_count:
             left_out = False
         mutes = left_out and tag not in BLOCKS
         self._open.append((tag, self._node, mutes))
         self._links += tag == "a"
+        self._opened[tag] += 1
         self._muted += mutes
         if tag in CONTAINERS or (left_out and not mutes):
             self.parent.append(self._node)
-            self.path.append(f"{self.path[self._node]}>{tag}{names}")
+            outer = self.path[self._node]
+            if len(outer) > LONGEST_PATH:
+                outer = hashlib.md5(outer.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+            self.path.append(f"{outer}>{tag}{names}")
             self.skip.append(self.skip[self._node] or left_out)
             self._node = len(self.parent) - 1
 
     def _read(self, source: str) -> None:
-        at = 0
-        while m := TAG.search(source, at):
+        at, last = 0, source.rfind(">") + 1  # no tag ends behind the last bracket
+        while m := TAG.search(source, at, last):
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
@@ -145,19 +155,19 @@ class Page:
             if m[1] or m[4]:
                 if tag in BLOCKS:
                     self._flush()
-                for depth in range(len(self._open) - 1, -1, -1):
+                for depth in range(len(self._open) - 1, -1, -1) if self._opened[tag] else ():
                     if self._open[depth][0] == tag:
                         self._close(depth)
                         break
                 continue
             attributes = m[3] or m[6] or ""
             if tag in RAW:
-                end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(source, at)
+                end = re.compile(f"</{tag}[^>]*+>", re.IGNORECASE).search(source, at, last)
                 at = len(source) if end is None else end.end()
                 continue
             self._start(tag, attributes)
         if at < len(source):
-            self._text(source[at:])
+            self._text(source[at:].partition("<!--")[0])
 
     def scores(self) -> list[float]:
         out = [0.0] * len(self.parent)
@@ -223,9 +233,9 @@ class Page:
         return "\n\n".join(text for node, text, _ in self.blocks if inside[node] and not self.skip[node])
 
 
-def _names(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised classes for the path, whether the element is boilerplate)."""
-    left_out = tag in LEFT_OUT
+def _names(tag: str, attributes: str, heads_article: bool = False) -> tuple[str, bool]:
+    """(generalised classes for the path, whether the element is boilerplate). What heads an article is part of it."""
+    left_out = tag in LEFT_OUT and not heads_article
     if not attributes:
         return "", left_out
     found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
@@ -234,7 +244,7 @@ def _names(tag: str, attributes: str) -> tuple[str, bool]:
         named = [[p.lower() for p in NAME_PART.findall(c)] for c in [*classes, found.get("id", "")]]
         words = {w for parts in named if parts and not STATES & set(parts) for w in (parts[0], parts[-1])}
         style = found.get("style", "").replace(" ", "").lower()
-        left_out |= bool(words & BOILERPLATE) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
+        left_out |= bool(words & BOILERPLATE - ({"header"} if heads_article else set())) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
     return "".join(sorted({"." + DIGITS.sub("#", c.lower()) for c in classes})), left_out
 
 

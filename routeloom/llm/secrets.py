@@ -40,13 +40,15 @@ LEAST = 1.1
 MIN_LITERAL = 6
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|change_?me|example|placeholder|none|null|true|false|todo|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 
-# Possessive, and from the start of a name only: linear in the text however long its words are.
-_NAME = r"[A-Za-z_$@][\w$-]*+(?:(?:\.|::|->)[A-Za-z_][\w-]*+)*+(?:\[['\"][\w.-]+['\"]\])?"
+# Possessive: a name is read once to its end, whatever follows.
+_CHAIN = r"[A-Za-z_$@][\w$-]*+(?:(?:\.|::|->)[A-Za-z_][\w$-]*+)*+"
+_NAME = rf"{_CHAIN}(?:\[['\"][\w.-]++['\"]\])?"
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 # One assignment: an optionally quoted or dashed name, an operator, then literals joined by + or . or blanks, or one bare word.
+# A dotted name that is no assignment is passed over as a whole: any later part of it ends at the same place.
 PAIR = re.compile(
-    rf"(?<![\w$-])(?P<q>[\"']?)(?:--)?(?P<name>{_NAME})(?P=q)[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*"
-    rf"(?P<value>[bfru]?(?:{_QUOTED})(?:[ \t]*[+.]?[ \t]*(?:{_QUOTED}))*|[^\s\"'`,;(){{}}\[\]]+)"
+    rf"(?<![\w$-])(?:(?P<q>[\"']?)(?:--)?(?P<name>{_NAME})(?P=q)[ \t]*+(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*+"
+    rf"(?P<value>[bfru]?(?:{_QUOTED})(?:[ \t]*+(?:[+.][ \t]*+)?(?:{_QUOTED}))*+|[^\s\"'`,;(){{}}\[\]]++)|(?:--)?{_CHAIN})"
 )
 LITERAL = re.compile(_QUOTED)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -84,6 +86,8 @@ def randomness(literal: str) -> float:
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str | None]]:
     """(name, places of its literals without quotes, or None and the name it is assigned)."""
     for m in PAIR.finditer(text):
+        if m["name"] is None:
+            continue
         value, start = m["value"], m.start("value")
         quoted = [(start + q.start() + 1, start + q.end() - 1) for q in LITERAL.finditer(value)] if value[:1] in "\"'`" or value[1:2] in ("'", '"') else []
         if quoted:

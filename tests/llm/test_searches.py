@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -93,6 +94,35 @@ def test_main_text_by_host_paths(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_an_article_keeps_its_own_header():
+    page = '<body><header><p>Site</p></header><article><header class="article-header"><h1>Head</h1></header><p>story text here</p><footer><p>tags</p></footer></article><header><p>late</p></header></body>'
+    assert html_text.read_page(page).text(None) == "Head\n\nstory text here"
+
+
+@pytest.mark.parametrize("part, tail", [("<a", "a"), ("<", "a-"), ("", "<b>"), ("", "<div>"), ("<div>", "<b></i>"), ("", "</a "), ("", "<!"), ("<script>", "</script "), ("", "<b><li>"), ("<b>", "<p>")])
+def test_reading_pages_takes_linear_time(part, tail):
+    source = (part + tail * (100_000 // len(tail)))[:100_000]
+    began = time.process_time()
+    page = html_text.read_page(source)
+    page.text(None)
+    assert time.process_time() - began < 1 and sum(map(len, page.path)) < 1e8
+
+
+@pytest.mark.parametrize("part, tail", [("x=1 ", "a."), ("x=1 ", "a.b-"), ("x = 'a'", " "), ("x=1 a['", "b."), ("x='a'", "+'b'"), ("x=1 ", "a->"), ("", "a:"), ("x=", "\\\\"), ("", "token "), ("", "a=\"")])
+def test_scanning_secrets_takes_linear_time(part, tail):
+    text = (part + tail * (100_000 // len(tail)))[:100_000]
+    began = time.process_time()
+    secrets.base_spans(text), secrets.literal_spans(text)
+    assert time.process_time() - began < 1
+
+
+def test_names_after_odd_beginnings_are_read():
+    value = "Zx81-q9Wk3mT7"
+    for before in ("v1.2.", "foo().", "a.b.c ", "...", '"foo.', "list[0].", "x->y.", "a$b.c$d."):
+        text = f'{before}password = "{value}"'
+        assert ("literal", text.index(value), text.index(value) + len(value)) in secrets.literal_spans(text), before
+
+
 def test_a_host_outvotes_one_odd_page(spark):
     """One page whose footer notice is longer than its article: alone it would choose wrongly."""
     page = "<body><article><p>{}</p></article><div class=legal><p>{}</p></div></body>"
