@@ -10,9 +10,9 @@ codes. The order is cut into fragments, the same for all documents.
    that are aggregated before they move), and n-grams of one vertex alone drop out. A vertex that has fewer shared n-grams
    than it needs cannot link and drops out too. The hub of an n-gram is the vertex that shares most of its prefix; in a round each
    vertex proposes one pair, with the best hub of its n-grams that it has not tried and may link with, so a round has no more pairs than vertices.
-3. *Partial overlaps.* For the proposed pairs, each fragment of the order is compared on its own and yields a partial
-   overlap; a pair goes on after the first fragments only if the rest could still reach the threshold; the partial overlaps are
-   summed per pair and compared exactly.
+3. *Partial overlaps.* For the proposed pairs, the order is cut where the first half of either set ends: up to there the halves tell the overlap, and
+   a pair goes on only if the rest could still reach the threshold. Then each fragment of the order is compared on its own and yields a partial
+   overlap; the partial overlaps are summed per pair and compared exactly.
 4. *Components* of the links. N-grams whose vertices are all in one component are done. The others go into further rounds, and what
    then still joins different components is compared pair by pair, as far as what the prefixes share allows a link. So no link
    between different components is lost, and the pairs inside a group of near copies are never listed.
@@ -50,7 +50,8 @@ FRAGMENT_BITS = 3
 PER_SHARED = 32
 # Prefix n-grams in one range of the order.
 PER_BUCKET = 500_000
-FIRST_FRAGMENTS = 2
+# The first half of a set is stored beside its fragments under this number.
+HALF = -1
 MAX_MAP_BITS = 28
 HUB_ROUNDS = 2
 # N-grams met about so often could fill a range of their own: they go as single rows.
@@ -209,7 +210,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(order, wanted, bits: int, size: int):
-    """Rows (vertex, n, fragment, keys) of the sets whose vertex and id are marked in the bit map ``wanted``."""
+    """Rows (vertex, n, fragment, keys) of the sets whose vertex and id are marked in the bit map ``wanted``, with their first half as fragment ``HALF``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marks = order.value, wanted.value
@@ -226,8 +227,9 @@ def _fragments(order, wanted, bits: int, size: int):
                     own = np.sort(known.keys(code[cuts[i] : cuts[i + 1]]))
                     fragment = np.minimum(own >> np.uint64(58 - FRAGMENT_BITS), np.uint64(1 << FRAGMENT_BITS))
                     edges = np.searchsorted(fragment, np.arange((1 << FRAGMENT_BITS) + 2))
-                    for f in range(len(edges) - 1):
-                        for column, value in zip(out, (vertex[i].view(np.int64), len(own), f, own[edges[f] : edges[f + 1]].tobytes())):
+                    parts = [(HALF, own[: (len(own) + 1) // 2]), *[(f, own[edges[f] : edges[f + 1]]) for f in range(len(edges) - 1)]]
+                    for f, keys in parts:
+                        for column, value in zip(out, (vertex[i].view(np.int64), len(own), f, keys.tobytes())):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
@@ -237,33 +239,48 @@ def _fragments(order, wanted, bits: int, size: int):
     return scan
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _key_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in zip(batch.column("keys_a").to_pylist(), batch.column("keys_b").to_pylist()):
+        yield np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlap of each pair in one fragment, and how many n-grams of the fragment each side has."""
+    """Partial overlap of each pair in one fragment."""
     for batch in batches:
-        overlap, left, right = [], [], []
-        for x, y in zip(batch.column("keys_a").to_pylist(), batch.column("keys_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            overlap.append(int((both[1:] == both[:-1]).sum()))
-            left.append(len(x))
-            right.append(len(y))
-        yield pa.RecordBatch.from_pydict(
-            {c: batch.column(c) for c in ("a", "b", "n_a", "n_b", "fragment")}
-            | {"overlap": pa.array(overlap, pa.int64()), "in_a": pa.array(left, pa.int64()), "in_b": pa.array(right, pa.int64())}
-        )
+        overlap = [_common(x, y) for x, y in _key_pairs(batch)]
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "n_a", "n_b", "fragment")} | {"overlap": pa.array(overlap, pa.int64())})
 
 
-def _partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, overlap, in_a, in_b) summed over the fragments in ``sets``."""
+def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each pair can have in common at most: what both halves share up to the end of the first, and the smaller rest."""
+    for batch in batches:
+        most = []
+        for x, y, n_a, n_b in zip(*zip(*_key_pairs(batch)), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()) if batch.num_rows else ():
+            end = min(x[-1], y[-1])
+            x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+            most.append(_common(x, y) + min(n_a - len(x), n_b - len(y)))
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "n_a", "n_b")} | {"most": pa.array(most, pa.int64())})
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) with the keys of both sides, one row per fragment in ``sets``."""
     side = lambda s: sets.select(F.col("vertex").alias(s), "fragment", F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "fragment"])
-    counted = met.select("a", "b", "n_a", "n_b", "fragment", "keys_a", "keys_b").mapInArrow(
-        _shared, "a long, b long, n_a long, n_b long, fragment int, overlap long, in_a long, in_b long"
-    )
+    return met.select("a", "b", "n_a", "n_b", "fragment", "keys_a", "keys_b")
+
+
+def _partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) summed over the fragments in ``sets``."""
+    counted = _met(pairs, sets).mapInArrow(_shared, "a long, b long, n_a long, n_b long, fragment int, overlap long")
     # A set may have been stored more than once; each fragment of a pair counts once.
-    once = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(*[F.max(c).alias(c) for c in ("overlap", "in_a", "in_b")])
-    return once.groupBy("a", "b", "n_a", "n_b").agg(*[F.sum(c).alias(c) for c in ("overlap", "in_a", "in_b")])
+    once = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
+    return once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
 
 
 class NgramJoin:
@@ -340,14 +357,10 @@ class NgramJoin:
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Those of the ``pairs`` (a, b) whose sets reach the threshold."""
-        sets = self.sets
-        first = _partial_overlaps(pairs, sets.filter(F.col("fragment") < FIRST_FRAGMENTS))
-        most = F.col("overlap") + F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b"))
-        reach = lambda overlap: self._reach(overlap, F.col("n_a"), F.col("n_b"))
-        going_on = self.kept(first.filter(reach(most)).select("a", "b", F.col("overlap").alias("before")), "going-on")
-        rest = _partial_overlaps(going_on, sets.filter(F.col("fragment") >= FIRST_FRAGMENTS))
-        both = going_on.join(rest, ["a", "b"])
-        return both.filter(reach(F.col("before") + F.col("overlap"))).select("a", "b")
+        reach = lambda overlap: self._reach(F.col(overlap), F.col("n_a"), F.col("n_b"))
+        bounds = _met(pairs, self.sets.filter(F.col("fragment") == HALF)).mapInArrow(_most, "a long, b long, n_a long, n_b long, most long")
+        going_on = self.kept(bounds.filter(reach("most")).select("a", "b").distinct(), "going-on")
+        return _partial_overlaps(going_on, self.sets.filter(F.col("fragment") != HALF)).filter(reach("overlap")).select("a", "b")
 
     def components(self) -> DataFrame:
         """(vertex, label) of the linked vertices: one label per component."""
