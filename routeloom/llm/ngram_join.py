@@ -35,6 +35,7 @@ from pyspark.sql.window import Window
 from ..session import Workspace
 from .shared import Kept, kept
 from .tokens import NOT_SPACE, Codes, Words, mix, words
+from .training import give_back
 
 SIZE = 5
 PERCENT = 80
@@ -291,6 +292,7 @@ class NgramJoin:
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.members, self.order, self.total = self._statistics()
         self.grams = self._shared_grams()
+        give_back(self.spark)
         self.sets = self._sets()
 
     def _statistics(self):
@@ -367,6 +369,7 @@ class NgramJoin:
         named = self.grams.withColumn("label", F.col("vertex"))
         pairs = links = labels = None
         for turn in range(HUB_ROUNDS + 1):
+            give_back(self.spark)
             last = turn == HUB_ROUNDS
             new = self._apart_pairs(named, pairs) if last else self._hub_pairs(named, pairs)
             new = self.kept(new, f"pairs-{turn}")

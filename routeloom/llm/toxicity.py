@@ -255,7 +255,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray]:
     model = fit(*training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars))
-    give_back()
+    give_back(docs.sparkSession)
     return model
 
 

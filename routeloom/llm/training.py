@@ -7,7 +7,7 @@ import gc
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,13 @@ def training_rows(
     return found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(np.int64)
 
 
-def give_back() -> None:
-    """Returns the memory a fit has freed to the system, where the C library can; later stages share the driver."""
+def give_back(spark: SparkSession) -> None:
+    """Returns the memory that finished work has freed on the driver to the system; later stages share the driver.
+
+    Plans and broadcasts that nothing refers to any more keep their blocks until the driver's JVM collects garbage, so it is asked to.
+    """
     gc.collect()
+    spark._jvm.java.lang.System.gc()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
