@@ -167,3 +167,42 @@ def test_ward_tree(spark, cloud, few, monkeypatch):
     assert np.allclose([r["height"] for r in rows], [m[0] for m in want])
     assert [{r["left_size"], r["right_size"]} for r in rows] == [{m[1], m[2]} for m in want]
     assert sorted(x for r in rows for x in (r["left"], r["right"])) == list(range(18)) and rows[-1]["size"] == len(some)
+
+
+def test_tiles_meet_once_however_many_blocks(spark, points, cloud):
+    """Pairs of tiles, not pairs of blocks, move: 45 blocks here, at most 16 tiles."""
+    from routeloom.operators import tiles
+
+    packed = blocks.pack(blocks.distinct_points(points, COLS), 2, ["weight"], size=3)
+
+    def run(left, right):
+        return left.select([]).append_column("n", [[len(left)] * len(left)]).slice(0, 1).append_column("m", [[len(right)]])
+
+    rows = tiles.tiled(packed, run, "n long, m long", ["block", "xs"], ["block"]).collect()
+    count = packed.count()
+    assert count > tiles.TILES and len(rows) <= tiles.TILES**2 and sum(r.n * r.m for r in rows) == count**2
+
+
+def test_distances_by_product_are_exact_where_it_matters():
+    from routeloom.operators import tiles
+
+    rng = np.random.default_rng(4)
+    x, y = 1e6 + rng.normal(size=(40, 8)), 1e6 + rng.normal(size=(50, 8))
+    y[:10] = x[:10]
+    d2 = ((x[:, None] - y[None]) ** 2).sum(2)
+    assert np.array_equal(tiles.within(x, y, d2[20, 30]), d2 <= d2[20, 30])
+    assert np.allclose(tiles.distances(x, y), np.sqrt(d2), rtol=1e-8, atol=0)
+    x[0, 0], y[5, 1] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(tiles.within(x, y, 4.0), ((x[:, None] - y[None]) ** 2).sum(2) <= 4.0)
+
+
+def test_starts_that_move_together_end_like_single_fits(spark, points):
+    from pyspark.ml.clustering import KMeans
+
+    vectors, runs = kmeans._vectors(points, COLS), [(2, 1), (3, 7)]
+    fits = kmeans._fit_all(vectors, runs, 300, 1e-4)
+    for (k, seed), (cost, centers) in zip(runs, fits):
+        model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="_vector").fit(vectors)
+        assert np.allclose(sorted(centers), sorted(c.tolist() for c in model.clusterCenters()))
+        assert math.isclose(cost, model.summary.trainingCost, rel_tol=1e-6)
