@@ -150,3 +150,16 @@ def test_join_with_a_key_hot_on_both_sides(spark, monkeypatch):
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, ["key"]).collect()))
     slots = skew.hot_keys(left, ["key"]).collect()[0]["_slots"], skew.hot_keys(right, ["key"]).collect()[0]["_slots"]
     assert slots == (9, 8)
+
+
+def test_overlaps_of_sets_in_chunks(spark, monkeypatch):
+    """Sets of one and of many chunks, members that one set alone holds, pairs without a common member."""
+    monkeypatch.setattr(similarity, "CHUNK", 3)
+    rng = random.Random(8)
+    sets = {i: {f"m{j}" for j in rng.sample(range(60), n)} for i, n in enumerate([1, 2, 3, 7, 20, 40, 55])} | {7: {"alone"}}
+    table = stage(spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id long, member string"), "sets")
+    pairs = stage(spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "id long, other long"), "pairs")
+    packed = similarity.packed_sets(table)
+    assert packed.filter("chunks > 1").count() > 0
+    got = {(r.id, r.other): (r.common, r.n, r.m) for r in similarity.overlaps(pairs, packed).collect()}
+    assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
