@@ -163,3 +163,11 @@ def test_overlaps_of_sets_in_chunks(spark, monkeypatch):
     assert packed.filter("chunks > 1").count() > 0
     got = {(r.id, r.other): (r.common, r.n, r.m) for r in similarity.overlaps(pairs, packed).collect()}
     assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
+
+
+def test_candidates_name_the_members_of_every_profile(spark):
+    sets = {"a": "xyz", "b": "xyz", "c": "xyz", "d": "xyzw", "e": "q"}
+    frame = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id string, member string")
+    rows = {(r.a, r.b): (r.members_a, r.members_b, r.common, r.jaccard) for r in similarity.profile_candidates(frame).collect()}
+    assert {k: v for k, v in rows.items() if v[3] == 1} == {("a", b): (3, 3, 3, 1.0) for b in "abc"}
+    assert rows["a", "d"] == (3, 1, 3, 0.75) and len(rows) == 4
