@@ -220,6 +220,17 @@ def test_removal_curve(spark, random_graph, hot, request):
             assert math.isclose(curve[strategy, step], size / len(nodes))
 
 
+def test_removal_curve_hands_over_an_edge_once_per_order(spark, random_graph, monkeypatch):
+    nodes, edges = random_graph
+    net = make(spark, nodes, edges)
+    orders = removal.removal_orders(network.degrees(net.vertices, net.edges).withColumns({"pagerank": F.lit(0.0), "avg_delay": F.col("degree")}))
+    given, plain = [], removal.components
+    monkeypatch.setattr(removal, "components", lambda v, e, by: given.append(e.count()) or plain(v, e, by))
+    curve = removal.removal_curve(net, orders, [0.0, 0.1, 0.2, 0.3, 0.2]).collect()
+    assert len(curve) == 15 and 0 < sum(given) <= 3 * len(edges)
+    assert {(r["step"], r["removed"]) for r in curve} == {(i, int(len(nodes) * f)) for i, f in enumerate([0.0, 0.1, 0.2, 0.3, 0.2])}
+
+
 def test_cleaning_and_reconciliation(spark):
     vertices = spark.createDataFrame([(n,) for n in ("AAA", "BBB", "CCC", "DDD")], "id string")
     raw = spark.createDataFrame([("AAA", "BBB"), ("AAA", "BBB"), ("BBB", "BBB"), ("AAA", "ZZZ"), ("BBB", "CCC")], "src string, dst string")
