@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from routeloom.functions import columns as C
 from routeloom.functions.names import best_matches
 from routeloom.functions import student_t
 from routeloom.functions.student_t import log_two_sided_p, two_sided_p
-from routeloom.operators import facts, ranks, resolve, stats
+from routeloom.catalog import inputs, queries
+from routeloom.operators import clean, facts, ranks, removal, resolve, stats
 from routeloom.sources import files
 
 
@@ -232,3 +234,12 @@ def test_resolution_tiers(spark, monkeypatch):
         "heathrow": ("LHR", "manual"), "foo (main)": ("FO2", "exact"), "Barcelone": ("BCN", "similar"),
         "nowhere": (None, "exact"), "QQQQ": (None, "none"), "Norwch ": ("NWI", "similar"),
     }
+
+
+def test_removal_orders_sort_narrow_rows(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a", 2, None, "x" * 50), ("b", 3, 1.0, "y"), ("c", 1, 4.0, "z")], "id string, degree int, avg_delay double, name string")
+    seen, plain = [], removal.row_numbers
+    monkeypatch.setattr(removal, "row_numbers", lambda t, *a: seen.append(set(t.columns)) or plain(t, *a))
+    got = {(r["strategy"], r["position"]): r["id"] for r in removal.removal_orders(nodes, structural="degree").collect()}
+    assert [got["Structural", p] for p in (1, 2, 3)] == ["b", "a", "c"] and [got["Operational", p] for p in (1, 2, 3)] == ["c", "b", "a"]
+    assert len(got) == 9 and seen == [{"id"}, {"id", "degree"}, {"id", "avg_delay"}]
