@@ -236,6 +236,35 @@ def test_resolution_tiers(spark, monkeypatch):
     }
 
 
+@pytest.fixture
+def lines_and_orders(spark, tmp_path):
+    lines = spark.range(400).selectExpr(
+        "id div 4 AS l_orderkey", "id % 30 AS l_partkey", "id % 7 AS l_suppkey", "if(id % 3 = 0, 'R', 'N') AS l_returnflag",
+        "if(id % 2 = 0, 'F', 'O') AS l_linestatus", "cast(id % 50 AS double) AS l_quantity", "0.05D AS l_discount", "0.01D * (id % 9) AS l_tax",
+        "timestamp '1995-01-01 00:00:00' + make_interval(0, 0, 0, int(id)) AS l_shipdate",
+    )
+    orders = spark.range(100).selectExpr(
+        "id AS o_orderkey", "substr('FOP', int(id % 3) + 1, 1) AS o_orderstatus", "timestamp '1994-12-01 00:00:00' + make_interval(0, 0, 0, int(id)) AS o_orderdate"
+    )
+    nodes = {
+        "part": spark.range(30).selectExpr("id AS p_partkey", "'part' || id AS p_name", "'Brand' AS p_brand", "1 AS p_size", "1.0D AS p_retailprice"),
+        "supplier": spark.range(7).selectExpr("id AS s_suppkey", "'supplier' || id AS s_name", "1 AS s_nationkey", "1.0D AS s_acctbal"),
+    }
+    for name, table in {"lineitem": lines, "orders": orders, **nodes}.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_listed_nodes_come_from_the_stored_edges(spark, lines_and_orders, monkeypatch):
+    plans, plain = [], clean.active
+    monkeypatch.setattr(clean, "active", lambda v, e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or plain(v, e))
+    i = inputs.Inputs(spark, lines_and_orders)
+    nodes, edges = clean.clean_graph(i.coded_nodes, i.coded_routes)
+    assert i.listed.vertices.exceptAll(nodes).count() == 0 and nodes.exceptAll(i.listed.vertices).count() == 0
+    assert i.listed.edges.exceptAll(edges).count() == 0 and i.listed.edges.count() == edges.count() > 0
+    assert "Join" not in plans[-1]
+
+
 def test_removal_orders_sort_narrow_rows(spark, monkeypatch):
     nodes = spark.createDataFrame([("a", 2, None, "x" * 50), ("b", 3, 1.0, "y"), ("c", 1, 4.0, "z")], "id string, degree int, avg_delay double, name string")
     seen, plain = [], removal.row_numbers
