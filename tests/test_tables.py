@@ -236,6 +236,15 @@ def test_resolution_tiers(spark, monkeypatch):
     }
 
 
+def test_banner_text_of_several_layouts_moves_no_line(spark, tmp_path):
+    (tmp_path / "a [1] b%20.csv").write_text("Atualizado em: x\nA;B\n1;2\n")
+    (tmp_path / "c.csv").write_text("Atualizado em: x\nB;A\n20;10\n")
+    table = files.read_banner_text(spark, str(tmp_path), ["A", "B"])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(tuple(r) for r in table.collect()) == [("1", "2"), ("10", "20")]
+
+
 @pytest.fixture
 def lines_and_orders(spark, tmp_path):
     lines = spark.range(400).selectExpr(
@@ -255,6 +264,22 @@ def lines_and_orders(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_banner_files_are_as_many_as_the_pieces_of_the_facts(spark, lines_and_orders, monkeypatch):
+    seen, plain = [], files.read_banner_text
+    monkeypatch.setattr(files, "read_banner_text", lambda s, folders, columns: seen.extend(folders) or plain(s, folders, columns))
+    spread = property(lambda i: plain_facts(i).repartition(6))
+    plain_facts = inputs.Inputs.facts.func
+    monkeypatch.setattr(inputs.Inputs, "facts", spread)
+    got = queries.QUERIES["src_banner_text"](spark, lines_and_orders)
+    form = "yyyy-MM-dd HH:mm:ss"
+    want = plain_facts(inputs.Inputs(spark, lines_and_orders)).select(
+        "status", "origin", "dest", F.date_format("scheduled", form), F.coalesce(F.date_format("actual", form), F.lit(""))
+    )
+    rows = lambda t: sorted(tuple(v or "" for v in r) for r in t.collect())
+    assert rows(got) == rows(want) and got.count() == 400
+    assert all(len(list(Path(folder).glob("part-*"))) >= 6 for folder in seen)
+
+
 def test_listed_nodes_come_from_the_stored_edges(spark, lines_and_orders, monkeypatch):
     plans, plain = [], clean.active
     monkeypatch.setattr(clean, "active", lambda v, e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or plain(v, e))
