@@ -280,6 +280,13 @@ def test_banner_files_are_as_many_as_the_pieces_of_the_facts(spark, lines_and_or
     assert all(len(list(Path(folder).glob("part-*"))) >= 6 for folder in seen)
 
 
+def test_monthly_files_come_from_stored_facts(spark, lines_and_orders, monkeypatch):
+    plans, plain = [], queries._in_layouts
+    monkeypatch.setattr(queries, "_in_layouts", lambda t, *a: plans.append(t._jdf.queryExecution().executedPlan().toString()) or plain(t, *a))
+    assert queries.QUERIES["src_monthly_csv"](spark, lines_and_orders).count() == 400
+    assert len(plans) == 1 and "Join" not in plans[0] and "Exchange" not in plans[0]
+
+
 def test_listed_nodes_come_from_the_stored_edges(spark, lines_and_orders, monkeypatch):
     plans, plain = [], clean.active
     monkeypatch.setattr(clean, "active", lambda v, e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or plain(v, e))
