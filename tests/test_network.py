@@ -166,6 +166,27 @@ def test_betweenness_with_all_pivots_is_exact(spark, random_graph, hot, request)
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
 
 
+def test_betweenness_sends_a_node_once_per_block(spark, monkeypatch):
+    sent, plain = {}, network.Workspace.save_counted
+
+    def save(work, df, name, **metrics):
+        table, seen = plain(work, df, name, **metrics)
+        if name.startswith("out-"):
+            sent[name] = sum(len(r["ids"]) // 4 for r in table.filter(F.col("kind") == paths._SENT).collect())
+        return table, seen
+
+    monkeypatch.setattr(network.Workspace, "save_counted", save)
+    monkeypatch.setattr(paths, "MIN_BLOCKS", 3)
+    monkeypatch.setattr(paths, "_CHUNK", 2)
+    monkeypatch.setattr(paths, "_STEP", 7)
+    leaves = [f"n{k:02d}" for k in range(20)]
+    net = make(spark, ["hub", "top", *leaves], [("top", "hub"), *[("hub", leaf) for leaf in leaves]])
+    got = values(paths.betweenness(net), "betweenness")
+    assert math.isclose(got.pop("hub"), 20 / (21 * 20)) and not any(got.values())
+    # Two groups of pivots; the hub has 20 edges, but 3 blocks to send to.
+    assert sent["out-0"] <= 2 * 3 and sent["out-1"] <= 2 * 3
+
+
 def test_betweenness_of_a_path_and_of_samples(spark):
     net = make(spark, "abc", [("a", "b"), ("b", "c")])
     assert values(paths.betweenness(net), "betweenness") == {"a": 0.0, "b": 0.5, "c": 0.0}
