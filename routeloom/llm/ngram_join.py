@@ -211,31 +211,49 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(order, wanted, bits: int, size: int):
-    """Rows (vertex, n, fragment, keys) of the sets whose vertex and id are marked in the bit map ``wanted``, with their first half as fragment ``HALF``."""
+    """Rows (vertex, copy, n, fragment, keys) of the sets whose vertex and id are marked in the bit map ``wanted``, with their first half as fragment ``HALF``.
+
+    ``copy`` tells the documents of one set apart, should several be marked.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, marks = order.value, wanted.value
         for batch in batches:
             ids = batch.column("id_code").to_numpy(zero_copy_only=False).view(np.uint64)
+            copies = batch.column("copy").to_numpy(zero_copy_only=False)
             for part in words(batch.column("text"), NOT_SPACE):
                 row, code = gram_sets(part, size)
                 cuts = _cuts(row, part)
                 vertex = _set_codes(code, cuts)
-                slot = (vertex ^ ids[part.first_row : part.first_row + part.rows]) >> np.uint64(64 - bits)
-                marked = (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for i in np.flatnonzero((marked == 1) & (np.diff(cuts) > 0)):
+                marked = _is_marked(marks, bits, vertex ^ ids[part.first_row : part.first_row + part.rows])
+                out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+                for i in np.flatnonzero(marked & (np.diff(cuts) > 0)):
                     own = np.sort(known.keys(code[cuts[i] : cuts[i + 1]]))
                     fragment = np.minimum(own >> np.uint64(58 - FRAGMENT_BITS), np.uint64(1 << FRAGMENT_BITS))
                     edges = np.searchsorted(fragment, np.arange((1 << FRAGMENT_BITS) + 2))
                     parts = [(HALF, own[: (len(own) + 1) // 2]), *[(f, own[edges[f] : edges[f + 1]]) for f in range(len(edges) - 1)]]
                     for f, keys in parts:
-                        for column, value in zip(out, (vertex[i].view(np.int64), len(own), f, keys.tobytes())):
+                        for column, value in zip(out, (vertex[i].view(np.int64), copies[part.first_row + i], len(own), f, keys.tobytes())):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
-                    names=["vertex", "n", "fragment", "keys"],
-                )
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["vertex", "copy", "n", "fragment", "keys"])
+
+    return scan
+
+
+def _is_marked(marks: np.ndarray, bits: int, code: np.ndarray) -> np.ndarray:
+    slot = code >> np.uint64(64 - bits)
+    return ((marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)) == 1
+
+
+def _of_marked(wanted, bits: int):
+    """The rows whose vertex is marked in the bit map ``wanted``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = wanted.value
+        for batch in batches:
+            vertex = batch.column("vertex").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(_is_marked(marks, bits, vertex)))
 
     return scan
 
@@ -255,7 +273,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlap of each pair in one fragment."""
     for batch in batches:
         overlap = [_common(x, y) for x, y in _key_pairs(batch)]
-        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "n_a", "n_b", "fragment")} | {"overlap": pa.array(overlap, pa.int64())})
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "n_a", "n_b")} | {"overlap": pa.array(overlap, pa.int64())})
 
 
 def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,22 +284,21 @@ def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = min(x[-1], y[-1])
             x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
             most.append(_common(x, y) + min(n_a - len(x), n_b - len(y)))
-        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "n_a", "n_b")} | {"most": pa.array(most, pa.int64())})
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "copy_a", "copy_b", "n_a", "n_b")} | {"most": pa.array(most, pa.int64())})
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) with the keys of both sides, one row per fragment in ``sets``."""
-    side = lambda s: sets.select(F.col("vertex").alias(s), "fragment", F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}"))
-    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "fragment"])
-    return met.select("a", "b", "n_a", "n_b", "fragment", "keys_a", "keys_b")
+    """The ``pairs`` (a, b, copy_a, copy_b) with the keys of both sides, one row per pair and fragment in ``sets``."""
+    side = lambda s: sets.select(
+        F.col("vertex").alias(s), F.col("copy").alias(f"copy_{s}"), "fragment", F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}")
+    )
+    return pairs.join(side("a"), ["a", "copy_a"]).join(side("b"), ["b", "copy_b", "fragment"])
 
 
 def _partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, overlap) summed over the fragments in ``sets``."""
-    counted = _met(pairs, sets).mapInArrow(_shared, "a long, b long, n_a long, n_b long, fragment int, overlap long")
-    # A set may have been stored more than once; each fragment of a pair counts once.
-    once = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("overlap").alias("overlap"))
-    return once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    counted = _met(pairs, sets).mapInArrow(_shared, "a long, b long, n_a long, n_b long, overlap long")
+    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
 
 
 class NgramJoin:
@@ -293,7 +310,11 @@ class NgramJoin:
         self.members, self.order, self.total = self._statistics()
         self.grams = self._shared_grams()
         give_back(self.spark)
+        self.marks: list = []
         self.sets = self._sets()
+        # A document beside the one asked for may be marked by chance or share its id; pairs meet one copy of a set.
+        halves = self.sets.filter(F.col("fragment") == HALF)
+        self.copies = self.kept(halves.groupBy("vertex").agg(F.min("copy").alias("copy")), "copies")
 
     def _statistics(self):
         kind = self.docs.schema["doc_id"].dataType.simpleString()
@@ -340,18 +361,28 @@ class NgramJoin:
         self.kept.release("shared-grams")
         return grams
 
-    def _sets(self) -> DataFrame:
-        """(vertex, n, fragment, keys): the whole sets of the vertices that may link, one document of each."""
-        bits = min(MAX_MAP_BITS, max(16, (16 * self.able.count()).bit_length()))
+    def _marked(self, codes: DataFrame):
+        """A broadcast bit map of the column ``mark``, and its bits; other codes are marked by chance, about one in 16."""
+        bits = min(MAX_MAP_BITS, max(16, (16 * codes.count()).bit_length()))
         slot = F.shiftrightunsigned("mark", 64 - bits)
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-        table = self.able.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = codes.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
         marks = np.zeros(1 << (bits - 6), dtype=np.uint64)
         marks[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-        self.marks = self.spark.sparkContext.broadcast(marks)
-        scan = _fragments(self.order, self.marks, bits, self.size)
-        coded = self.docs.select("text", F.xxhash64("doc_id").alias("id_code"))
-        return self.kept(coded.mapInArrow(scan, "vertex long, n long, fragment int, keys binary"), "fragments")
+        self.marks.append(self.spark.sparkContext.broadcast(marks))
+        return self.marks[-1], bits
+
+    def _sets(self) -> DataFrame:
+        """(vertex, copy, n, fragment, keys): the whole sets of the vertices that may link, of one document each or of a few."""
+        marks, bits = self._marked(self.able)
+        scan = _fragments(self.order, marks, bits, self.size)
+        coded = self.docs.select("text", F.xxhash64("doc_id").alias("id_code"), F.monotonically_increasing_id().alias("copy"))
+        return self.kept(coded.mapInArrow(scan, "vertex long, copy long, n long, fragment int, keys binary"), "fragments")
+
+    def _sets_of(self, pairs: DataFrame, part: Column) -> DataFrame:
+        """Those of the stored sets that the ``pairs`` need, before they move; a few others by chance."""
+        marks, bits = self._marked(pairs.select(F.explode(F.array("a", "b")).alias("mark")))
+        return self.sets.filter(part).mapInArrow(_of_marked(marks, bits), self.sets.schema)
 
     def _reach(self, overlap: Column, n_a: Column, n_b: Column) -> Column:
         """Whether an overlap reaches the threshold; it grows with the overlap."""
@@ -360,9 +391,12 @@ class NgramJoin:
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Those of the ``pairs`` (a, b) whose sets reach the threshold."""
         reach = lambda overlap: self._reach(F.col(overlap), F.col("n_a"), F.col("n_b"))
-        bounds = _met(pairs, self.sets.filter(F.col("fragment") == HALF)).mapInArrow(_most, "a long, b long, n_a long, n_b long, most long")
-        going_on = self.kept(bounds.filter(reach("most")).select("a", "b").distinct(), "going-on")
-        return _partial_overlaps(going_on, self.sets.filter(F.col("fragment") != HALF)).filter(reach("overlap")).select("a", "b")
+        one = lambda s: self.copies.select(F.col("vertex").alias(s), F.col("copy").alias(f"copy_{s}"))
+        placed = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+        halves = _met(placed, self._sets_of(pairs, F.col("fragment") == HALF))
+        bounds = halves.mapInArrow(_most, "a long, b long, copy_a long, copy_b long, n_a long, n_b long, most long")
+        going_on = self.kept(bounds.filter(reach("most")).select("a", "b", "copy_a", "copy_b"), "going-on")
+        return _partial_overlaps(going_on, self._sets_of(going_on, F.col("fragment") != HALF)).filter(reach("overlap")).select("a", "b")
 
     def components(self) -> DataFrame:
         """(vertex, label) of the linked vertices: one label per component."""
@@ -447,7 +481,7 @@ class NgramJoin:
 
     def release(self) -> None:
         """Frees what the executors hold for this join. Its results must be stored before."""
-        for held in (self.order, self.marks):
+        for held in (self.order, *self.marks):
             held.destroy()
 
 

@@ -222,6 +222,32 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark):
     assert join._hub_pairs(named, None).count() <= named.select("vertex").distinct().count()
 
 
+def test_ngram_join_meets_one_copy_of_a_set_and_moves_the_sets_of_pairs_only(spark, monkeypatch):
+    """Copies without an id are all stored; each pair meets one of them, and sets without a pair stay where they are."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base))] * 12
+    for i in range(12):
+        own = list(base)
+        for _ in range(1 + i % 6):
+            own[rng.randrange(len(own))] = f"z{i}"
+        rows.append((i, " ".join(own)))
+    seen, plainly = [], ngram_join._met
+
+    def met(pairs, sets):
+        found = plainly(pairs, sets)
+        ends = {v for r in pairs.collect() for v in (r.a, r.b)}
+        seen.append((found.count(), found.select("a", "b", "fragment").distinct().count(), {r.vertex for r in sets.collect()} - ends))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_met", met)
+    join = ngram_join.NgramJoin(table(spark, rows))
+    assert join.sets.filter(F.col("fragment") == ngram_join.HALF).count() >= 12
+    got = {r.doc_id: r.component for r in join.rows().collect() if r.doc_id is not None}
+    assert got == {i: c for (i, _), (_, c) in zip(rows, plain.groups([(99 if i is None else i, t) for i, t in rows])) if i is not None}
+    assert any(n for n, _, _ in seen) and all(n == once and not other for n, once, other in seen)
+
+
 def test_keep_one_judges_the_texts_of_one_id_and_repeated_rows(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
     text = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(table(spark, rows)).collect()), key=repr)
