@@ -156,6 +156,28 @@ def test_closeness_with_many_groups_of_sources(spark):
     assert len(got) == 1100 and all(math.isclose(v, want, rel_tol=1e-12) for v in got.values())
 
 
+def test_closeness_sends_a_node_once_per_block(spark, monkeypatch):
+    sent, plain = [], network.Workspace.save_counted
+
+    def save(work, df, name, **metrics):
+        table, seen = plain(work, df, name, **metrics)
+        if "closeness" in work.root and "kind" in table.columns:
+            sent.append(sum(len(r["ids"]) // 4 for r in table.filter(F.col("kind") == paths._SENT).collect()))
+        return table, seen
+
+    monkeypatch.setattr(network.Workspace, "save_counted", save)
+    monkeypatch.setattr(paths, "MIN_BLOCKS", 3)
+    monkeypatch.setattr(paths, "_CHUNK", 2)
+    monkeypatch.setattr(paths, "_STEP", 2 * paths.WORDS)
+    leaves = [f"n{k:02d}" for k in range(20)]
+    net = make(spark, ["hub", "top", *leaves], [("top", "hub"), *[("hub", leaf) for leaf in leaves]])
+    got = values(paths.closeness(net), "closeness")
+    assert got.pop("top") == 0.0 and math.isclose(got.pop("hub"), 1 / 21)
+    assert all(math.isclose(v, 2 / 3 * 2 / 21) for v in got.values())
+    # The hub has 20 edges, but 3 blocks to send to; the top has one edge.
+    assert sent and sent[0] <= 3 + 1 and sent[1] <= 3
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_betweenness_with_all_pivots_is_exact(spark, random_graph, hot, request):
     if hot:
