@@ -288,11 +288,18 @@ def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, copy_a, copy_b) with the keys of both sides, one row per pair and fragment in ``sets``."""
+    """The ``pairs`` (a, b, copy_a, copy_b, fragment) with the keys of both sides.
+
+    Both sides ask for the same layout of ``sets``, so that these move once.
+    """
     side = lambda s: sets.select(
         F.col("vertex").alias(s), F.col("copy").alias(f"copy_{s}"), "fragment", F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}")
     )
-    return pairs.join(side("a"), ["a", "copy_a"]).join(side("b"), ["b", "copy_b", "fragment"])
+    return pairs.join(side("a"), ["a", "copy_a", "fragment"]).join(side("b"), ["b", "copy_b", "fragment"])
+
+
+def _in(fragments: list[int]) -> Column:
+    return F.explode(F.array(*[F.lit(f) for f in fragments])).alias("fragment")
 
 
 def _partial_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -346,13 +353,11 @@ class NgramJoin:
         counted = shared.groupBy("vertex").agg(F.count(F.lit(1)).alias("shared"))
         sizes = self.members.groupBy("vertex").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
         must = F.ceil(F.lit(self.percent) * F.col("n") / 100)
-        prefix = F.col("n") - must + 1 + F.floor(F.col("n") / PER_SHARED)
         able = counted.join(sizes, "vertex").filter(F.col("shared") >= 1 + F.floor(must / PER_SHARED)).join(tails, "vertex")
         self.able = self.kept(
             able.select(
                 "vertex", F.col("vertex").bitwiseXOR(F.xxhash64("doc_id")).alias("mark"), "n", "last",
-                (F.col("n") - prefix).alias("rest"), (F.col("n") - prefix + F.col("shared")).alias("cap"),
-                (-F.floor(1000 * F.col("shared") / prefix)).cast("int").alias("rank"),
+                (self._rest(F.col("n")) + F.col("shared")).alias("cap"),
             ),
             "able",
         )
@@ -361,6 +366,10 @@ class NgramJoin:
         self.kept.release("shared-grams")
         return grams
 
+    def _rest(self, n: Column) -> Column:
+        """How much of a set of this size lies beyond its prefix."""
+        return F.ceil(F.lit(self.percent) * n / 100) - 1 - F.floor(n / PER_SHARED)
+
     def _marked(self, codes: DataFrame):
         """A broadcast bit map of the column ``mark``, and its bits; other codes are marked by chance, about one in 16."""
         bits = min(MAX_MAP_BITS, max(16, (16 * codes.count()).bit_length()))
@@ -393,15 +402,17 @@ class NgramJoin:
         reach = lambda overlap: self._reach(F.col(overlap), F.col("n_a"), F.col("n_b"))
         one = lambda s: self.copies.select(F.col("vertex").alias(s), F.col("copy").alias(f"copy_{s}"))
         placed = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-        halves = _met(placed, self._sets_of(pairs, F.col("fragment") == HALF))
+        halves = _met(placed.select("*", _in([HALF])), self._sets_of(pairs, F.col("fragment") == HALF))
         bounds = halves.mapInArrow(_most, "a long, b long, copy_a long, copy_b long, n_a long, n_b long, most long")
         going_on = self.kept(bounds.filter(reach("most")).select("a", "b", "copy_a", "copy_b"), "going-on")
-        return _partial_overlaps(going_on, self._sets_of(going_on, F.col("fragment") != HALF)).filter(reach("overlap")).select("a", "b")
+        parts = going_on.select("*", _in(list(range((1 << FRAGMENT_BITS) + 1))))
+        return _partial_overlaps(parts, self._sets_of(going_on, F.col("fragment") != HALF)).filter(reach("overlap")).select("a", "b")
 
     def components(self) -> DataFrame:
         """(vertex, label) of the linked vertices: one label per component."""
         named = self.grams.withColumn("label", F.col("vertex"))
         pairs = links = labels = None
+        held = "able-grams"
         for turn in range(HUB_ROUNDS + 1):
             give_back(self.spark)
             last = turn == HUB_ROUNDS
@@ -418,6 +429,8 @@ class NgramJoin:
                 ends = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                 apart = ends.filter(F.col("low") != F.col("high")).select("gram")
                 named = self.kept(named.join(apart, "gram", "left_semi"), f"apart-{turn}")
+                self.kept.release(held)
+                held = f"apart-{turn}"
                 if named.isEmpty():
                     break
         return labels
@@ -433,6 +446,8 @@ class NgramJoin:
 
         The hub of an n-gram is the vertex that shares most of its prefix: in a group of near copies the original, or what is closest to it.
         """
+        rest = self._rest(F.col("n"))
+        named = named.withColumn("rank", (-F.floor(1000 * (F.col("cap") - rest) / (F.col("n") - rest))).cast("int"))
         columns = ["rank", "vertex", "label", "n", "last", "cap"]
         hubs = named.groupBy("gram").agg(F.min(F.struct(*columns)).alias("hub"))
         met = named.join(hubs.select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in columns]), "gram")
@@ -457,7 +472,7 @@ class NgramJoin:
         # 100 * cap >= percent * (n + partner - cap)
         high = F.floor((100 + self.percent) * F.col("cap") / self.percent) - F.col("n")
         smallest = F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), F.col("size"))))
-        must = F.ceil(F.lit(self.percent) * (F.col("n") + smallest) / (100 + self.percent)) - F.col("rest")
+        must = F.ceil(F.lit(self.percent) * (F.col("n") + smallest) / (100 + self.percent)) - self._rest(F.col("n"))
         side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("vertex", "label", "n", "last", "cap")]
         asking = named.filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high))))
         asking = asking.filter(F.col("place") <= F.col("held") - F.greatest(must, F.lit(1)) + 1).select("gram", "size", *side("x"))
