@@ -59,6 +59,12 @@ HUB_ROUNDS = 2
 HOT_RANK = (PER_BUCKET // 32).bit_length() - 1
 # Sets are matched by size in steps of this factor.
 SIZE_STEP = 1.04
+# Where more than so many vertices answer for one n-gram and size, they are compared by their parities before they are a pair.
+FEW = 32
+# Numbers of 64 parities each. They tell sets of up to about a thousand n-grams apart.
+PARITIES = [f"p{i}" for i in range(16)]
+# Of those who answer for one n-gram and size, so many at most meet in one place.
+PER_SLOT = 4096
 
 
 def gram_sets(part: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,6 +264,23 @@ def _of_marked(wanted, bits: int):
     return scan
 
 
+def _parities(wanted, bits: int):
+    """Rows (vertex, copy, parities) of marked vertices: for each class of keys, by their hash, whether a fragment has an odd number of them."""
+    classes = 64 * len(PARITIES)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _of_marked(wanted, bits)(batches):
+            out = np.zeros((batch.num_rows, classes), dtype=bool)
+            for row, keys in zip(out, batch.column("keys").to_pylist()):
+                own = (mix(np.frombuffer(keys, np.uint64)) >> np.uint64(32)).astype(np.int64) % classes
+                row[:] = np.bincount(own, minlength=classes) & 1
+            packed = np.packbits(out, axis=1).view(np.int64)
+            columns = [batch.column("vertex"), batch.column("copy"), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["vertex", "copy", *PARITIES])
+
+    return scan
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort()
@@ -390,7 +413,7 @@ class NgramJoin:
 
     def _sets_of(self, pairs: DataFrame, part: Column) -> DataFrame:
         """Those of the stored sets that the ``pairs`` need, before they move; a few others by chance."""
-        marks, bits = self._marked(pairs.select(F.explode(F.array("a", "b")).alias("mark")))
+        marks, bits = self._marked(pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct())
         return self.sets.filter(part).mapInArrow(_of_marked(marks, bits), self.sets.schema)
 
     def _reach(self, overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -463,25 +486,55 @@ class NgramJoin:
 
         Every n-gram that joins different components is here. The side whose prefix ends first looks for partners, by steps of size: to link with a set of
         that size it must share so many of its ``held`` n-grams here that one is among the first ``held - must + 1``. Only with
-        those it asks, so near copies that cannot link with others of their size ask little or nothing.
+        those it asks, so near copies that cannot link with others of their size ask little or nothing. Where many answer, only those pairs are
+        written that may link by their parities: two sets differ in as many n-grams at least as in parities.
         """
         size = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
-        own = Window.partitionBy("vertex")
-        named = named.withColumns({"held": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("gram"))})
-        low = F.greatest(F.lit(1), F.floor(F.lit(self.percent) * F.col("n") / 100))
-        # 100 * cap >= percent * (n + partner - cap)
-        high = F.floor((100 + self.percent) * F.col("cap") / self.percent) - F.col("n")
-        smallest = F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), F.col("size"))))
-        must = F.ceil(F.lit(self.percent) * (F.col("n") + smallest) / (100 + self.percent)) - self._rest(F.col("n"))
         side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("vertex", "label", "n", "last", "cap")]
-        asking = named.filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high))))
-        asking = asking.filter(F.col("place") <= F.col("held") - F.greatest(must, F.lit(1)) + 1).select("gram", "size", *side("x"))
+        place = ["gram", "size"]
         answering = named.select("gram", size(F.col("n")).alias("size"), *side("y"))
+        slots = F.ceil(F.count(F.lit(1)) / PER_SLOT)
+        crowded = self.kept(answering.groupBy(*place).agg(F.count(F.lit(1)).alias("answers"), slots.alias("slots")).filter(F.col("answers") > FEW), "crowded")
         before = (F.col("x_last") < F.col("y_last")) | ((F.col("x_last") == F.col("y_last")) & (F.col("x_vertex") < F.col("y_vertex")))
-        met = asking.join(answering, ["gram", "size"]).filter(before & (F.col("x_label") != F.col("y_label")) & self._possible("x_", "y_"))
+        able = before & (F.col("x_label") != F.col("y_label")) & self._possible("x_", "y_")
+
+        def asking(named: DataFrame) -> DataFrame:
+            own = Window.partitionBy("vertex")
+            named = named.withColumns({"held": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("gram"))})
+            low = F.greatest(F.lit(1), F.floor(F.lit(self.percent) * F.col("n") / 100))
+            # 100 * cap >= percent * (n + partner - cap)
+            high = F.floor((100 + self.percent) * F.col("cap") / self.percent) - F.col("n")
+            smallest = F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), F.col("size"))))
+            must = F.ceil(F.lit(self.percent) * (F.col("n") + smallest) / (100 + self.percent)) - self._rest(F.col("n"))
+            asking = named.filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high))))
+            return asking.filter(F.col("place") <= F.col("held") - F.greatest(must, F.lit(1)) + 1).select("gram", "size", *side("x"))
+
+        if crowded.isEmpty():
+            met = asking(named).join(answering, place).filter(able).select("x_vertex", "y_vertex")
+        else:
+            met = asking(named).join(crowded, place, "left_anti").join(answering, place).filter(able).select("x_vertex", "y_vertex")
+            # Vertices that have a crowded n-gram, in any size, with all their n-grams.
+            some = named.join(crowded.select("gram").distinct(), "gram", "left_semi").select("vertex").distinct()
+            asks = self.kept(asking(named.join(some, "vertex", "left_semi")).join(crowded, place), "asks")
+            answers = self.kept(answering.join(crowded, place).withColumn("slot", F.pmod(F.xxhash64("y_vertex"), "slots")), "answers")
+            parities = self._parities(asks.select(F.col("x_vertex").alias("vertex")).union(answers.select("y_vertex")).distinct())
+            of = lambda s: parities.select(F.col("vertex").alias(f"{s}_vertex"), *[F.col(p).alias(f"{s}_{p}") for p in PARITIES])
+            differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES), F.lit(0))
+            near = self._reach(F.floor((F.col("x_n") + F.col("y_n") - differ) / 2), F.col("x_n"), F.col("y_n"))
+            dealt = asks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).drop("slots", "answers")
+            many = dealt.join(of("x"), "x_vertex").join(answers.drop("slots", "answers").join(of("y"), "y_vertex"), [*place, "slot"])
+            met = met.union(many.filter(able & near).select("x_vertex", "y_vertex"))
         pairs = met.select(F.greatest("x_vertex", "y_vertex").alias("a"), F.least("x_vertex", "y_vertex").alias("b")).distinct()
         return pairs.join(tried, ["a", "b"], "left_anti")
 
+    def _parities(self, vertices: DataFrame) -> DataFrame:
+        """(vertex, parities) of the sets of some vertices, stored."""
+        marks, bits = self._marked(vertices.select(F.col("vertex").alias("mark")))
+        sets = self.sets.filter(F.col("fragment") != HALF)
+        parts = sets.mapInArrow(_parities(marks, bits), ", ".join(f"{c} long" for c in ("vertex", "copy", *PARITIES)))
+        whole = parts.groupBy("vertex", "copy").agg(*[F.bit_xor(p).alias(p) for p in PARITIES])
+        return self.kept(whole.join(self.copies, ["vertex", "copy"]).drop("copy"), "parities")
+
     def labelled(self) -> DataFrame:
         """(doc_id, body, n, vertex, label) per row of the documents; ``body`` tells the texts of one id apart."""
         return self.members.join(self.components(), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))

@@ -222,6 +222,52 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark):
     assert join._hub_pairs(named, None).count() <= named.select("vertex").distinct().count()
 
 
+def near_misses(n: int) -> list[tuple[int, str]]:
+    """Texts that share most with all others, but link with few: each has three words of its own in one base."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k, at in enumerate(rng.sample(range(29), 3)):
+            own[5 * at + 2] = f"z{i}-{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_ngram_join_of_a_large_group_just_below_the_threshold(spark):
+    rows = near_misses(150)
+    join = ngram_join.NgramJoin(table(spark, rows))
+    asked, plainly = [], join._links
+    join._links = lambda pairs: (asked.append(pairs.count()), plainly(pairs))[1]
+    got = sorted(map(tuple, join.rows().collect()))
+    assert got == sorted((i, n, c) for (i, _), (n, c) in zip(rows, plain.groups(rows)))
+    assert len({c for _, _, c in got}) > 100 and sum(asked) < 10 * len(rows)
+
+
+def test_ngram_join_by_parities_in_small_slots(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    monkeypatch.setattr(ngram_join, "PER_SLOT", 2)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
+    rows = near_rows() + [(1000 + i, text) for i, text in near_misses(20)]
+    got = ngram_join.similar_groups(table(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, n, c) for (i, _), (n, c) in zip(rows, plain.groups(rows))), key=repr)
+
+
+def test_parities_differ_no_more_than_the_sets(spark):
+    rows = near_misses(12) + [(50 + i, " ".join(f"v{j}" for j in range(3 + 40 * i))) for i in range(6)]
+    join = ngram_join.NgramJoin(table(spark, rows + [(90 + i, text + f" end{i}") for i, (_, text) in enumerate(rows)]))
+    sets = {}
+    for r in join.sets.filter(F.col("fragment") != ngram_join.HALF).collect():
+        sets.setdefault(r.vertex, set()).update(np.frombuffer(r.keys, np.uint64).tolist())
+    found = {r.vertex: r[1:] for r in join._parities(join.able.select("vertex")).collect()}
+    assert len(found) == join.able.count() > 20
+    for a in found:
+        for b in found:
+            differ = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(found[a], found[b]))
+            assert differ <= len(sets[a] ^ sets[b]) and differ % 2 == len(sets[a] ^ sets[b]) % 2
+
+
 def test_ngram_join_meets_one_copy_of_a_set_and_moves_the_sets_of_pairs_only(spark, monkeypatch):
     """Copies without an id are all stored; each pair meets one of them, and sets without a pair stay where they are."""
     rng = random.Random(3)
