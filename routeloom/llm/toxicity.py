@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tokens import ALNUM, Codes, Words, mix, words
-from .training import give_back, training_rows
+from .training import give_back, training_rows, trim
 
 WINDOW, STEP = 32, 16
 GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
@@ -32,8 +32,9 @@ GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
 MIN_DOCUMENTS = 3
 MAX_ROWS, MAX_CHARS = 1000, 6_000
 ROUNDS, PER_ROUND, BATCH, RATE, DECAY = 10, 3000, 256, 0.01, 5e-3
-# Windows that go through the network together.
-TOGETHER = 4096
+# Windows that go through the network together, and words whose trigrams are looked up together.
+TOGETHER = 1024
+WORDS_TOGETHER = 1 << 14
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -45,29 +46,36 @@ class Windows:
 
     def __init__(self, part: Words, known: Codes):
         code, first, place = np.unique(part.code, return_index=True, return_inverse=True)
+        place = place.astype(np.int32)
         self.word = np.zeros(len(code), dtype=np.int64)
         found, rank = known.find(code)
         self.word[found] = rank + 1
-        start, end = part.start[first], part.end[first]
-        self.lengths = end - start
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(self.lengths)[:-1]]), self.lengths) + np.arange(self.lengths.sum()) if len(code) else np.empty(0, np.int64)
-        data = np.concatenate([[0], part.data, [0]]).astype(np.uint64)
-        left, right = data[at].copy(), data[at + 2].copy()
-        edges = np.cumsum(self.lengths)
-        if len(code):
-            left[edges - self.lengths], right[edges - 1] = 0, 0
-        self.gram = (mix((left << np.uint64(16)) | (data[at + 1] << np.uint64(8)) | right) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-        self.gram_from = edges - self.lengths
+        start = part.start[first]
+        self.lengths = (part.end[first] - start).astype(np.int64)
+        self.gram_from = np.cumsum(self.lengths) - self.lengths
+        data = np.concatenate([np.zeros(1, np.uint8), part.data, np.zeros(1, np.uint8)])
+        self.gram = np.empty(self.lengths.sum(), dtype=np.int16)
+        for i in range(0, len(code), WORDS_TOGETHER):
+            length = self.lengths[i : i + WORDS_TOGETHER]
+            begin = np.cumsum(length) - length
+            at = np.repeat(start[i : i + WORDS_TOGETHER] - begin, length) + np.arange(length.sum())
+            left, here, right = (data[at + k].astype(np.uint64) for k in range(3))
+            left[begin], right[begin + length - 1] = 0, 0
+            gram = mix((left << np.uint64(16)) | (here << np.uint64(8)) | right) >> np.uint64(64 - GRAM_BITS)
+            self.gram[self.gram_from[i] : self.gram_from[i] + len(gram)] = gram
         bounds = part.bounds()
         n = np.diff(bounds)
         count = np.maximum(1, -(-(n - STEP) // STEP))
         self.row = np.repeat(np.arange(part.rows), count)
         self.window_from = np.cumsum(count) - count
         offset = (np.arange(len(self.row)) - self.window_from[self.row]) * STEP
-        within = offset[:, None] + np.arange(WINDOW)
-        self.mask = within < n[self.row][:, None]
-        self.token = np.full(self.mask.shape, len(code), dtype=np.int64)
-        self.token[self.mask] = place[(bounds[:-1][self.row][:, None] + within)[self.mask]]
+        self.mask = np.arange(WINDOW) < (n[self.row] - offset)[:, None]
+        # 32 bits: this and the mask are all that the training holds of the texts.
+        self.token = np.full(self.mask.shape, len(code), dtype=np.int32)
+        begin = bounds[:-1][self.row] + offset
+        for i in range(0, len(begin), TOGETHER):
+            mask = self.mask[i : i + TOGETHER]
+            self.token[i : i + TOGETHER][mask] = place[(begin[i : i + TOGETHER, None] + np.arange(WINDOW))[mask]]
 
 
 class Network:
@@ -91,10 +99,14 @@ class Network:
 
     def inputs(self, w: Windows) -> np.ndarray:
         """A vector per distinct word: its own and the mean of its trigrams'."""
-        grams = np.zeros((len(w.word), WIDTH), np.float32)
-        if len(w.word):
-            grams = np.add.reduceat(self.p["gram"][w.gram], w.gram_from, axis=0) / w.lengths[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][w.word], grams], axis=1)
+        out = np.empty((len(w.word), 2 * WIDTH), self.p["gram"].dtype)
+        out[:, :WIDTH] = self.p["word"][w.word]
+        for i in range(0, len(w.word), WORDS_TOGETHER):
+            own = slice(i, i + WORDS_TOGETHER)
+            begin, length = w.gram_from[own], w.lengths[own]
+            grams = self.p["gram"][w.gram[begin[0] : begin[-1] + length[-1]]]
+            out[own, WIDTH:] = np.add.reduceat(grams, begin - begin[0], axis=0) / length[:, None].astype(np.float32)
+        return out
 
     def _run(self, gates: np.ndarray, mask: np.ndarray, u: np.ndarray, steps, keep: list | None) -> np.ndarray:
         h = np.zeros((len(gates), HIDDEN), np.float32)
@@ -132,7 +144,10 @@ class Network:
         return pooled @ self.p["out"] + self.p["base"][0]
 
     def gate_table(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ self.p["into"] + self.p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)])
+        out = np.zeros((len(x) + 1, 6 * HIDDEN), np.result_type(x, self.p["into"]))
+        np.matmul(x, self.p["into"], out=out[:-1])
+        out[:-1] += self.p["bias"]
+        return out
 
     def logits(self, w: Windows) -> np.ndarray:
         table = self.gate_table(self.inputs(w))
@@ -203,19 +218,38 @@ class Network:
 
 def _one(texts: list[str]) -> Words:
     """All texts as one batch of words (they are bounded)."""
-    parts = list(words(pa.array(texts, pa.string()), ALNUM))
-    shift = np.cumsum([0] + [len(p.data) for p in parts])
-    data = np.concatenate([p.data for p in parts])
-    offsets = np.concatenate([p.offsets[:-1] + s for p, s in zip(parts, shift)] + [[len(data)]])
-    join = lambda name: np.concatenate([getattr(p, name) + s for p, s in zip(parts, shift)])
-    return Words(data, offsets, 0, np.concatenate([p.row for p in parts]), join("start"), join("end"), np.concatenate([p.code for p in parts]))
-
-
-def _leaning(part: Words, known: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    kind = np.int32 if 4 * sum(map(len, texts)) < 1 << 31 else np.int64
+    data, row, start, end, code, offsets = [], [], [], [], [], [np.zeros(1, np.int64)]
+    for p in words(pa.array(texts, pa.string()), ALNUM):
+        shift = offsets[-1][-1]
+        data.append(p.data)
+        offsets.append(p.offsets[1:] + shift)
+        row.append(p.row.astype(kind))
+        start.append((p.start + shift).astype(kind))
+        end.append((p.end + shift).astype(kind))
+        code.append(p.code)
+
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.concatenate(parts)
+        parts.clear()
+        return out
+
+    return Words(joined(data), joined(offsets), 0, *map(joined, (row, start, end, code)))
+
+
+def _word_sets(part: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct words of each document, sorted by both."""
+    rows, codes, bounds = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], part.bounds()
+    for i in range(part.rows):
+        codes.append(np.unique(part.code[bounds[i] : bounds[i + 1]]))
+        rows.append(np.full(len(codes[-1]), part.first_row + i, np.int32))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _leaning(row: np.ndarray, code: np.ndarray, known: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Where the training of word vectors starts: how far the toxic documents with a word exceed what chance gives, in deviations."""
-    row, code = np.unique(np.stack([part.row.astype(np.uint64), part.code]), axis=1)
     found, rank = Codes(known).find(code)
-    toxic = labels[row[found].astype(np.int64)]
+    toxic = labels[row[found]]
     n, bad, share = np.bincount(rank, minlength=len(known)), np.bincount(rank, toxic, len(known)), labels.mean()
     return np.clip((bad - n * share) / np.sqrt(n * share * (1 - share) + 1), -4, 12) / 6
 
@@ -226,13 +260,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
         return {**Network(np.empty(0, np.uint64), seed).p, "known": np.empty(0, np.uint64)}
     rng = np.random.default_rng(seed)
     part = _one(texts)
-    pairs = np.unique(np.stack([part.row.astype(np.uint64), part.code]), axis=1)[1]
-    code, times = np.unique(pairs, return_counts=True)
-    known = code[times >= MIN_DOCUMENTS]
+    trim()
+    row, code = _word_sets(part)
+    distinct, times = np.unique(code, return_counts=True)
+    known = distinct[times >= MIN_DOCUMENTS]
     net = Network(known, seed)
-    net.p["word"][1:, 0] = _leaning(part, known, np.asarray(labels))
+    net.p["word"][1:, 0] = _leaning(row, code, known, np.asarray(labels))
     net.start = net.p["word"].copy()
+    del row, code, distinct, times
     w = Windows(part, Codes(known))
+    del part
+    trim()
     label = np.asarray(labels)[w.row]
     net.p["base"][0] = np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
     good, bad = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
@@ -254,7 +292,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = ROUND
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray]:
-    model = fit(*training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars))
+    texts, known = training_rows(docs, labels, learn_from, id_col, text_col, label_col, {1: max_rows, 0: 2 * max_rows}, max_chars)
+    # What the JVM took to find the rows and what the training takes need not stand in memory together.
+    give_back(docs.sparkSession)
+    model = fit(texts, known)
     give_back(docs.sparkSession)
     return model
 

@@ -36,6 +36,11 @@ def give_back(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.java.lang.System.gc()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Returns what this process's allocator holds of freed arrays to the system."""
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trimmed is not None:
+        trimmed(0)

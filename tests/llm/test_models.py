@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,6 +117,29 @@ def test_toxicity_finds_held_out_documents_of_every_language(spark):
     assert np.mean([r.score >= 0.7 for r in rows if not r.toxic]) < 0.03
 
 
+def test_training_holds_little_beside_the_windows():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{i}" for i in rng.integers(0, 30_000, 400)) for _ in range(600)]
+    labels = np.arange(600) % 3 == 0
+    toxicity.fit(texts[:10], labels[:10], rounds=0)  # tables that are made once
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, labels, rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160 * 600 * 400
+
+
+def test_windows_of_words_looked_up_in_pieces(monkeypatch):
+    net, whole, texts, known = tiny_net()
+    monkeypatch.setattr(toxicity, "WORDS_TOGETHER", 2)
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
+    pieces = toxicity.Windows(toxicity._one(texts), Codes(known))
+    assert all(np.array_equal(getattr(whole, k), getattr(pieces, k)) for k in ("token", "mask", "gram", "gram_from", "lengths"))
+    assert np.allclose(net.inputs(pieces), np.concatenate([net.p["word"][whole.word], np.add.reduceat(net.p["gram"][whole.gram], whole.gram_from, axis=0) / whole.lengths[:, None]], axis=1))
+
+
 def test_every_toxic_document_teaches_in_every_round(monkeypatch):
     rng = np.random.default_rng(4)
     text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
