@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from ..session import Workspace
 from .shared import Kept, kept
 from .tokens import NOT_SPACE, Codes, Words, mix, words
-from .training import give_back
+from .training import give_back, trimmed
 
 SIZE = 5
 PERCENT = 80
@@ -348,7 +348,7 @@ class NgramJoin:
 
     def _statistics(self):
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        seen = self.docs.withColumn("body", F.xxhash64("text")).mapInArrow(_statistics(self.size), f"doc_id {kind}, body long, n long, vertex long, gram long, times long")
+        seen = self.docs.withColumn("body", F.xxhash64("text")).mapInArrow(trimmed(_statistics(self.size)), f"doc_id {kind}, body long, n long, vertex long, gram long, times long")
         seen = self.kept(seen, "gram-statistics")
         members = seen.filter(F.col("n").isNotNull()).select("doc_id", "body", "n", "vertex")
         total = members.agg(F.sum("n")).first()[0] or 0
@@ -366,7 +366,7 @@ class NgramJoin:
         is at most its ``rest`` (what lies beyond its prefix) and what it shares with the other, or with anyone: ``cap``.
         """
         bits = max(1, (self.total * (100 - self.percent) // 100 // PER_BUCKET).bit_length())
-        scan = _prefixes(self.order, self.size, self.percent, bits)
+        scan = trimmed(_prefixes(self.order, self.size, self.percent, bits))
         packed = self.kept(self.docs.select("text").mapInArrow(scan, "bucket int, grams binary, vertices binary"), "prefixes")
         shared = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_several, "gram long, vertex long")
         # Those of one vertex alone stay: they only make its bound less sharp, and the first round drops them.
@@ -407,7 +407,7 @@ class NgramJoin:
     def _sets(self) -> DataFrame:
         """(vertex, copy, n, fragment, keys): the whole sets of the vertices that may link, of one document each or of a few."""
         marks, bits = self._marked(self.able)
-        scan = _fragments(self.order, marks, bits, self.size)
+        scan = trimmed(_fragments(self.order, marks, bits, self.size))
         coded = self.docs.select("text", F.xxhash64("doc_id").alias("id_code"), F.monotonically_increasing_id().alias("copy"))
         return self.kept(coded.mapInArrow(scan, "vertex long, copy long, n long, fragment int, keys binary"), "fragments")
 

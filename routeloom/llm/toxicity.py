@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tokens import ALNUM, Codes, Words, mix, words
-from .training import give_back, training_rows, trim
+from .training import give_back, training_rows, trim, trimmed
 
 WINDOW, STEP = 32, 16
 GRAM_BITS, WIDTH, HIDDEN = 12, 8, 8
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("none")]
     state = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return state.mapInArrow(_scores(sent), StructType([*state.schema.fields]).add("score", "double"))
+    return state.mapInArrow(trimmed(_scores(sent)), StructType([*state.schema.fields]).add("score", "double"))
 
 
 def remove_toxic(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", least: float = 0.7) -> DataFrame:

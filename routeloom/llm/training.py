@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,3 +45,13 @@ def trim() -> None:
     trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trimmed is not None:
         trimmed(0)
+
+
+def trimmed(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``scan`` over Arrow batches; when a task is through, its worker, which waits for others, keeps no freed arrays."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        trim()
+
+    return run
