@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import deque
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,19 @@ def test_removal_curve_hands_over_an_edge_once_per_order(spark, random_graph, mo
     assert {(r["step"], r["removed"]) for r in curve} == {(i, int(len(nodes) * f)) for i, f in enumerate([0.0, 0.1, 0.2, 0.3, 0.2])}
 
 
+def test_removal_query_removes_by_pagerank(spark, monkeypatch):
+    """The node of highest degree is not the one of highest rank."""
+    from routeloom.catalog import queries
+
+    nodes = [f"n{i:02d}" for i in range(60)]
+    net = make(spark, nodes, [("n00", n) for n in nodes[1:41]] + [(n, "n41") for n in nodes[42:]] + [("n41", "n01")])
+    known = network.degrees(net.vertices, net.edges).withColumn("avg_delay", F.lit(0.0))
+    ranked = known.withColumn("pagerank", F.when(F.col("id") == "n41", 0.3).otherwise(0.01))
+    monkeypatch.setattr(queries, "Inputs", lambda *_: SimpleNamespace(network=net, nodes=known, ranked_nodes=ranked))
+    curve = {(r["strategy"], r["step"]): r["value"] for r in queries.QUERIES["graph_removal_curve"](spark, "").collect()}
+    assert math.isclose(curve["Structural", 1], 41 / 60, abs_tol=1e-7)
+
+
 def test_cleaning_and_reconciliation(spark):
     vertices = spark.createDataFrame([(n,) for n in ("AAA", "BBB", "CCC", "DDD")], "id string")
     raw = spark.createDataFrame([("AAA", "BBB"), ("AAA", "BBB"), ("BBB", "BBB"), ("AAA", "ZZZ"), ("BBB", "CCC")], "src string, dst string")
