@@ -183,7 +183,8 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
         & (((F.col("role") == 0) & (F.col("near_role") == 0) & (F.col("word") < F.col("near"))) | ((F.col("role") == 1) & (F.col("near_role") == 2)))
         & (F.levenshtein("word", "near", 1) == 1)
     )
-    once = left.join(right, met).select("word", "near").distinct()
+    # The planner sizes signatures by the words they come from, many times too low: they would be broadcast.
+    once = left.join(right.hint("merge"), met).select("word", "near").distinct()
     both = F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))))
     return once.select(both.alias("p")).select("p.word", "p.near")
 
@@ -193,11 +194,12 @@ def variants(words: DataFrame, factor: int = FACTOR, parts: int = PARTS) -> Data
     kept = Kept(words.sparkSession)
     words = kept(words.select("word", "n"), "words")
     pairs = kept(near_pairs(words, parts), "near-words")
-    others = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    # The same holds for tables of words, which take many times their stored size on the driver.
+    others = words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge")
     best = (
         pairs.join(others, "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("least"), "near")).alias("best"))
     )
-    chosen = words.join(best, "word", "left").withColumn("picks", F.coalesce(-F.col("best.least") >= factor * F.col("n"), F.lit(False)))
+    chosen = words.join(best.hint("merge"), "word", "left").withColumn("picks", F.coalesce(-F.col("best.least") >= factor * F.col("n"), F.lit(False)))
     forms = kept(
         chosen.select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("picks"), F.col("best.near")).alias("form"),
@@ -209,10 +211,10 @@ def variants(words: DataFrame, factor: int = FACTOR, parts: int = PARTS) -> Data
     state, further, turn = forms.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), True, 0
     while further:
         state = kept(state, f"roots-{turn}")
-        next_of = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        next_of = state.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge")
         jumped = state.join(next_of, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         turn += 1
         jumped = kept(jumped, f"jumps-{turn}")
         further = not jumped.filter("moved").isEmpty()
         state = jumped.select("word", "root")
-    return forms.join(state, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(state.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from routeloom.llm import spelling
+from routeloom.session import stage
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = "doc_id long, text string, word string, n long, near string, signature int"
@@ -96,3 +97,20 @@ def test_chains_of_forms_reach_their_root(spark):
 def test_no_words(spark):
     assert spelling.variants(spelling.count_words(table(spark, odd_rows()).limit(0))).count() == 0
     assert spelling.variants(spelling.count_words(table(spark, [(1, None), (2, "1 2 3")]))).count() == 0
+
+
+def test_no_table_of_words_or_signatures_is_broadcast(spark, monkeypatch, capsys):
+    """A stored table of words looks small enough, its signatures are not."""
+    plans, plain = [], spelling.Kept.__call__
+
+    def kept(self, df, name):
+        df.explain()
+        plans.append((name, capsys.readouterr().out))
+        return plain(self, df, name)
+
+    monkeypatch.setattr(spelling.Kept, "__call__", kept)
+    words = stage(spark.createDataFrame([("abcde" + c + "f" * i, 9 + i) for i in range(6) for c in "xyz"], "word string, n long"), "words")
+    spelling.variants(words).explain()
+    plans.append(("result", capsys.readouterr().out))
+    assert "SortMergeJoin" in dict(plans)["near-words"]
+    assert not [name for name, plan in plans if "BroadcastHashJoin" in plan]
