@@ -304,3 +304,14 @@ def test_cleaning_and_reconciliation(spark):
     full = {tuple(r) for r in reconcile.augment(nodes, edges, observed).collect()}
     assert full == {("AAA", "BBB"), ("BBB", "CCC"), ("CCC", "AAA"), ("AAA", "AAA")}
     assert ("AAA", "AAA") not in {tuple(r) for r in reconcile.augment(nodes, edges, observed, allow_loops=False).collect()}
+
+
+def test_cells_hold_few_edges_and_read_rows_in_place():
+    """What a cell receives, at most a row of a node for each of its edges, stays well below the memory of a worker."""
+    import pyarrow as pa
+
+    assert paths.EDGES_PER_BLOCK * max(8 * paths.PIVOTS_PER_ROW, 8 * paths.WORDS) <= 1 << 26
+    table = pa.table({"kind": pa.array([1, 2], pa.int32()), "vals": pa.array([b"abcd" * 4, None], pa.binary())})
+    first, second = paths._rows(table)
+    at = table.column("vals").chunk(0).buffers()[2].address
+    assert first["kind"] == 1 and first["vals"].address == at and second["vals"] is None
