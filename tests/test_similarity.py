@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom import skew
-from routeloom.operators import overlap, recommend, similarity
+from routeloom.operators import banding, overlap, recommend, similarity
 from routeloom.session import stage
 
 
@@ -171,3 +171,32 @@ def test_candidates_name_the_members_of_every_profile(spark):
     rows = {(r.a, r.b): (r.members_a, r.members_b, r.common, r.jaccard) for r in similarity.profile_candidates(frame).collect()}
     assert {k: v for k, v in rows.items() if v[3] == 1} == {("a", b): (3, 3, 3, 1.0) for b in "abc"}
     assert rows["a", "d"] == (3, 1, 3, 0.75) and len(rows) == 4
+
+
+@pytest.mark.parametrize("width", [2, 8, 64])
+def test_all_nodes_meet_in_their_buckets(spark, monkeypatch, table, sets, width):
+    """Every ordered pair of nodes, equal sets included, once; whichever tiles they are in."""
+    monkeypatch.setattr(banding, "tile_width", lambda *_: width)
+    signatures = stage(similarity.minhash(table), "signatures")
+    minima = {r.id: r.signature for r in signatures.collect()}
+    buckets = {}
+    for r in similarity.bands(signatures).collect():
+        buckets.setdefault((r.band, r.bucket), []).append(r.id)
+    want = {(a, b) for group in buckets.values() for a in group for b in group if a != b}
+    rows = [tuple(r) for r in similarity.node_candidates(signatures).collect()]
+    assert len(rows) == len(want) and set(rows) == want and ("n41", "n40") in want
+    estimates = {(r.id, r.other): r.estimate for r in similarity.node_estimates(signatures).collect()}
+    assert estimates == {(a, b): sum(x == y for x, y in zip(minima[a], minima[b])) / 128 for a, b in want}
+
+
+def test_lsh_queries_return_pairs_of_nodes(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from routeloom.catalog import queries
+
+    sets = {"a": "xyz", "b": "xyz", "c": "xyz", "d": "q"}
+    rows = stage(spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id string, member string"), "sets")
+    monkeypatch.setattr(queries, "Inputs", lambda *_: SimpleNamespace(sets=rows, _once=lambda name, make: make()))
+    want = {(a, b) for a in "abc" for b in "abc" if a != b}
+    assert {(r.id, r.other) for r in queries.QUERIES["join_lsh_candidates"](spark, "").collect()} == want
+    assert {(r.id, r.other): r.estimate for r in queries.QUERIES["jaccard_estimate"](spark, "").collect()} == dict.fromkeys(want, 1.0)
