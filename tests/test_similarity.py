@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,12 @@ def test_lsh_queries_return_pairs_of_nodes(spark, monkeypatch):
     want = {(a, b) for a in "abc" for b in "abc" if a != b}
     assert {(r.id, r.other) for r in queries.QUERIES["join_lsh_candidates"](spark, "").collect()} == want
     assert {(r.id, r.other): r.estimate for r in queries.QUERIES["jaccard_estimate"](spark, "").collect()} == dict.fromkeys(want, 1.0)
+
+
+def test_only_tiles_with_a_common_member_meet(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "LEFT_BLOCK", 4)
+    monkeypatch.setattr(overlap, "RIGHT_BLOCK", 4)
+    rows = [(i, f"m{i // 4}", 1) for i in range(1, 64)] + [(1, "far", 1), (63, "far", 1)]
+    packed = similarity.packed_sets(stage(spark.createDataFrame(rows, "id long, member string, held long"), "sets"), "held")
+    met = overlap._met(packed, 63).applyInArrow(lambda key, left, right: pa.table({"l": [key[0].as_py()], "r": [key[1].as_py()]}), "l long, r long")
+    assert sorted(map(tuple, met.collect())) == sorted([(t, t) for t in range(16)] + [(0, 15)])
