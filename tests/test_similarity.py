@@ -210,3 +210,12 @@ def test_only_tiles_with_a_common_member_meet(spark, monkeypatch):
     packed = similarity.packed_sets(stage(spark.createDataFrame(rows, "id long, member string, held long"), "sets"), "held")
     met = overlap._met(packed, 63).applyInArrow(lambda key, left, right: pa.table({"l": [key[0].as_py()], "r": [key[1].as_py()]}), "l long, r long")
     assert sorted(map(tuple, met.collect())) == sorted([(t, t) for t in range(16)] + [(0, 15)])
+
+
+def test_sets_without_members_share_no_bucket_and_members_count_once(spark):
+    rows = [("a", None), ("b", None), ("c", "x"), ("d", "x"), ("d", "x")]
+    signatures = similarity.minhash(spark.createDataFrame(rows, "id string, member string"))
+    assert {tuple(r) for r in similarity.node_candidates(stage(signatures, "signatures")).collect()} == {("c", "d"), ("d", "c")}
+    side = pa.table({"at": pa.array([0, 1, 1], pa.int32()), "keys": pa.array([[5, 5, 7], [7], [5, 9]], pa.list_(pa.int64()))})
+    common = banding.common_members(side, side, 2)
+    assert common(pa.array([0, 0, 1]).to_numpy(), pa.array([0, 1, 1]).to_numpy()).tolist() == [2, 2, 3]
